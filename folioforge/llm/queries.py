@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import line_dedup, mixing
+from folioforge.llm import line_dedup, mixing, substring_dedup
 from folioforge.session import table
 
 
@@ -16,9 +16,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_sentences", "n_removed_sentences", "n_removed_chars")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op7_mixing": op7_mixing}
+    return {"op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mixing": op7_mixing}
