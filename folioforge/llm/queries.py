@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import line_dedup, mixing, substring_dedup
+from folioforge.llm import line_dedup, mixing, secrets, substring_dedup
 from folioforge.session import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
@@ -26,4 +31,4 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mixing": op7_mixing}
+    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mixing": op7_mixing}
