@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import line_dedup, mixing, secrets, substring_dedup
+from folioforge.llm import bpe, line_dedup, mixing, secrets, substring_dedup
 from folioforge.session import table
 
 
+#: The byte-level BPE file that op8 encodes with.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -30,5 +40,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mixing": op7_mixing}
+    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mixing": op7_mixing, "op8_bpe": op8_bpe}
