@@ -98,7 +98,8 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     sized = sized.withColumn("n_slots", drawn).where("n_slots > 0")
     shards = F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy(F.lit(0))) / shard_slots))
     chunks = sized.withColumn("n_shards", shards).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOT_CHUNK))))
-    chunks = chunks.repartition("sid", "chunk")
+    # With a stated number, as the adaptive planner would put these few short rows into one task, which then makes all slots.
+    chunks = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "chunk")
     each = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("n_slots")) - 1)))
     each = each.withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks")))
     key = F.xxhash64(F.lit(seed), F.col("sid"), F.col("pass"))
@@ -134,7 +135,8 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Da
     cut = cut.withColumn("from_word", F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start"))
     cut = cut.withColumn("n_words", F.least(end, (F.col("block") + 1) * block_words) - F.col("start") - F.col("from_word"))
     taken = slots(sources, block_words).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return placed, cut.join(taken, ["sid", "block"])
+    # The planner takes the slots for as short as the few rows that they are exploded from.
+    return placed, cut.join(taken.hint("merge"), ["sid", "block"])
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
