@@ -119,5 +119,5 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("all", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
     linked = materialise(linked.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), spans.alias("linked")), "secret-links")
-    joined = found.join(linked, found["doc_id"].eqNullSafe(linked["_id"]) & (found["tag"] == linked["_tag"]), "left")
+    joined = found.join(linked.hint("merge"), found["doc_id"].eqNullSafe(linked["_id"]) & (found["tag"] == linked["_tag"]), "left")
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base", F.coalesce("linked", "base").alias("spans"))

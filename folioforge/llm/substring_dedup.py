@@ -57,11 +57,11 @@ def covered(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> DataFr
     """``doc_id, tag, spans``: the repeated spans ``(first, n)`` in sentences that each row of ``docs(doc_id, tag, text)`` loses."""
     each = docs.select("doc_id", "tag", F.inline(run_hashes(F.col("text"), runs)))
     many = materialise(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "span-keys")
-    hits = each.join(many, "key", "left_semi").withColumn("check", F.col("mark") % (1 << 32)).withColumn("first", F.floor(F.col("mark") / (1 << 32)).cast("int"))
+    hits = each.join(many.hint("merge"), "key", "left_semi").withColumn("check", F.col("mark") % (1 << 32)).withColumn("first", F.floor(F.col("mark") / (1 << 32)).cast("int"))
     hits = materialise(hits.drop("mark"), "span-hits")
     place = F.struct("doc_id", "tag", "first")
     keep = materialise(hits.groupBy("key", "check").agg(F.min(place).alias("keep")), "span-first")
-    both = hits.alias("x").join(keep.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.check") == F.col("y.check")))
+    both = hits.alias("x").join(keep.hint("merge").alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.check") == F.col("y.check")))
     later = both.where(~F.struct("x.doc_id", "x.tag", "x.first").eqNullSafe(F.col("y.keep")))
     later = later.select("x.doc_id", "x.tag", F.struct(F.col("x.first"), (F.col("x.check") % 4).cast("int").alias("n")).alias("span"))
     return later.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("span")).alias("spans"))
@@ -79,7 +79,7 @@ def dedup_spans(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> Da
     keyed = docs.withColumn("_tag", F.xxhash64("text"))
     gone = covered(keyed.select("doc_id", F.col("_tag").alias("tag"), "text"), runs)
     gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), F.col("spans").alias("_spans")), "span-gone")
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_tag"] == gone["_t"]), "left")
+    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_tag"] == gone["_t"]), "left")
 
     def rest(pieces: Column) -> Column:
         def by(lost: Column) -> Column:
