@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, line_dedup, mixing, secrets, substring_dedup
+from folioforge.llm import bpe, line_dedup, mixing, ngram_join, secrets, substring_dedup
 from folioforge.session import table
 
 
@@ -36,6 +36,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_sentences", "n_removed_sentences", "n_removed_chars")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,4 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op7_mixing": op7_mixing, "op8_bpe": op8_bpe}
+    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_ngram_join": op5_ngram_join, "op7_mixing": op7_mixing, "op8_bpe": op8_bpe}
