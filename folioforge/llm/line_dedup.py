@@ -59,9 +59,9 @@ def removals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     place = F.struct("doc_id", "tag", "idx")
     repeated = chunked.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("not (a <=> b)").select("key")
     repeated = materialise(repeated, "line-keys")
-    hits = materialise(chunked.join(repeated, "key", "left_semi"), "line-hits")
+    hits = materialise(chunked.join(repeated.hint("merge"), "key", "left_semi"), "line-hits")
     first = materialise(hits.groupBy("key", "body").agg(F.min(place).alias("keep")), "line-first")
-    both = hits.alias("x").join(first.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.body") == F.col("y.body")))
+    both = hits.alias("x").join(first.hint("merge").alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.body") == F.col("y.body")))
     gone = both.where(~F.struct("x.doc_id", "x.tag", "x.idx").eqNullSafe(F.col("y.keep"))).select("x.doc_id", "x.tag", "x.idx")
     return gone.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("idx")).alias("drop"))
 
@@ -78,7 +78,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     keyed = docs.withColumn("_tag", F.md5(F.coalesce("text", F.lit(""))))
     gone = removals(keyed.select("doc_id", F.col("_tag").alias("tag"), "text"), min_lines)
     gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), F.col("drop").alias("_drop")), "line-gone")
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_tag"] == gone["_t"]), "left")
+    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_tag"] == gone["_t"]), "left")
     return _rebuilt(joined, docs.columns)
 
 
