@@ -24,6 +24,31 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE x.text END AS text, coa
 FROM d LEFT JOIN done x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.tag = x.tag AND d.text IS NOT NULL
 """
 
+#: All pairs of one table's vectors: for small tables only.
+UNITS = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP6 = f"""
+WITH RECURSIVE {UNITS},
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE vec_id IS NOT NULL AND list_dot_product(e, e) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                      AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+part AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n_links FROM link GROUP BY x)
+SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e LEFT JOIN part p ON p.x = e.vec_id LEFT JOIN degree d ON d.x = e.vec_id
+"""
+
+OP10 = f"""
+WITH {UNITS},
+f AS (SELECT vec_id, list_transform(e, lambda x: floor(1024 * x)) AS e FROM v WHERE vec_id IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM f q JOIN f c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2}
+    return {"op2_line_dedup": OP2, "op6_embedding_dedup": OP6, "op10_mtree_search": OP10}
