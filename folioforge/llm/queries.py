@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, embedding_dedup, line_dedup, mixing, mtree_search, ngram_join, secrets, substring_dedup
+from folioforge.llm import bpe, embedding_dedup, line_dedup, mixing, mtree_search, ngram_join, pseudonyms, secrets, substring_dedup
 from folioforge.session import table
 
 
+#: The key of op9; a production run passes its own secret.
+PSEUDONYM_KEY = b"key of the registered query"
 #: The byte-level BPE file that op8 encodes with.
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -53,9 +55,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+
+
 def op10_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_ngram_join": op5_ngram_join, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_bpe": op8_bpe, "op10_mtree_search": op10_mtree_search}
+    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_ngram_join": op5_ngram_join, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_bpe": op8_bpe, "op9_pseudonyms": op9_pseudonyms, "op10_mtree_search": op10_mtree_search}
