@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, embedding_dedup, line_dedup, mixing, mtree_search, ngram_join, pseudonyms, secrets, substring_dedup
+from folioforge.llm import bpe, embedding_dedup, line_dedup, mixing, mtree_search, ngram_join, pseudonyms, secrets, substring_dedup, toxicity
 from folioforge.session import table
 
 
@@ -33,6 +33,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_sentences", "n_removed_sentences", "n_removed_chars")
@@ -65,4 +69,4 @@ def op10_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op4_substring_dedup": op4_substring_dedup, "op5_ngram_join": op5_ngram_join, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_bpe": op8_bpe, "op9_pseudonyms": op9_pseudonyms, "op10_mtree_search": op10_mtree_search}
+    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op5_ngram_join": op5_ngram_join, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_bpe": op8_bpe, "op9_pseudonyms": op9_pseudonyms, "op10_mtree_search": op10_mtree_search}
