@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.session import table
+from folioforge.plans import catalog, duplicates, extraction, relational, search, streams, vectors  # noqa: F401
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return table(spark, "/root/testdata/sf0.001", "documents").groupBy("lang").count()
+    """The flagship: every benchmark passage as a search over the archive."""
+    return search.search_partial(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, catalog.Query]:
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.ORACLES)
