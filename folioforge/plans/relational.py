@@ -86,8 +86,8 @@ portable("field_values", "SELECT f.doc_id, f.value_text, f.value_num FROM {field
 portable("recurring_numbers", "SELECT value_text, count(DISTINCT doc_id) AS n FROM {fields} WHERE key = 'number' GROUP BY value_text HAVING count(DISTINCT doc_id) > 2")
 portable(
     "ai_costs",
-    "WITH u AS (SELECT doc_id, status, created_at, k, CAST(k AS DOUBLE) * 3 / 1000000 + CAST(k AS DOUBLE) * 15 / 4000000 AS cost FROM {jobs}), s AS (SELECT 'all' AS scope, * FROM u UNION ALL SELECT 'month', * FROM u WHERE created_at >= '2024-01-15' UNION ALL SELECT 'day', * FROM u WHERE created_at >= '2024-01-29') "
-    "SELECT scope, count(*) AS runs, count(DISTINCT doc_id) AS docs, CAST(sum(k) AS BIGINT) AS tokens, round(coalesce(sum(cost), 0), 6) AS cost, CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM s GROUP BY scope",
+    "WITH u AS (SELECT doc_id, status, created_at, k FROM {jobs}), s AS (SELECT 'all' AS scope, * FROM u UNION ALL SELECT 'month', * FROM u WHERE created_at >= '2024-01-15' UNION ALL SELECT 'day', * FROM u WHERE created_at >= '2024-01-29') "
+    "SELECT scope, count(*) AS runs, count(DISTINCT doc_id) AS docs, CAST(sum(k) AS BIGINT) AS tokens, round(CAST(sum(k) AS DOUBLE) * 27 / 4000000, 9) AS cost, CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM s GROUP BY scope",
 )
 portable("binder_overview", "SELECT correspondent AS binder, min(received_at) AS oldest, max(received_at) AS newest, count(*) AS n FROM {archive} GROUP BY correspondent")
 portable(
