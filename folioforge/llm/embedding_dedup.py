@@ -32,6 +32,8 @@ from folioforge.session import materialise
 
 COSINE, PREFIX, SHARED = 0.95, 6, 2
 PIVOTS_LEAST, PIVOTS_MOST = 64, 1024
+#: Vectors in the sample for each pivot wanted, and the cosine that two pivots stay below.
+SAMPLED, APART = 4, 0.5
 #: Vectors in a tile: at least, at most; tiles of a list before they grow beyond the least.
 TILE, TILE_MOST, TILES = 512, 8192, 4
 ROWS_AT_ONCE = 512
@@ -57,14 +59,20 @@ def _prepared(vectors: DataFrame) -> DataFrame:
 
 
 def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """By dimension: a sample of at most PIVOTS_MOST vectors, those whose hash is least."""
+    """By dimension: at most PIVOTS_MOST vectors of a sample, by hash, of SAMPLED times as many.
+
+    Pivots lie apart. In a large group of near copies a plain sample would put many
+    pivots side by side, and which of those are nearest to a member is chance.
+    """
     total = classes.count()
     want = min(PIVOTS_MOST, max(PIVOTS_LEAST, math.isqrt(total)))
-    rows = classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(want).collect()
+    rows = classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(SAMPLED * want).collect()
     out: dict[int, list[np.ndarray]] = {}
     for row in rows:
         unit = np.frombuffer(row["unit"], np.float64)
-        out.setdefault(len(unit), []).append(unit)
+        kept = out.setdefault(len(unit), [])
+        if len(kept) < want and (not kept or (np.stack(kept) @ unit).max() < APART):
+            kept.append(unit)
     return {n: np.stack(units) for n, units in out.items()}
 
 

@@ -75,26 +75,23 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     that agree in ``doc_id`` and text are one document: they get the same text, and
     do not count as repeats of each other. Chunks of white space only are kept.
     """
-    keyed = docs.withColumn("_tag", F.md5(F.coalesce("text", F.lit(""))))
-    gone = removals(keyed.select("doc_id", F.col("_tag").alias("tag"), "text"), min_lines)
-    gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), F.col("drop").alias("_drop")), "line-gone")
-    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_tag"] == gone["_t"]), "left")
-    return _rebuilt(joined, docs.columns)
-
-
-def _rebuilt(joined: DataFrame, columns: list[str]) -> DataFrame:
-    """Only rows that lose a chunk are cut up again."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row).withColumn("tag", F.md5(F.coalesce("row.text", F.lit(""))))
+    gone = removals(keyed.select("row.doc_id", "tag", "row.text"), min_lines)
+    gone = materialise(gone.select(F.col("doc_id").alias("id"), F.col("tag").alias("of"), "drop"), "line-gone")
+    joined = keyed.join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("of")), "left")
 
     def rest(drop: Column) -> Column:
         def left(all_chunks: Column) -> Column:
             kept = F.filter(all_chunks, lambda c: ~F.array_contains(drop, c["idx"]))
-            gone = F.aggregate(F.filter(all_chunks, lambda c: F.array_contains(drop, c["idx"])), F.lit(0), lambda a, c: a + c["n"])
-            return F.struct(F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("text"), gone.cast("long").alias("n"))
+            lost = F.aggregate(F.filter(all_chunks, lambda c: F.array_contains(drop, c["idx"])), F.lit(0), lambda a, c: a + c["n"])
+            return F.struct(F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("text"), lost.cast("long").alias("n"))
 
-        return let(chunks(F.col("text")), left)
+        return let(chunks(F.col("row.text")), left)
 
-    lost = F.col("_drop").isNotNull()
-    done = joined.withColumn("_new", F.when(lost, rest(F.col("_drop"))).otherwise(F.struct(F.col("text"), F.lit(0).cast("long").alias("n"))))
-    cells = [F.col("_new.text").alias(c) if c == "text" else F.col(c) for c in columns if c not in ADDED]
-    n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
-    return done.select(*cells, n_lines.alias("n_lines"), F.col("_new.n").alias("n_removed_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed_chunks"))
+    # Only rows that lose a chunk are cut up again.
+    same = F.struct(F.col("row.text").alias("text"), F.lit(0).cast("long").alias("n"))
+    done = joined.withColumn("new", F.when(F.col("drop").isNotNull(), rest(F.col("drop"))).otherwise(same))
+    cells = [F.col("new.text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    n_lines = F.coalesce(F.length("row.text") - F.length(F.translate("row.text", "\n", "")) + 1, F.lit(0)).cast("long")
+    return done.select(*cells, n_lines.alias("n_lines"), F.col("new.n").alias("n_removed_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed_chunks"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.llm.arrays import let
 from folioforge.session import materialise
 
 #: Words as the mix counts them: runs without ASCII white space.
@@ -164,12 +165,15 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     per_doc = per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda s: s["times"])).cast("int"))))
     per_doc = per_doc.withColumn("spans", F.filter("spans", lambda s: s["times"] >= F.col("copy")))
     per_doc = per_doc.withColumn("whole", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n_words"]) == F.col("size"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "spans", "whole")
-    texts = docs.withColumn("_tag", F.xxhash64("text")).withColumn("_id", F.col("doc_id")).dropDuplicates(["_id", "_tag"])
-    joined = texts.join(per_doc, texts["_id"].eqNullSafe(per_doc["_id"]) & (texts["_tag"] == per_doc["_tag"]))
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
-    joined = joined.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(some))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    per_doc = per_doc.select(F.col("doc_id").alias("id"), F.col("tag").alias("of"), "spans", "whole")
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    texts = texts.withColumn("key", F.col("row.doc_id")).withColumn("hash", F.xxhash64("row.text")).dropDuplicates(["key", "hash"])
+    joined = texts.join(per_doc.hint("merge"), F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")))
+
+    def some(words: Column) -> Column:
+        return F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
+
+    words = F.split(F.regexp_replace("row.text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    joined = joined.withColumn("new", F.when(F.col("whole"), F.col("row.text")).otherwise(let(words, some)))
+    changed = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return joined.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

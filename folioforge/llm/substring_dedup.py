@@ -76,10 +76,11 @@ def dedup_spans(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> Da
     document and do not repeat each other. A document whose every sentence occurred
     before ends with an empty text.
     """
-    keyed = docs.withColumn("_tag", F.xxhash64("text"))
-    gone = covered(keyed.select("doc_id", F.col("_tag").alias("tag"), "text"), runs)
-    gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_t"), F.col("spans").alias("_spans")), "span-gone")
-    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_tag"] == gone["_t"]), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row).withColumn("tag", F.xxhash64("row.text"))
+    gone = covered(keyed.select("row.doc_id", "tag", "row.text"), runs)
+    gone = materialise(gone.select(F.col("doc_id").alias("id"), F.col("tag").alias("of"), "spans"), "span-gone")
+    joined = keyed.join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("of")), "left")
 
     def rest(pieces: Column) -> Column:
         def by(lost: Column) -> Column:
@@ -87,11 +88,11 @@ def dedup_spans(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> Da
             return F.struct(F.array_join(kept, "").alias("text"), F.size(pieces).cast("long").alias("n"), F.size(lost).cast("long").alias("lost"))
 
         empty = F.array().cast("array<int>")
-        spans = F.coalesce(F.transform("_spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)), F.array(empty))
+        spans = F.coalesce(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)), F.array(empty))
         return let(F.array_distinct(F.flatten(spans)), by)
 
-    done = joined.withColumn("_new", let(sentences(F.col("text")), rest))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.col("_new.text"))
-    cells = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ADDED]
-    n_chars = F.coalesce(F.length("text") - F.length(text), F.lit(0)).cast("long")
-    return done.select(*cells, F.col("_new.n").alias("n_sentences"), F.col("_new.lost").alias("n_removed_sentences"), n_chars.alias("n_removed_chars"))
+    done = joined.withColumn("new", let(sentences(F.col("row.text")), rest))
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.col("new.text"))
+    cells = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    n_chars = F.coalesce(F.length("row.text") - F.length(text), F.lit(0)).cast("long")
+    return done.select(*cells, F.col("new.n").alias("n_sentences"), F.col("new.lost").alias("n_removed_sentences"), n_chars.alias("n_removed_chars"))

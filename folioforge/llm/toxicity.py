@@ -150,15 +150,20 @@ class Model:
     def __init__(self, lexicon: tuple, trees: GBTClassificationModel | None, curve: IsotonicRegressionModel | None, share: float) -> None:
         self.lexicon, self.trees, self.curve, self.share = lexicon, trees, curve, share
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns ``keep`` and ``score``."""
-        ready = featured(docs, self.lexicon, keep)
+    def score(self, docs: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+        """The columns ``keep`` and the score, as ``name``."""
+        # Own names for the columns kept, as those of the steps between must not meet them.
+        own = {c: f"kept{i}" for i, c in enumerate(keep)}
+        text = [] if "text" in own else [F.col("text")]
+        renamed = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else k) for c, k in own.items()], *text)
+        ready = featured(renamed, self.lexicon, ["text" if c == "text" else k for c, k in own.items()])
+        back = [F.col("text" if c == "text" else k).alias(c) for c, k in own.items()]
         if self.trees is None:
-            return ready.select(*keep, F.lit(self.share).alias("score"))
+            return ready.select(*back, F.lit(self.share).alias(name))
         scored = _raw(self.trees, ready)
         scored = self.curve.transform(scored) if self.curve else scored.withColumn("prediction", F.col("raw"))
         value = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
-        return scored.select(*keep, value.alias("score"))
+        return scored.select(*back, value.alias(name))
 
 
 def _raw(trees: GBTClassificationModel, ready: DataFrame) -> DataFrame:
