@@ -21,13 +21,20 @@ SHINGLE, PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.5 or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, docs.columns).where("score < 0.5").select(*docs.columns)
+    name = "toxicity_" + "_".join(docs.columns)  # longer than any of theirs
+    return model.score(docs, docs.columns, name).where(F.col(f"`{name}`") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; so do documents of which nothing else is left."""
-    done = line_dedup.dedup_lines(docs).where("n_removed_lines = 0 or n_removed_lines < n_lines")
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rest = [c for c in docs.columns if c in line_dedup.ADDED]
+    if rest:  # kept in a struct meanwhile
+        held = line_dedup.dedup_lines(docs.select(*[c for c in docs.columns if c not in rest], F.struct(*rest).alias("_".join(docs.columns))))
+    else:
+        held = line_dedup.dedup_lines(docs)
+    done = held.where("n_removed_lines = 0 or n_removed_lines < n_lines").withColumn("n_chars", F.length("text").cast("long"))
+    own = {c: F.col("_".join(docs.columns))[c].alias(c) for c in rest}
+    return done.select(*[own.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
