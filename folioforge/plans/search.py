@@ -246,6 +246,58 @@ def find_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", (F.col("at") + 1).alias("line_no"), "line", F.when(F.col("at") > 0, F.get("lines", F.col("at") - 1)).alias("before"), F.get("lines", F.col("at") + 1).alias("after"))
 
 
+@query(
+    f"""WITH {searches_sql(6)}, hit AS (SELECT s.query_id, p.doc_id, p.col, s.term_ix FROM searches s JOIN postings p ON p.term = s.term)
+    SELECT query_id, doc_id, string_agg(DISTINCT col, ',' ORDER BY col) AS columns, count(DISTINCT term_ix) AS words FROM hit GROUP BY query_id, doc_id""",
+    ("postings",),
+)
+def match_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a document is in a result: the columns that hold words of the search, and how many words."""
+    hits = searches(spark, sf_dir, 6).join(postings(spark, sf_dir), "term")
+    per = hits.groupBy("query_id", "doc_id").agg(F.array_join(F.sort_array(F.collect_set("col")), ",").alias("columns"), F.count_distinct("term_ix").alias("words"))
+    return per
+
+
+@query(
+    f"""WITH {searches_sql(6)}, {STATS_SQL}, {EXPANDED_SQL.format(level=0)}, {bm25_sql('scored', 'tf0')}, best AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), doc_id DESC) AS place FROM scored QUALIFY place <= 10),
+    lead AS (SELECT query_id, term FROM searches WHERE term_ix = 0)
+    SELECT b.query_id, b.place, b.doc_id, a.title, CASE WHEN instr(lower(a.body), l.term) > 0 THEN substr(a.body, greatest(1, instr(lower(a.body), l.term) - 55)::INT, 220) ELSE substr(a.body, 1, 220) END AS snippet
+    FROM best b JOIN archive a USING (doc_id) JOIN lead l USING (query_id)""",
+    ("archive", "postings"),
+)
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages: ranks are worked out on narrow rows, titles and texts join only what is shown."""
+    best = search_bm25(spark, sf_dir).select("query_id", "doc_id", "place")
+    lead = searches(spark, sf_dir, 1).select("query_id", "term")
+    shown = best.join(archive(spark, sf_dir).select("doc_id", "title", "body"), "doc_id").join(lead, "query_id")
+    at = F.expr("instr(lower(body), term)")
+    text = F.when(at > 0, F.expr("substring(body, greatest(1, instr(lower(body), term) - 55), 220)")).otherwise(F.substring("body", 1, 220))
+    return shown.select("query_id", "place", "doc_id", "title", text.alias("snippet"))
+
+
+@query(
+    """WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM postings WHERE col = 'body' GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
+    w AS (SELECT t.doc_id, t.term, round(sqrt(t.tf) * ln(n.n / d.df), 9) AS weight FROM tf t JOIN df d USING (term) CROSS JOIN n WHERE d.df >= 2 AND d.df <= n.n / 2 AND d.df <= 50),
+    t AS (SELECT doc_id, term, weight FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 12),
+    s AS (SELECT a.doc_id, b.doc_id AS other, sum(a.weight * b.weight) AS score FROM t a JOIN t b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    r AS (SELECT s.doc_id, s.other, round(score * CASE WHEN x.correspondent = y.correspondent THEN 1.6 ELSE 1 END * CASE WHEN x.document_type = y.document_type THEN 1.2 ELSE 1 END, 5) AS score FROM s JOIN archive x ON x.doc_id = s.doc_id JOIN archive y ON y.doc_id = s.other)
+    SELECT doc_id, other, score FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other) <= 5""",
+    ("archive", "postings"),
+)
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents most like each, by the terms that tell most; same sender and type count more."""
+    t = telling_terms(spark, sf_dir)
+    other = t.select(F.col("doc_id").alias("other"), "term", F.col("weight").alias("w"))
+    scored = t.join(other, "term").where("doc_id <> other").groupBy("doc_id", "other").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
+    a = archive(spark, sf_dir)
+    own = a.select("doc_id", F.col("correspondent").alias("c1"), F.col("document_type").alias("t1"))
+    far = a.select(F.col("doc_id").alias("other"), F.col("correspondent").alias("c2"), F.col("document_type").alias("t2"))
+    boost = F.when(F.col("c1") == F.col("c2"), 1.6).otherwise(1.0) * F.when(F.col("t1") == F.col("t2"), 1.2).otherwise(1.0)
+    ranked = scored.join(own, "doc_id").join(far, "other").withColumn("score", F.round(F.col("score") * boost, 5))
+    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other")
+    return ranked.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("doc_id", "other", "score")
+
+
 # --- facets ----------------------------------------------------------------------------------
 
 _FACET_CLAUSES = ("correspondent IN ('src0', 'src1', 'src2')", "document_type IN ('en', 'de')")

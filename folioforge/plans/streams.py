@@ -41,3 +41,12 @@ def stream_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sink for refused documents receives."""
     _, refused = intake.rejected(intake.files(spark, sf_dir, "documents"), 10_000)
     return intake.drained(refused.select("doc_id", "reason"), "refused")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'error') AS failures, least(60.0 * power(2, least(count(*) FILTER (event_type = 'error'), 20)), 21600.0) AS wait FROM events GROUP BY user_id")
+def stream_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures per key as streaming state, and how long the next attempt waits."""
+    failures = intake.files(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failures"))
+    out = intake.drained(failures, "retries", "complete")
+    wait = F.least(60.0 * F.pow(F.lit(2.0), F.least(F.col("failures"), F.lit(20))), F.lit(21600.0))
+    return out.select("user_id", "failures", wait.alias("wait"))
