@@ -6,12 +6,15 @@ which entries can reach the threshold, so that only some are worked out:
 
 1. Rows with equal sets are one class.
 2. In an order of all columns with frequent ones last, two linked rows share one of
-   the first ``n - ceil(t n) + 1`` columns of each. Those columns are the blocks'
-   keys; a column that only one class has leads nowhere and is dropped.
-3. Columns whose classes overlap are put into one block (one hop of the smallest
-   label), so that a row visits few blocks instead of one for each key. A block
-   above a size is cut into tiles; every pair of tiles is one small product.
-4. A product goes through its rows by size, looks up candidates in the first
+   the first ``n - ceil(t n) + 1`` columns of each. A column that only one class has
+   there leads nowhere and is dropped.
+3. A column with few classes counts, for each pair of them, the first columns that
+   they share: ``shared + max(rest of either row)`` bounds the overlap, and pairs that
+   cannot reach the threshold go (frequent columns count as shared, being left out
+   here). The pairs left meet in blocks, named after the smallest partner.
+4. The classes of a column with many meet in a block as they are. A block above a
+   size is cut into tiles; every pair of tiles is one small product.
+5. A product goes through its rows by size, looks up candidates in the first
    columns, leaves out those outside the size bounds and those connected already,
    accumulates the overlaps of the rest over all columns and keeps exact links.
 
@@ -34,8 +37,10 @@ from folioforge.operators.components import connected_components
 from folioforge.session import materialise
 
 SHINGLE, PERCENT = 4, 85
-#: A column is frequent from this count on, and if it is this share of all entries; so there are at most FREQUENT_SHARE of them.
-FREQUENT, FREQUENT_SHARE = 32, 1 << 20
+#: A column is marked as frequent when tasks have seen it so many times, single sightings left out; bits of the marks.
+FREQUENT, BITS, SEGMENT = 4, 28, 16
+#: Classes of a column that are compared pair by pair; columns with more go to blocks.
+FEW = 32
 #: Shingles that a task counts at a time.
 COUNTED = 2_000_000
 #: Shingles in a tile: at least, at most; tiles of a block before they grow beyond the least.
@@ -78,22 +83,38 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(describe, f"doc_id {kind}, n long, sig binary, column long, times long")
 
 
-def _frequent(described: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent columns and their counts, at most FREQUENT_SHARE of them; a column that a task saw once is not counted there."""
-    least = max(FREQUENT, total // FREQUENT_SHARE)
-    rows = described.where("times is not null").groupBy("column").agg(F.sum("times").alias("times")).where(F.col("times") >= least).toPandas().sort_values("column")
-    return rows["column"].to_numpy(np.int64), rows["times"].to_numpy(np.int64)
+def _frequent(described: DataFrame) -> np.ndarray:
+    """A bit for each column by the low bits of its hash: whether it is frequent.
 
+    The marks have a fixed size (32 MB), however large the corpus. They only order
+    the columns, the same way for every row, so a bit that two columns share, or a
+    column that no task saw twice, costs time and never a link.
+    """
+    marks = described.where("times is not null").groupBy("column").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
+    bit = F.pmod(F.col("column"), F.lit(1 << BITS))
+    marks = marks.select(F.shiftright(bit, SEGMENT).cast("int").alias("segment"), (bit % (1 << SEGMENT)).cast("int").alias("bit")).distinct()
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << SEGMENT, np.uint8)
+        bits[own["bit"].to_numpy()] = 1
+        return pd.DataFrame({"segment": own["segment"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    width = 1 << (SEGMENT - 3)
+    for row in marks.groupBy("segment").applyInPandas(pack, "segment int, bits binary").collect():
+        out[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
-def _keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int, percent: int) -> DataFrame:
-    """``key, node, short``: the first columns of each set; ``short`` if they are so for the smaller of two rows too."""
+
+def _keys(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """``key, node, n``: the first columns of each set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        column, times = sent.value
+        marks = sent.value
         seen: set[bytes] = set()
         for batch in batches:
-            key, node, short = [], [], []
+            key, node, n = [], [], []
             for text in batch["text"]:
                 found = shingle_set(text, shingle)
                 if not len(found):
@@ -104,19 +125,17 @@ def _keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], shingle: int
                 seen.add(sig)
                 if len(seen) > 500_000:
                     seen.clear()
-                if len(column):
-                    at = np.minimum(np.searchsorted(column, found), len(column) - 1)
-                    often = np.where(column[at] == found, times[at], 0)
-                    found = found[np.argsort(often, kind="stable")]
+                low = found & ((1 << BITS) - 1)
+                often = marks[low >> 3] >> (low & 7).astype(np.uint8) & 1
+                found = found[np.argsort(often, kind="stable")]
                 most = first_columns(len(found), percent)
-                least = len(found) - -(-2 * percent * len(found) // (100 + percent)) + 1
                 key.append(found[:most])
                 node.append(np.full(most, int.from_bytes(sig[:8], "big", signed=True)))
-                short.append(np.arange(most) < least)
+                n.append(np.full(most, len(found)))
             if key:
-                yield pd.DataFrame({"key": np.concatenate(key), "node": np.concatenate(node), "short": np.concatenate(short)})
+                yield pd.DataFrame({"key": np.concatenate(key), "node": np.concatenate(node), "n": np.concatenate(n)})
 
-    return docs.select("text").mapInPandas(keys, "key long, node long, short boolean")
+    return docs.select("text").mapInPandas(keys, "key long, node long, n long")
 
 
 class Forest:
@@ -223,12 +242,30 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("visits", "rep", "text").mapInPandas(sets, f"visits {visits}, rep long, part binary")
 
 
-def _visits(shared: DataFrame, classes: DataFrame) -> DataFrame:
+def _near_pairs(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of classes with enough of their first columns in common to reach the threshold."""
+    left, right = few.select("key", F.col("node").alias("a"), F.col("n").alias("na")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
+    sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") < F.col("b"))
+    # A column here has at most FEW classes, so a row meets at most as many others.
+    pairs = left.join(right.hint("merge"), "key").where(sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    often = materialise(many.groupBy("node").agg(F.count("*").alias("often")), "ngram-often")
+    pairs = pairs.join(often.select(F.col("node").alias("a"), F.col("often").alias("oa")), "a", "left").join(often.select(F.col("node").alias("b"), F.col("often").alias("ob")), "b", "left")
+    rest = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    most = F.col("shared") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0))) + rest
+    return pairs.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _visits(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``rep, visits``: the products that each class goes to, as ``(block, a, b, tile)``."""
-    lead = materialise(shared.groupBy("node").agg(F.min("center").alias("lead")), "ngram-leads")
-    label = shared.join(lead.hint("merge"), "node").groupBy("key").agg(F.min("lead").alias("block"))
-    label = materialise(label, "ngram-labels")
-    member = shared.join(label.hint("merge"), "key").select("block", "node").distinct()
+    sizes = materialise(shared.groupBy("key").agg(F.count("*").alias("size")), "ngram-sizes")
+    sized = materialise(shared.join(sizes.hint("merge"), "key"), "ngram-sized")
+    few, many = sized.where(F.col("size") <= FEW), sized.where(F.col("size") > FEW)
+    pairs = materialise(_near_pairs(few, many, percent), "ngram-pairs")
+    ends = pairs.select(F.col("a").alias("node"), F.col("a").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    lead = materialise(ends.groupBy("node").agg(F.min("other").alias("lead")), "ngram-leads")
+    of = [lead.select(F.col("node").alias(c), F.col("lead").alias("l" + c)) for c in ("a", "b")]
+    led = pairs.join(of[0].hint("merge"), "a").join(of[1].hint("merge"), "b").select(F.least("la", "lb").alias("block"), F.explode(F.array("a", "b")).alias("node"))
+    member = led.unionByName(many.select(F.col("center").alias("block"), "node")).distinct()
     member = materialise(member, "ngram-members").join(classes.select("node", "rep", "n").hint("merge"), "node")
     member = materialise(member, "ngram-placed")
     blocks = member.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where("rows > 1")
@@ -244,14 +281,14 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     """``described(doc_id, n, sig)``, ``classes(sig, rep, n, node)`` and a forest of links ``(src, dst)`` between the classes' reps."""
     described = materialise(_described(docs, shingle), "ngram-described")
     rows = described.where("times is null").select("doc_id", "n", "sig")
-    total = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").cast("long").alias("rep"), F.max("n").alias("n"))
     classes = materialise(classes.withColumn("node", _node("sig")), "ngram-classes")
-    keys = _keys(docs, _frequent(described, total), shingle, percent)
-    found = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.max("short").alias("short"))
-    found = materialise(found.where("center <> last and short").select("key", "center"), "ngram-keys")
-    shared = materialise(keys.select("key", "node").join(found.hint("merge"), "key"), "ngram-shared")
-    visits = materialise(_visits(shared, classes), "ngram-visits")
+    keys = _keys(docs, _frequent(described), shingle, percent)
+    found = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
+    found = materialise(found.where("center <> last").select("key", "center"), "ngram-keys")
+    # Copies of a set that were read by several tasks stand here once.
+    shared = materialise(keys.join(found.hint("merge"), "key").distinct(), "ngram-shared")
+    visits = materialise(_visits(shared, classes, percent), "ngram-visits")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(visits.hint("merge"), "rep")
     sets = _sets(texts, shingle).select(F.explode("visits").alias("v"), "rep", "part").select("v.*", "rep", "part")
     placed = sets.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b", "rep")
