@@ -34,7 +34,7 @@ LEAST_TOXIC, LEAST_RATIO, LEAST_SHARE = 5, 6.0, 0.004
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner euch ihr sie tu te toi ton ta tes vous votre vos usted ustedes ti tú tus vosotros".split())
 LOOKALIKE = str.maketrans("013457@$!|8", "oieastasilb")
 PUNCTUATION = "!?.,;:\"'()[]{}<>*_-~#…«»¿¡“”„‘’"
-NEAR, HELD = 6, 200_000
+NEAR, HELD, ROWS_AT_ONCE = 6, 200_000, 1000
 FEATURES = (
     "word_density", "word_count", "begin_density", "begin_count", "disguised_density", "disguised_count", "any_hit",
     "person_density", "near_person", "capital_words", "capital_letters", "exclamations", "questions", "repeated_marks", "obfuscated", "log_words", "mean_length",
@@ -138,7 +138,9 @@ def featured(docs: DataFrame, lexicon: tuple[frozenset[str], frozenset[str]], ke
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(*sent.value)
         for batch in batches:
-            yield batch[keep].assign(features=[reader.features(t) if isinstance(t, str) else reader.features("") for t in batch["text"]])
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[at : at + ROWS_AT_ONCE]
+                yield part[keep].assign(features=[reader.features(t) if isinstance(t, str) else reader.features("") for t in part["text"]])
 
     names = list(dict.fromkeys([*keep, "text"]))
     return docs.select(*names).mapInPandas(run, f"{fields}, features array<double>")
