@@ -38,11 +38,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays; rows with a null id stay."""
-    found = ngram_join.near_copies(docs, SHINGLE, PERCENT)
-    kept = materialise(found.where("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    once = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The document with the smallest id (then text hash) of each group of near copies stays, once; rows with a null id stay."""
+    found = ngram_join.grouped(docs, SHINGLE, PERCENT).where("doc_id is not null")
+    first = F.min(F.struct("doc_id", "tag")).alias("first")
+    kept = found.where("node is not null").groupBy("node").agg(first).select("first.*")
+    kept = kept.unionByName(found.where("node is null").select("doc_id", "tag")).distinct()
+    kept = materialise(kept.select(F.col("doc_id").alias("id"), F.col("tag").alias("of")), "kept-ids")
+    keyed = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = keyed.select("row", F.col("row.doc_id").alias("key"), F.xxhash64("row.text").alias("hash"))
+    once = keyed.join(kept.hint("merge"), (F.col("key") == F.col("id")) & (F.col("hash") == F.col("of")), "left_semi").dropDuplicates(["key", "hash"])
+    return once.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

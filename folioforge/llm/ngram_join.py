@@ -55,7 +55,7 @@ def first_columns(n: int, percent: int) -> int:
 
 
 def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """A row per document: ``doc_id, n, sig``; and rows ``column, times`` with what each task counted."""
+    """A row per document: ``doc_id, tag, n, sig``; and rows ``column, times`` with what each task counted. ``tag`` is the text's hash, which tells rows that share a ``doc_id`` apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,7 +67,7 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
                 rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None))
                 held.append(found)
             out = pd.DataFrame(rows, columns=["n", "sig"])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].reset_index(drop=True), "n": out["n"].astype("Int64"), "sig": out["sig"], "column": pd.Series([None] * len(out), dtype="Int64"), "times": pd.Series([None] * len(out), dtype="Int64")})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].reset_index(drop=True), "tag": batch["tag"].reset_index(drop=True), "n": out["n"].astype("Int64"), "sig": out["sig"], "column": pd.Series([None] * len(out), dtype="Int64"), "times": pd.Series([None] * len(out), dtype="Int64")})
             if sum(map(len, held)) > COUNTED:
                 yield counted(held)
                 held = []
@@ -78,9 +78,9 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
         column, times = np.unique(np.concatenate(held), return_counts=True)
         more = times > 1
         none = [None] * int(more.sum())
-        return pd.DataFrame({"doc_id": pd.Series(none, dtype="Int64"), "n": pd.Series(none, dtype="Int64"), "sig": none, "column": column[more], "times": times[more]})
+        return pd.DataFrame({"doc_id": pd.Series(none, dtype="Int64"), "tag": pd.Series(none, dtype="Int64"), "n": pd.Series(none, dtype="Int64"), "sig": none, "column": column[more], "times": times[more]})
 
-    return docs.select("doc_id", "text").mapInPandas(describe, f"doc_id {kind}, n long, sig binary, column long, times long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInPandas(describe, f"doc_id {kind}, tag long, n long, sig binary, column long, times long")
 
 
 def _frequent(described: DataFrame) -> np.ndarray:
@@ -200,46 +200,52 @@ def product_links(sets: list[np.ndarray], tile: np.ndarray, percent: int) -> lis
 
 
 def _products(placed: DataFrame, percent: int) -> DataFrame:
-    """Edges ``src, dst`` from rows ``block, a, b, tile, rep, n, part`` that stand together by product."""
+    """Edges ``src, dst`` from rows ``block, a, b, tile, node, piece, part`` that stand together by product."""
 
     def flush(rows: list[tuple]) -> list[tuple[int, int]]:
-        by_rep: dict[int, list[bytes]] = {}
+        # A repeated row may send its set again: each piece counts once.
+        by_node: dict[int, dict[int, bytes]] = {}
         tile = {}
-        for rep, own, part in rows:
-            by_rep.setdefault(rep, []).append(part)
-            tile[rep] = own
-        if len(by_rep) < 2:
+        for node, own, piece, part in rows:
+            by_node.setdefault(node, {})[piece] = part
+            tile[node] = own
+        if len(by_node) < 2:
             return []
-        reps = list(by_rep)
-        sets = [np.frombuffer(b"".join(by_rep[r]), np.int64) for r in reps]
-        return [(reps[i], reps[j]) for i, j in product_links(sets, np.array([tile[r] for r in reps]), percent)]
+        nodes = list(by_node)
+        sets = [np.frombuffer(b"".join(by_node[n].values()), np.int64) for n in nodes]
+        return [(nodes[i], nodes[j]) for i, j in product_links(sets, np.array([tile[n] for n in nodes]), percent)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, rows = None, []
         for batch in batches:
             out = []
-            for block, a, b, tile, rep, part in batch.itertuples(index=False, name=None):
+            for block, a, b, tile, node, piece, part in batch.itertuples(index=False, name=None):
                 if (block, a, b) != at:
                     out += flush(rows)
                     at, rows = (block, a, b), []
-                rows.append((rep, tile, part))
+                rows.append((node, tile, piece, part))
             yield pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
         yield pd.DataFrame(flush(rows), columns=["src", "dst"], dtype="int64")
 
-    return placed.select("block", "a", "b", "tile", "rep", "part").mapInPandas(run, "src long, dst long")
+    return placed.select("block", "a", "b", "tile", "node", "piece", "part").mapInPandas(run, "src long, dst long")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``visits, rep, part``: the sets of the rows ``visits, rep, text``, in pieces."""
+    """``visits, node, piece, part``: the sets of the rows ``visits, node, text``, in pieces; of rows of a node that follow each other, the first's."""
     visits = texts.schema["visits"].dataType.simpleString()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for batch in batches:
             for at in range(0, len(batch), 500):
-                rows = [(v, rep, found[k : k + SENT].tobytes()) for v, rep, text in batch.iloc[at : at + 500].itertuples(index=False, name=None) for found in [shingle_set(text, shingle)] for k in range(0, len(found), SENT)]
-                yield pd.DataFrame(rows, columns=["visits", "rep", "part"])
+                rows = []
+                for v, node, text in batch.iloc[at : at + 500].itertuples(index=False, name=None):
+                    if node != last:
+                        last, found = node, shingle_set(text, shingle)
+                        rows += [(v, node, k // SENT, found[k : k + SENT].tobytes()) for k in range(0, len(found), SENT)]
+                yield pd.DataFrame(rows, columns=["visits", "node", "piece", "part"])
 
-    return texts.select("visits", "rep", "text").mapInPandas(sets, f"visits {visits}, rep long, part binary")
+    return texts.select("visits", "node", "text").mapInPandas(sets, f"visits {visits}, node long, piece int, part binary")
 
 
 def _near_pairs(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +262,7 @@ def _near_pairs(few: DataFrame, many: DataFrame, percent: int) -> DataFrame:
 
 
 def _visits(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``rep, visits``: the products that each class goes to, as ``(block, a, b, tile)``."""
+    """``node, rep, tag, visits``: the products that each class goes to, as ``(block, a, b, tile)``."""
     sizes = materialise(shared.groupBy("key").agg(F.count("*").alias("size")), "ngram-sizes")
     sized = materialise(shared.join(sizes.hint("merge"), "key"), "ngram-sized")
     few, many = sized.where(F.col("size") <= FEW), sized.where(F.col("size") > FEW)
@@ -266,32 +272,36 @@ def _visits(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     of = [lead.select(F.col("node").alias(c), F.col("lead").alias("l" + c)) for c in ("a", "b")]
     led = pairs.join(of[0].hint("merge"), "a").join(of[1].hint("merge"), "b").select(F.least("la", "lb").alias("block"), F.explode(F.array("a", "b")).alias("node"))
     member = led.unionByName(many.select(F.col("center").alias("block"), "node")).distinct()
-    member = materialise(member, "ngram-members").join(classes.select("node", "rep", "n").hint("merge"), "node")
+    member = materialise(member, "ngram-members").join(classes.select("node", "rep", "tag", "n").hint("merge"), "node")
     member = materialise(member, "ngram-placed")
     blocks = member.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where("rows > 1")
     tiles = F.least(F.ceil(F.col("total") / TILE), F.greatest(F.lit(TILES), F.ceil(F.col("total") / TILE_MOST)))
     blocks = materialise(blocks.select("block", tiles.cast("int").alias("tiles")), "ngram-blocks")
-    member = member.join(blocks.hint("merge"), "block").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    member = member.join(blocks.hint("merge"), "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
     visit = F.transform(other, lambda t: F.struct(F.col("block").alias("block"), F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b"), F.col("tile").alias("tile")))
-    return member.groupBy("rep").agg(F.flatten(F.collect_list(visit)).alias("visits"))
+    return member.groupBy("node", "rep", "tag").agg(F.flatten(F.collect_list(visit)).alias("visits"))
 
 
 def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``described(doc_id, n, sig)``, ``classes(sig, rep, n, node)`` and a forest of links ``(src, dst)`` between the classes' reps."""
+    """``described(doc_id, tag, n, sig)``, ``classes(sig, rep, tag, n, node)`` and a forest of links ``(src, dst)`` between the classes' nodes.
+
+    A class has the smallest ``doc_id`` of its rows as ``rep``, and of these rows' texts one by its ``tag``.
+    """
     described = materialise(_described(docs, shingle), "ngram-described")
-    rows = described.where("times is null").select("doc_id", "n", "sig")
-    classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").cast("long").alias("rep"), F.max("n").alias("n"))
-    classes = materialise(classes.withColumn("node", _node("sig")), "ngram-classes")
+    rows = described.where("times is null").select("doc_id", "tag", "n", "sig")
+    classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.max("n").alias("n"))
+    classes = classes.select("sig", F.col("first.doc_id").cast("long").alias("rep"), "first.tag", "n", _node("sig").alias("node"))
+    classes = materialise(classes, "ngram-classes")
     keys = _keys(docs, _frequent(described), shingle, percent)
     found = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
     found = materialise(found.where("center <> last").select("key", "center"), "ngram-keys")
     # Copies of a set that were read by several tasks stand here once.
     shared = materialise(keys.join(found.hint("merge"), "key").distinct(), "ngram-shared")
     visits = materialise(_visits(shared, classes, percent), "ngram-visits")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(visits.hint("merge"), "rep")
-    sets = _sets(texts, shingle).select(F.explode("visits").alias("v"), "rep", "part").select("v.*", "rep", "part")
-    placed = sets.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b", "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("tag"), "text").join(visits.hint("merge"), ["rep", "tag"])
+    sets = _sets(texts, shingle).select(F.explode("visits").alias("v"), "node", "piece", "part").select("v.*", "node", "piece", "part")
+    placed = sets.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b", "node")
     return rows, classes, materialise(_products(placed, percent), "ngram-links")
 
 
@@ -301,20 +311,35 @@ def _node(sig: str) -> Column:
     return F.when(high >= 1 << 31, high - (1 << 32)).otherwise(high) * F.lit(1 << 32) + low
 
 
+def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, tag, n, sig, node, component_id`` for every row of ``docs(doc_id, text)``; see :func:`near_copies`.
+
+    ``node`` is the same within a group and null for rows that link with nothing by
+    rule. ``tag`` is ``xxhash64(text)``.
+    """
+    rows, classes, links = classes_and_links(docs, shingle, percent)
+    found = materialise(connected_components(links), "ngram-found")
+    named = found.join(classes.select("node", "rep").hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialise(named, "ngram-named")
+    found = materialise(found.join(named.hint("merge"), "component"), "ngram-linked")
+    linked = classes.select("sig", "rep", "node").join(found.hint("merge"), "node", "left")
+    linked = linked.select("sig", F.coalesce("component", "node").alias("node"), F.coalesce("component_id", "rep").alias("component_id"))
+    linked = materialise(linked, "ngram-components")
+    kind = docs.schema["doc_id"].dataType
+    joined = rows.join(linked.hint("merge"), "sig", "left")
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("component_id", F.col("doc_id").cast("long"))).cast(kind)
+    return joined.select("doc_id", "tag", "n", "sig", F.when(known, F.col("node")).alias("node"), component.alias("component_id"))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     Two documents link when their sets' Jaccard similarity is at least ``percent``
     in a hundred, in whole numbers. Texts that are null or without words have empty
     sets and link with nothing. A null ``doc_id`` links with nothing and has a null
-    component. A repeated ``doc_id`` counts as one document. Other columns are
-    ignored.
+    component. Repeated rows count as one document; rows that share a ``doc_id`` and
+    differ in their sets are documents of their own, which link each by its own text.
+    A component is named after its smallest ``doc_id``. Other columns are ignored.
     """
-    rows, classes, links = classes_and_links(docs, shingle, percent)
-    found = connected_components(links)
-    linked = classes.select("sig", "rep").join(found.hint("merge"), F.col("rep") == F.col("node"), "left")
-    linked = materialise(linked.select("sig", F.coalesce("component", "rep").alias("component_id")), "ngram-components")
-    kind = docs.schema["doc_id"].dataType
-    joined = rows.join(linked.hint("merge"), "sig", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", F.col("doc_id").cast("long"))).cast(kind)
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return grouped(docs, shingle, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -138,3 +138,39 @@ def test_pipeline_decisions(spark, sf_dir):
     coded = stages["BPE encoding and decoding"](spark, mixed, sf_dir)
     both = coded.groupBy("decoded_sha256").count().join(mixed.groupBy(F.sha2("text", 256).alias("decoded_sha256")).agg(F.count("*").alias("n")), "decoded_sha256")
     assert both.where("count = n").count() == mixed.select("text").distinct().count()
+
+
+def test_repeated_rows_join_as_one(spark, sf_dir):
+    """A table united with itself, and made-up repeats: the same groups as each row once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    a = [f"a{i}" for i in range(103)]
+    near = [*a[:100], "z1", "z2", "z3"]  # 97 of 103 shingles
+    half = [f"h{i}" for i in range(53)]
+    made = [(-1, " ".join(a)), (-2, " ".join(near)), (-3, " ".join([*half, *a[:50]])), (-4, " ".join([*half, *(f"b{i}" for i in range(50))]))]
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    want = {tuple(r) for r in ngram_join.near_copies(docs).collect()}
+    got = ngram_join.near_copies(docs.unionByName(docs)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == 2 * len(want)
+    by = {r[0]: r[2] for r in want}
+    assert by[-1] == by[-2] == -2 and by[-3] == -3 and by[-4] == -4
+    once = corpus_pipeline.drop_near_copies(spark, docs.unionByName(docs), sf_dir).select("doc_id").collect()
+    groups = ngram_join.near_copies(docs, corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT).select("component_id").distinct().collect()
+    assert sorted(once) == sorted(groups)
+
+
+def test_one_repeated_row_keeps_its_links(spark):
+    """Sets of 97 and 97, overlap 94: a set sent twice as large loses the link."""
+    a = [f"a{i}" for i in range(100)]
+    rows = [(1, " ".join(a)), (2, " ".join([*a[:97], "x", "y", "z"])), (1, " ".join(a))]
+    got = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 97, 1), (1, 97, 1), (2, 97, 1)]
+
+
+def test_texts_under_one_id_stay_apart(spark, sf_dir):
+    texts = [" ".join(f"{c}{i}" for i in range(100)) for c in "pqr"]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2] + " end"), (3, texts[2]), (2, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.near_copies(docs).collect())
+    assert got == [(1, 97, 1), (2, 97, 1), (2, 97, 2), (2, 98, 2), (3, 97, 2)]
+    kept = sorted(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
+    assert kept == sorted([rows[0], rows[1], rows[2]])
