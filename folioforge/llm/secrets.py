@@ -30,10 +30,10 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Names before = or :, of identifiers, secrets and endpoints; then values.
+#: Names before = or :, of identifiers, secrets and endpoints; then values. Other name characters may stand before a name (DB_USER).
 PAIR = re.compile(
-    r"""(?i:\b(?:(user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?|app_?id|tenant)"""
-    r"""|(pwd|pw|pass|passphrase|auth|credential|client_?secret|private_?key|signature|sig)"""
+    r"""(?i:(?:(user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?|app_?id|tenant)"""
+    r"""|(pwd|pw|pass|passphrase|auth|credential|client_?secret|secret_?access_?key|secret_?key|private_?key|signature|sig)"""
     r"""|(host(?:name)?|server|endpoint|url|uri|address|database|db)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@:=-]{3,})""",
     re.ASCII,
 )
@@ -55,7 +55,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Parts that need company, apart from what the base spans hold already."""
+    """Parts that need company, apart from what the base spans hold already. A URL may hold base spans and parts."""
     found = []
     if "=" in text or ":" in text:
         found += [(m.start(), m.end(), 3 if m[1] else 4 if m[2] else 5) for m in PAIR.finditer(text)]
@@ -63,15 +63,22 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     if not found and not base:
         return []
     found += [(m.start(), m.end(), 4) for m in MIXED.finditer(text)]
-    stops, free, at = [s[1] for s in base], [], 0
+    stops, free, at, url_at = [s[1] for s in base], [], 0, 0
     longest = list(stops)
     for i in range(1, len(longest)):
         longest[i] = max(longest[i], longest[i - 1])
     starts = [s[0] for s in base]
+    urls = {m.span() for m in URL.finditer(text)} if "://" in text else set()
     for span in sorted(found):
-        i = bisect.bisect_left(starts, span[1])
-        if span[0] >= at and not (i and longest[i - 1] > span[0]):
-            free.append(span)
+        # A URL is an endpoint beside the identifiers and secrets that it holds; other endpoints in it are part of it.
+        url = span[2] == 5 and span[:2] in urls
+        i = bisect.bisect_right(starts, span[0]) if url else bisect.bisect_left(starts, span[1])
+        if span[0] < at or (i and longest[i - 1] > span[0]) or (span[2] == 5 and span[0] < url_at):
+            continue
+        free.append(span)
+        if url:
+            url_at = span[1]
+        else:
             at = span[1]
     return free
 

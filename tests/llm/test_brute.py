@@ -49,6 +49,28 @@ def test_parts_count_only_together(spark):
     assert got == {1: "id:0:8,secret:9:20,endpoint:21:45", 2: "", 3: "", 4: ""}
 
 
+def test_parts_with_prefixed_names_and_in_urls(spark):
+    rows = [
+        (1, "DB_USER=admin\nDB_PASS=hunter2\nDB_HOST=db.internal"),
+        (2, "https://h/v1?client_id=abc&sig=xyz123"),
+        (3, "aws_access_key_id=abcdef db_pwd: s3cr"),
+        (4, "PGUSER=bob PGHOST=h.internal"),
+        (5, "user=bob AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEX"),
+        (6, "https://h/v1?client_id=abc&token=abcdefgh"),
+        (7, "https://h/v1?q=abc"),
+    ]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        1: "id:3:13,secret:17:29,endpoint:33:49",
+        2: "endpoint:0:37,id:13:26,secret:27:37",
+        3: "id:4:24,secret:28:37",
+        4: "",
+        5: "id:0:8,secret:13:63",
+        6: "endpoint:0:41,id:13:26,assign:27:41",
+        7: "",
+    }
+
+
 def test_line_chunks_survive_an_insertion(spark):
     body = "\n".join(f"line {i} of a long block" for i in range(40))
     rows = [(1, body), (2, "new first line\n" + body)]
