@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-OP2 = """
+#: The cuts of :data:`folioforge.llm.line_dedup.CUTS`, one row each.
+CUTS = "(VALUES (1, 1, 0, false), (1, 1, 1, true), (1, 2, 0, false), (1, 2, 1, true), (1, 4, 0, false), (1, 4, 1, true), (2, 1, 0, false), (2, 1, 1, true)) c(span, power, value, early)"
+
+OP2 = f"""
 WITH d AS (SELECT doc_id, text, md5(coalesce(text, '')) AS tag FROM documents),
 raw AS (SELECT doc_id, tag, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, tag, text FROM d) WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, tag, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos, len(ls) AS total FROM raw),
+lines AS (SELECT doc_id, tag, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM raw),
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT % 2147483647 AS h FROM lines),
-rolled AS (SELECT *, (coalesce(lag(h, 2) OVER w, 0) * 961 + coalesce(lag(h, 1) OVER w, 0) * 31 + h) % 2147483647 AS r
-           FROM hashed WINDOW w AS (PARTITION BY doc_id, tag ORDER BY pos)),
-cut AS (SELECT *, coalesce(sum(CASE WHEN r % 4 = 0 THEN 1 ELSE 0 END)
-                           OVER (PARTITION BY doc_id, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS idx FROM rolled),
-chunk AS (SELECT doc_id, tag, idx, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS body FROM cut GROUP BY ALL),
-multi AS (SELECT * FROM chunk WHERE n >= 2 AND length(trim(translate(body, chr(10) || chr(9) || chr(13), '   '), ' ')) > 0),
-ranked AS (SELECT doc_id, tag, idx, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, tag, idx) AS rn FROM multi),
-kept AS (SELECT c.doc_id, c.tag, c.idx, c.n, c.body, coalesce(r.rn, 1) > 1 AS gone
-         FROM chunk c LEFT JOIN ranked r ON c.doc_id IS NOT DISTINCT FROM r.doc_id AND c.tag = r.tag AND c.idx = r.idx),
-done AS (SELECT doc_id, tag, coalesce(string_agg(body, chr(10) ORDER BY idx) FILTER (NOT gone), '') AS text, sum(n)::BIGINT AS n_lines,
-                coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines, count(*) FILTER (gone) AS n_removed_chunks
-         FROM kept GROUP BY doc_id, tag)
+rolled AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id, tag ORDER BY pos), 0) * 31 + h) % 2147483647 AS r FROM hashed),
+anchor AS (SELECT doc_id, tag, pos, line, span, power, early, CASE WHEN ((CASE WHEN span = 1 THEN h ELSE r END) // power) % 2 = value THEN 1 ELSE 0 END AS hit
+           FROM rolled, {CUTS}),
+cut AS (SELECT *, coalesce(sum(hit) OVER (PARTITION BY doc_id, tag, span, power, early ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  + CASE WHEN early THEN hit ELSE 0 END AS idx FROM anchor),
+part AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, tag, span, power, early, idx ORDER BY pos) - 1) // 16 AS piece FROM cut),
+chunk AS (SELECT doc_id, tag, min(pos) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS body
+          FROM part GROUP BY doc_id, tag, span, power, early, idx, piece),
+multi AS (SELECT DISTINCT * FROM chunk WHERE n >= 2 AND length(trim(translate(body, chr(10) || chr(9) || chr(13), '   '), ' ')) > 0),
+ranked AS (SELECT doc_id, tag, start, n, row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, tag, start) AS rn FROM multi),
+gone AS (SELECT doc_id, tag, start, n FROM ranked WHERE rn > 1),
+counts AS (SELECT doc_id, tag, count(*) AS chunks FROM gone GROUP BY ALL),
+lost AS (SELECT DISTINCT doc_id, tag, unnest(range(start, start + n)) AS pos FROM gone),
+done AS (SELECT l.doc_id, l.tag, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (o.pos IS NULL), '') AS text, count(*) AS n_lines, count(o.pos) AS n_removed_lines
+         FROM lines l LEFT JOIN lost o ON l.doc_id IS NOT DISTINCT FROM o.doc_id AND l.tag = o.tag AND l.pos = o.pos GROUP BY l.doc_id, l.tag)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE x.text END AS text, coalesce(x.n_lines, 0) AS n_lines,
-       coalesce(x.n_removed_lines, 0) AS n_removed_lines, coalesce(x.n_removed_chunks, 0) AS n_removed_chunks
+       coalesce(x.n_removed_lines, 0) AS n_removed_lines, coalesce(k.chunks, 0) AS n_removed_chunks
 FROM d LEFT JOIN done x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.tag = x.tag AND d.text IS NOT NULL
+LEFT JOIN counts k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.tag = k.tag AND d.text IS NOT NULL
 """
 
 #: All pairs of one table's vectors: for small tables only.
