@@ -25,14 +25,17 @@ returns does not depend on tiles or order as far as components go.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.shingles import shingle_set
+from folioforge.llm.shingles import shingle_set, shingle_sets, slices
 from folioforge.operators.components import connected_components
 from folioforge.session import materialise
 
@@ -58,29 +61,36 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
     """A row per document: ``doc_id, tag, n, sig``; and rows ``column, times`` with what each task counted. ``tag`` is the text's hash, which tells rows that share a ``doc_id`` apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                found = shingle_set(text, shingle)
-                rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None))
+            for at, texts in slices(batch.column("text")):
+                found, begins = shingle_sets(texts, shingle)
+                sigs = [_signature(found[a:b]) if b > a else None for a, b in itertools.pairwise(begins.tolist())]
+                none = pa.nulls(len(texts), pa.int64())
+                own = [batch.column(c).slice(at, len(texts)) for c in ("doc_id", "tag")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(begins)), pa.array(sigs, pa.binary()), none, none], names)
                 held.append(found)
-            out = pd.DataFrame(rows, columns=["n", "sig"])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].reset_index(drop=True), "tag": batch["tag"].reset_index(drop=True), "n": out["n"].astype("Int64"), "sig": out["sig"], "column": pd.Series([None] * len(out), dtype="Int64"), "times": pd.Series([None] * len(out), dtype="Int64")})
-            if sum(map(len, held)) > COUNTED:
-                yield counted(held)
-                held = []
+                if sum(map(len, held)) > COUNTED:
+                    yield from counted(held, batch.schema.field("doc_id").type)
+                    held = []
         if held:
-            yield counted(held)
+            yield from counted(held, batch.schema.field("doc_id").type)
 
-    def counted(held: list[np.ndarray]) -> pd.DataFrame:
+    def counted(held: list[np.ndarray], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         column, times = np.unique(np.concatenate(held), return_counts=True)
-        more = times > 1
-        none = [None] * int(more.sum())
-        return pd.DataFrame({"doc_id": pd.Series(none, dtype="Int64"), "tag": pd.Series(none, dtype="Int64"), "n": pd.Series(none, dtype="Int64"), "sig": none, "column": column[more], "times": times[more]})
+        column, times = column[times > 1], times[times > 1]
+        none = [pa.nulls(len(column), t) for t in (id_type, pa.int64(), pa.int64(), pa.binary())]
+        whole = pa.RecordBatch.from_arrays([*none, pa.array(column), pa.array(times)], names)
+        for at in range(0, len(column), 100_000):
+            yield whole.slice(at, 100_000)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInPandas(describe, f"doc_id {kind}, tag long, n long, sig binary, column long, times long")
+    names = ["doc_id", "tag", "n", "sig", "column", "times"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(describe, f"doc_id {kind}, tag long, n long, sig binary, column long, times long")
+
+
+def _signature(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def _frequent(described: DataFrame) -> np.ndarray:
@@ -110,32 +120,33 @@ def _keys(docs: DataFrame, frequent: np.ndarray, shingle: int, percent: int) ->
     """``key, node, n``: the first columns of each set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = sent.value
         seen: set[bytes] = set()
         for batch in batches:
-            key, node, n = [], [], []
-            for text in batch["text"]:
-                found = shingle_set(text, shingle)
-                if not len(found):
-                    continue
-                sig = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                if sig in seen:
-                    continue
-                seen.add(sig)
+            for _, texts in slices(batch.column("text")):
+                found, begins = shingle_sets(texts, shingle)
+                size = np.diff(begins)
+                node = np.zeros(len(size), np.int64)
+                for i in np.flatnonzero(size):
+                    sig = _signature(found[begins[i] : begins[i + 1]])
+                    node[i] = int.from_bytes(sig[:8], "big", signed=True)
+                    if sig in seen:
+                        size[i] = 0
+                    seen.add(sig)
                 if len(seen) > 500_000:
                     seen.clear()
+                owner = np.repeat(np.arange(len(size)), np.diff(begins))
                 low = found & ((1 << BITS) - 1)
                 often = marks[low >> 3] >> (low & 7).astype(np.uint8) & 1
-                found = found[np.argsort(often, kind="stable")]
-                most = first_columns(len(found), percent)
-                key.append(found[:most])
-                node.append(np.full(most, int.from_bytes(sig[:8], "big", signed=True)))
-                n.append(np.full(most, len(found)))
-            if key:
-                yield pd.DataFrame({"key": np.concatenate(key), "node": np.concatenate(node), "n": np.concatenate(n)})
+                ordered = found[np.argsort(2 * owner + often, kind="stable")]
+                most = size - -(-percent * size // 100) + 1
+                first = (np.arange(len(found)) - begins[owner] < most[owner]) & (size[owner] > 0)
+                rows = owner[first]
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(ordered[first]), pa.array(node[rows]), pa.array(size[rows])], ["key", "node", "n"])
 
-    return docs.select("text").mapInPandas(keys, "key long, node long, n long")
+    return docs.select("text").mapInArrow(keys, "key long, node long, n long")
 
 
 class Forest:
@@ -274,12 +285,27 @@ def _visits(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     member = led.unionByName(many.select(F.col("center").alias("block"), "node")).distinct()
     member = materialise(member, "ngram-members").join(classes.select("node", "rep", "tag", "n").hint("merge"), "node")
     member = materialise(member, "ngram-placed")
-    blocks = member.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where("rows > 1")
-    tiles = F.least(F.ceil(F.col("total") / TILE), F.greatest(F.lit(TILES), F.ceil(F.col("total") / TILE_MOST)))
-    blocks = materialise(blocks.select("block", tiles.cast("int").alias("tiles")), "ngram-blocks")
-    member = member.join(blocks.hint("merge"), "block").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("tiles") - 1)
-    visit = F.transform(other, lambda t: F.struct(F.col("block").alias("block"), F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b"), F.col("tile").alias("tile")))
+    blocks = materialise(member.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where("rows > 1"), "ngram-blocks")
+    # A block that fills more than a tile is cut by size into ranges so wide that links stay within neighbours, and each range by hash into tiles.
+    wide = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    member = member.join(blocks.hint("merge"), "block").withColumn("range", F.when(F.col("total") <= TILE, 0).otherwise(F.floor(F.log("n") / wide)).cast("long"))
+    ranges = member.groupBy("block", "range", "total").agg(F.sum("n").alias("held"))
+    limit = F.greatest(F.lit(TILE), F.least(F.lit(TILE_MOST), F.col("total") / TILES))
+    ranges = ranges.select("block", "range", F.ceil(F.col("held") / limit).cast("int").alias("tiles"))
+    by_size = Window.partitionBy("block").orderBy("range")
+    beside = [F.when(f("range").over(by_size) == F.col("range") + step, f("tiles").over(by_size)).otherwise(0) for f, step in ((F.lag, -1), (F.lead, 1))]
+    ranges = materialise(ranges.select("block", "range", "tiles", beside[0].alias("under"), beside[1].alias("over")), "ngram-ranges")
+    member = member.join(ranges.hint("merge"), ["block", "range"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("long"))
+
+    def name(size_range: Column, tile: Column) -> Column:
+        return size_range * (1 << 32) + tile
+
+    def towards(step: int, tiles: str) -> Column:
+        none = F.array().cast("array<long>")
+        return F.when(F.col(tiles) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(tiles), F.lit(1)) - 1), lambda t: name(F.col("range") + step, t))).otherwise(none)
+
+    member = member.withColumn("tile", name(F.col("range"), F.col("own")))
+    visit = F.transform(F.concat(towards(-1, "under"), towards(0, "tiles"), towards(1, "over")), lambda t: F.struct(F.col("block").alias("block"), F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b"), F.col("tile").alias("tile")))
     return member.groupBy("node", "rep", "tag").agg(F.flatten(F.collect_list(visit)).alias("visits"))
 
 
@@ -291,7 +317,7 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     described = materialise(_described(docs, shingle), "ngram-described")
     rows = described.where("times is null").select("doc_id", "tag", "n", "sig")
     classes = rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.max("n").alias("n"))
-    classes = classes.select("sig", F.col("first.doc_id").cast("long").alias("rep"), "first.tag", "n", _node("sig").alias("node"))
+    classes = classes.select("sig", F.col("first.doc_id").cast("long").alias("rep"), "first.tag", "n", node_of("sig").alias("node"))
     classes = materialise(classes, "ngram-classes")
     keys = _keys(docs, _frequent(described), shingle, percent)
     found = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last"))
@@ -305,7 +331,7 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     return rows, classes, materialise(_products(placed, percent), "ngram-links")
 
 
-def _node(sig: str) -> Column:
+def node_of(sig: str) -> Column:
     """The first eight bytes of a signature as a signed number, as the Python side reads them."""
     high, low = [F.conv(F.hex(F.substring(sig, start, 4)), 16, 10).cast("long") for start in (1, 5)]
     return F.when(high >= 1 << 31, high - (1 << 32)).otherwise(high) * F.lit(1 << 32) + low
