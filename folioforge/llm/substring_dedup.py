@@ -1,25 +1,31 @@
 """Substring dedup by sliding runs of consecutive sentences.
 
 Every run of three consecutive sentences is hashed, as are runs of two or of one
-that are long enough to hold as much text. A run that occurs more than once stays
+that are long enough to hold as much text. Where three sentences are short, the run
+goes on until it holds as much: forwards from each start, and backwards from each
+end, so that a repeated passage is covered up to its last sentence. A run that occurs more than once stays
 where it occurs first (by document id, then text hash, then place); sentences
 that any later occurrence covers are removed.
 
-Runs travel as two hashes (96 bits together) and a place, never as text. Hot runs
+Runs travel as two hashes (88 bits together) and a place, never as text. Hot runs
 are counted by partial aggregation, and the joins back start at exchanges that
 the adaptive planner may split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.arrays import let
 from folioforge.session import materialise
 
-#: (sentences, least characters) of the runs that are compared.
+#: (sentences, least characters) of the runs that are compared. The first kind grows beyond its sentences until it has its characters.
 RUNS = ((3, 90), (2, 150), (1, 250))
+#: Sentences that a growing run looks at first.
+FEW_MORE = 4
 #: A sentence starts after a mark and white space, or after a line's end.
 BORDER = r"(?<=[.!?]\s)(?=\S)|(?<=\n)(?=\S)"
 SPACE = " \t\n\r\x0b\x0c"
@@ -37,25 +43,67 @@ def run_hashes(text: Column, runs: tuple[tuple[int, int], ...] = RUNS) -> Column
     def of(trimmed: Column) -> Column:
         count = F.size(trimmed)
 
-        def kind(n: int, least: int) -> Column:
-            def at(i: Column) -> Column:
-                def packed(body: Column) -> Column:
-                    second = F.pmod(F.hash(body), F.lit(1 << 30)).cast("long")
-                    return F.when(F.length(body) >= least, F.struct(F.xxhash64(body).alias("key"), (i.cast("long") * (1 << 32) + second * 4 + n).alias("mark")))
+        def kinds(lengths: Column) -> Column:
+            def chars(i: Column, n: int) -> Column:
+                return sum((F.get(lengths, i - 1 + k) for k in range(1, n)), F.get(lengths, i - 1)) + (n - 1)
+
+            def starts(n: int, kept: Callable[[Column], Column]) -> Column:
+                return F.when(count >= n, F.filter(F.sequence(F.lit(1), count - (n - 1)), kept)).otherwise(F.array().cast("array<int>"))
+
+            def fixed(n: int, least: int) -> Column:
+                return F.transform(starts(n, lambda i: chars(i, n) >= least), lambda i: i.cast("long") * 256 + n)
+
+            def grown(n: int, least: int) -> Column:
+                """From each start, and up to each end, where ``n`` sentences are short: as many more as it takes, if there are."""
+                short = starts(n, lambda i: chars(i, n) < least)
+
+                def full(a: Column) -> Column:
+                    return (a["n"] >= n) & (a["c"] + a["n"] - 1 >= least)
+
+                def taken(some: Column) -> Column:
+                    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"))
+                    return F.aggregate(some, none, lambda a, x: F.when(full(a), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["c"] + x).alias("c"))), lambda a: F.when(full(a), a["n"]))
+
+                # A few more sentences nearly always do; so many as ``least`` more always, as each has a character.
+                def from_one(some: Callable[[int], Column]) -> Column:
+                    return F.coalesce(taken(some(n + FEW_MORE)), taken(some(n + least)))
+
+                def forwards(i: Column) -> Column:
+                    return i.cast("long") * 256 + from_one(lambda most: F.slice(lengths, i, F.lit(most)))
+
+                def backwards(i: Column) -> Column:
+                    last = i + (n - 1)
+
+                    def some(most: int) -> Column:
+                        first = F.greatest(F.lit(1), last - (most - 1))
+                        return F.reverse(F.slice(lengths, first, last - first + 1))
+
+                    return let(from_one(some), lambda k: (last - k + 1).cast("long") * 256 + k)
+
+                return F.array_compact(F.concat(F.transform(short, forwards), F.transform(short, backwards)))
+
+            # Place and number of sentences in one number, as only arrays of such are made distinct by hashing.
+            every = F.array_distinct(F.concat(grown(*runs[0]), *[fixed(n, least) for n, least in runs]))
+
+            def packed(run: Column) -> Column:
+                first, n = F.shiftright(run, 8), F.pmod(run, F.lit(256))
+
+                def marked(body: Column) -> Column:
+                    second = F.pmod(F.hash(body), F.lit(1 << 24)).cast("long")
+                    return F.struct(F.xxhash64(body).alias("key"), (first * (1 << 32) + second * 256 + n).alias("mark"))
 
-                return let(F.array_join(F.slice(trimmed, i, n), " "), packed)
+                return let(F.array_join(F.slice(trimmed, first.cast("int"), n.cast("int")), " "), marked)
 
-            places = F.when(count >= n, F.sequence(F.lit(1), count - (n - 1))).otherwise(F.array().cast("array<int>"))
-            return F.array_compact(F.transform(places, at))
+            return F.transform(every, packed)
 
-        return F.flatten(F.array(*[kind(n, least) for n, least in runs]))
+        return let(F.transform(trimmed, F.length), kinds)
 
     return let(F.transform(sentences(text), lambda s: F.trim(s, F.lit(SPACE))), of)
 
 
 def covered(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
     """``doc_id, tag, spans``: the repeated spans ``(first, n)`` in sentences that each row of ``docs(doc_id, tag, text)`` loses."""
-    each = docs.select("doc_id", "tag", F.inline(run_hashes(F.col("text"), runs)))
+    each = materialise(docs.select("doc_id", "tag", F.inline(run_hashes(F.col("text"), runs))), "span-runs")
     many = materialise(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "span-keys")
     hits = each.join(many.hint("merge"), "key", "left_semi").withColumn("check", F.col("mark") % (1 << 32)).withColumn("first", F.floor(F.col("mark") / (1 << 32)).cast("int"))
     hits = materialise(hits.drop("mark"), "span-hits")
@@ -63,7 +111,7 @@ def covered(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> DataFr
     keep = materialise(hits.groupBy("key", "check").agg(F.min(place).alias("keep")), "span-first")
     both = hits.alias("x").join(keep.hint("merge").alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.check") == F.col("y.check")))
     later = both.where(~F.struct("x.doc_id", "x.tag", "x.first").eqNullSafe(F.col("y.keep")))
-    later = later.select("x.doc_id", "x.tag", F.struct(F.col("x.first"), (F.col("x.check") % 4).cast("int").alias("n")).alias("span"))
+    later = later.select("x.doc_id", "x.tag", F.struct(F.col("x.first"), (F.col("x.check") % 256).cast("int").alias("n")).alias("span"))
     return later.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
@@ -84,7 +132,7 @@ def dedup_spans(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> Da
 
     def rest(pieces: Column) -> Column:
         def by(lost: Column) -> Column:
-            kept = F.filter(pieces, lambda p, i: ~F.array_contains(lost, i + 1))
+            kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(pieces)), lost), lambda i: F.element_at(pieces, i))
             return F.struct(F.array_join(kept, "").alias("text"), F.size(pieces).cast("long").alias("n"), F.size(lost).cast("long").alias("lost"))
 
         empty = F.array().cast("array<int>")
