@@ -59,14 +59,18 @@ def chunk_places(text: Column, min_lines: int = MIN_LINES) -> Column:
                     def split(end: Column, i: Column) -> Column:
                         start = F.coalesce(F.get(e, i - 1), F.lit(0))
                         some = F.sequence(F.lit(0), F.floor((end - start - 1) / MOST_LINES).cast("int"))
-                        return F.transform(some, lambda k: F.struct((start + k * MOST_LINES + 1).alias("start"), F.least(F.lit(MOST_LINES), end - start - k * MOST_LINES).alias("n")))
+                        return F.transform(some, lambda k: (start + k * MOST_LINES + 1).cast("long") * 256 + F.least(F.lit(MOST_LINES), end - start - k * MOST_LINES))
 
                     return F.flatten(F.transform(e, split))
 
-                return F.filter(let(ends, pieces), lambda c: c["n"] >= min_lines)
+                return F.filter(let(ends, pieces), lambda c: c % 256 >= min_lines)
 
-            every = F.array_distinct(F.flatten(F.array(*[one(rule) for rule in CUTS])))
-            keyed = F.transform(every, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(F.slice(h, c["start"], c["n"])).alias("key")))
+            def keyed_one(c: Column) -> Column:
+                start, n = F.shiftright(c, 8).cast("int"), (c % 256).cast("int")
+                return F.struct(start.alias("start"), n.alias("n"), F.xxhash64(F.slice(h, start, n)).alias("key"))
+
+            # Start and number of lines in one number, as only arrays of such are made distinct by hashing.
+            keyed = F.transform(F.array_distinct(F.flatten(F.array(*[one(rule) for rule in CUTS]))), keyed_one)
             return F.filter(keyed, lambda c: F.exists(F.slice(lines, c["start"], c["n"]), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0))
 
         return let(F.transform(lines, _line_hash), places)
@@ -113,7 +117,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     def rest(lines: Column) -> Column:
         def left(lost: Column) -> Column:
-            kept = F.filter(lines, lambda x, i: ~F.array_contains(lost, i + 1))
+            kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), lost), lambda i: F.element_at(lines, i))
             return F.struct(F.array_join(kept, "\n").alias("text"), F.size(lost).cast("long").alias("n"))
 
         return let(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))), left)
