@@ -8,9 +8,11 @@ is the same as counting shared pivots but never touches vectors that share one.
 A pair that shares more is verified under its two smallest pivots only, so that
 links can be counted where they are found and no pair is emitted.
 
-The number of pivots follows the square root of the number of vectors, so lists
-stay about as long as the table grows; every vector is indexed. A long list (many
-near copies) is cut into tiles, and each pair of tiles is one small product.
+The number of pivots follows the square root of the number of vectors up to 8,192
+(reached at 67 million vectors), where there are up to 33 million lists; every
+vector is indexed. A long list (many near copies) is cut into tiles, and each pair
+of tiles is one small product. Lists and tiles are planned on ids alone; vectors
+are shuffled once, to the products.
 """
 
 from __future__ import annotations
@@ -22,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.ngram_join import Forest
+from folioforge.llm.ngram_join import Forest, node_of
 from folioforge.llm.vectors import finite_rows
 from folioforge.operators.components import connected_components
 from folioforge.session import materialise
 
-COSINE, PREFIX, SHARED = 0.95, 6, 2
-PIVOTS_LEAST, PIVOTS_MOST = 64, 1024
+COSINE, PREFIX, SHARED = 0.95, 5, 2
+PIVOTS_LEAST, PIVOTS_MOST = 64, 8192
 #: Vectors in the sample for each pivot wanted, and the cosine that two pivots stay below.
 SAMPLED, APART = 4, 0.5
 #: Vectors in a tile: at least, at most; tiles of a list before they grow beyond the least.
@@ -43,9 +46,9 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     """``vec_id, sig, unit``: signature and unit vector (float64), null for vectors that take no part."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
-    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, rows = finite_rows(batch["embedding"])
+            good, rows = finite_rows(batch.column("embedding").to_pandas())
             sig, unit = [None] * len(batch), [None] * len(batch)
             for at, row in zip(np.flatnonzero(good), rows, strict=True):
                 top = np.abs(row).max()
@@ -53,9 +56,9 @@ def _prepared(vectors: DataFrame) -> DataFrame:
                     row = row / top  # squares then neither overflow nor vanish
                     unit[at] = (row / np.sqrt(row @ row)).tobytes()
                     sig[at] = hashlib.blake2b(unit[at], digest_size=16).digest()
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "sig": sig, "unit": unit})
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sig, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "sig", "unit"])
 
-    return vectors.select("vec_id", "embedding").mapInPandas(prepare, f"vec_id {kind}, sig binary, unit binary")
+    return vectors.select("vec_id", "embedding").mapInArrow(prepare, f"vec_id {kind}, sig binary, unit binary")
 
 
 def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
@@ -67,17 +70,19 @@ def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     total = classes.count()
     want = min(PIVOTS_MOST, max(PIVOTS_LEAST, math.isqrt(total)))
     rows = classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(SAMPLED * want).collect()
-    out: dict[int, list[np.ndarray]] = {}
+    out: dict[int, np.ndarray] = {}
+    held: dict[int, int] = {}
     for row in rows:
         unit = np.frombuffer(row["unit"], np.float64)
-        kept = out.setdefault(len(unit), [])
-        if len(kept) < want and (not kept or (np.stack(kept) @ unit).max() < APART):
-            kept.append(unit)
-    return {n: np.stack(units) for n, units in out.items()}
+        kept = out.setdefault(len(unit), np.empty((want, len(unit))))
+        n = held.get(len(unit), 0)
+        if n < want and (not n or (kept[:n] @ unit).max() < APART):
+            kept[n], held[len(unit)] = unit, n + 1
+    return {dim: kept[: held[dim]] for dim, kept in out.items()}
 
 
 def _listed(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """``rep, size, unit, prefix, lists``: the nearest pivots in order, and the lists ``p * PIVOTS_MOST + q`` that hold the vector.
+    """``node, size, unit, prefix, lists``: the nearest pivots in order, and the lists ``p * PIVOTS_MOST + q`` that hold the vector.
 
     Vectors of a dimension that no pivot has go to a list of their own dimension.
     """
@@ -92,9 +97,9 @@ def _listed(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 near = np.argsort(-(own @ unit), kind="stable")[:PREFIX]
                 prefixes.append(near.tolist())
                 lists.append([-len(unit)] if len(near) < SHARED else [len(unit) * PIVOTS_MOST**SHARED + sum(p * PIVOTS_MOST**i for i, p in enumerate(reversed(ps))) for ps in itertools.combinations(sorted(near.tolist()), SHARED)])
-            yield pd.DataFrame({"rep": batch["rep"], "size": batch["size"], "unit": batch["unit"], "prefix": prefixes, "lists": lists})
+            yield pd.DataFrame({"node": batch["node"], "size": batch["size"], "unit": batch["unit"], "prefix": prefixes, "lists": lists})
 
-    return classes.select("rep", "size", "unit").mapInPandas(describe, "rep long, size long, unit binary, prefix array<int>, lists array<long>")
+    return classes.select("node", "size", "unit").mapInPandas(describe, "node long, size long, unit binary, prefix array<int>, lists array<long>")
 
 
 def list_links(list_id: int, reps: np.ndarray, sizes: np.ndarray, units: np.ndarray, prefixes: np.ndarray, tile: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -135,7 +140,7 @@ def _sparse(near: np.ndarray, forest: Forest, at: int) -> Iterator[tuple[int, in
 
 
 def _verified(tiled: DataFrame, cosine: float) -> DataFrame:
-    """``rep, links, other``: link counts (``other`` null), and edges ``rep, other`` (``links`` null)."""
+    """``node, links, other``: link counts (``other`` is the node itself), and edges ``node, other`` (``links`` is 0)."""
 
     def flush(key: tuple, rows: list[tuple]) -> tuple[list, list]:
         if len(rows) < 2:
@@ -151,7 +156,8 @@ def _verified(tiled: DataFrame, cosine: float) -> DataFrame:
         key, rows = None, []
 
         def out(counts: list, edges: list) -> pd.DataFrame:
-            return pd.DataFrame([(r, c, None) for r, c in counts] + [(a, None, b) for a, b in edges], columns=["rep", "links", "other"]).astype("Int64")
+            # No nulls, as integers beside nulls would become doubles.
+            return pd.DataFrame([(r, c, r) for r, c in counts] + [(a, 0, b) for a, b in edges], columns=["node", "links", "other"], dtype="int64")
 
         for batch in batches:
             counts, edges = [], []
@@ -164,7 +170,7 @@ def _verified(tiled: DataFrame, cosine: float) -> DataFrame:
             yield out(counts, edges)
         yield out(*flush(key, rows))
 
-    return tiled.select("list", "a", "b", "tile", "rep", "size", "unit", "prefix").mapInPandas(run, "rep long, links long, other long")
+    return tiled.select("list", "a", "b", "tile", "node", "size", "unit", "prefix").mapInPandas(run, "node long, links long, other long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -180,22 +186,26 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     prepared = materialise(_prepared(vectors), "vec-prepared")
     valid = prepared.where("sig is not null and vec_id is not null")
     classes = valid.groupBy("sig").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("size"), F.min("unit").alias("unit"))
-    classes = materialise(classes, "vec-classes")
+    classes = materialise(classes.withColumn("node", node_of("sig")), "vec-classes")
     listed = materialise(_listed(classes, _pivots(classes)), "vec-listed")
-    entries = listed.select("rep", F.explode("lists").alias("list"))
+    entries = listed.select("node", F.explode("lists").alias("list"))
     lengths = entries.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
     tiles = F.least(F.ceil(F.col("length") / TILE), F.greatest(F.lit(TILES), F.ceil(F.col("length") / TILE_MOST)))
     lengths = materialise(lengths.select("list", tiles.cast("int").alias("tiles")), "vec-lengths")
-    rows = listed.select("rep", "size", "unit", "prefix", F.explode("lists").alias("list")).join(lengths.hint("merge"), "list")
-    rows = rows.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.withColumn("a", F.least("tile", "to")).withColumn("b", F.greatest("tile", "to"))
+    entries = entries.join(lengths.hint("merge"), "list").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # The same pair stands in tile pairs (a, a) once and (a, b) once, never in both.
-    tiled = rows.repartition("list", "a", "b").sortWithinPartitions("list", "a", "b", "rep")
+    to = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.col("list").alias("list"), F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b"), F.col("tile").alias("tile")))
+    visits = materialise(entries.groupBy("node").agg(F.flatten(F.collect_list(to)).alias("visits")), "vec-visits")
+    rows = listed.drop("lists").join(visits.hint("merge"), "node").select(F.explode("visits").alias("v"), "node", "size", "unit", "prefix").select("v.*", "node", "size", "unit", "prefix")
+    tiled = rows.repartition("list", "a", "b").sortWithinPartitions("list", "a", "b", "node")
     found = materialise(_verified(tiled, cosine), "vec-links")
-    counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
-    per_class = classes.select("sig", "rep", "size").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    per_class = per_class.select("sig", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    counts = found.where("other = node").groupBy("node").agg(F.sum("links").alias("links"))
+    parts = connected_components(found.where("other <> node").select(F.col("node").alias("src"), F.col("other").alias("dst")))
+    parts = materialise(parts, "vec-parts")
+    named = parts.join(classes.select("node", "rep").hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    parts = parts.join(materialise(named, "vec-named").hint("merge"), "component").select("node", "component_id")
+    per_class = classes.select("sig", "node", "rep", "size").join(counts, "node", "left").join(parts, "node", "left")
+    per_class = per_class.select("sig", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component"))
     per_class = materialise(per_class, "vec-result")
     key = F.when(F.col("vec_id").isNotNull(), F.col("sig"))
     joined = prepared.select("vec_id", key.alias("sig")).join(per_class.hint("merge"), "sig", "left")
