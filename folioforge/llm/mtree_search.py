@@ -2,16 +2,20 @@
 
 With M the largest norm, a vector x becomes the point (x, sqrt(M^2 - |x|^2)) and a
 query q the point (q, 0); the nearest points then have the largest inner products,
-so a metric tree gives exact answers. The tree has three levels: a bounded sample
-of routing objects, pages of at most ``PAGE`` vectors each (all the vectors, in the
-order of their routing object and their distance from it, cut into pages by Spark),
-and the entries of a page. A page stores its centre, its covering radius, and its
-distance from the parent; an entry stores its distance from the centre.
-
-A query first gets the k-th best score of its own page. Blocks of queries then meet
-shards of pages. In a shard, a query opens pages in the order of their lower bounds
-until none can hold a better entry. The bounds use stored distances: the parent's
-before the centre's distance is computed, the centre's before the entry's.
+so a metric tree gives exact answers. The tree has four levels: a bounded sample
+of routing objects with covering radii; nodes of ``NODE_PAGES`` pages; pages of at
+most ``PAGE`` vectors (all the vectors, in the order of their routing object and
+their distance from it, cut into pages by Spark); and the entries of a page. Nodes
+and pages store a centre, a covering radius and the distance from their routing
+object; an entry stores its distance from the page's centre.
+
+A query first gets the k-th best score of its own page. It goes to the routing
+objects, and below them to the nodes, whose bounds beat that score: a list of
+(query, node), with no vectors but the nodes' centres. It searches its best node
+first, and then those others that the score found there still admits. Pages travel
+only to the queries that ask for them. In a node, a query opens pages in the order
+of their bounds until none can hold a better entry; stored distances are tried
+before a distance is computed.
 """
 
 from __future__ import annotations
@@ -20,21 +24,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.vectors import finite_rows
 from folioforge.session import materialise
 
 SCALE, TOP, EVERY = 1024, 10, 100
-ROUTES, PAGE, SHARD_PAGES, BLOCK = 64, 256, 32, 4096
-#: Sums below this are exact in double precision.
-EXACT = float(2**52)
+ROUTES, PAGE, NODE_PAGES = 64, 256, 32
+#: Queries that meet the nodes of a routing object at once, and that search a node at once.
+ASKING, SEARCHING = 16_384, 2_048
+#: Sums below this are exact in double precision; sums from this on might not fit a score.
+EXACT, TOO_LARGE = float(2**52), float(2**62)
 
 
 def scaled(column: pd.Series) -> tuple[np.ndarray, list[bytes]]:
     """Which entries take part, and ``floor(SCALE * x)`` of those, as int64 bytes."""
     good, rows = finite_rows(column)
+    if any(np.abs(r).max() * SCALE >= TOO_LARGE for r in rows):
+        raise OverflowError("a component is too large for an integer score of 64 bits")
     return good, [np.floor(SCALE * r).astype(np.int64).tobytes() for r in rows]
 
 
@@ -42,21 +52,23 @@ def _points(vectors: DataFrame) -> DataFrame:
     """``vec_id, dim, norm2, vec`` of the vectors that take part."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
 
-    def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, rows = scaled(batch["embedding"])
-            ints = [np.frombuffer(r, np.int64) for r in rows]
-            yield pd.DataFrame({"vec_id": batch["vec_id"][good].to_numpy(), "dim": np.array([len(r) for r in ints], np.int32), "norm2": np.array([float(r.astype(float) @ r.astype(float)) for r in ints]), "vec": rows})
+            good, rows = scaled(batch.column("embedding").to_pandas())
+            ints = [np.frombuffer(r, np.int64).astype(float) for r in rows]
+            columns = [batch.column("vec_id").filter(pa.array(good)), pa.array([len(r) for r in ints], pa.int32()), pa.array([float(r @ r) for r in ints], pa.float64()), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "norm2", "vec"])
 
-    return vectors.where("vec_id is not null").select("vec_id", "embedding").mapInPandas(scale, f"vec_id {kind}, dim int, norm2 double, vec binary")
+    return vectors.where("vec_id is not null").select("vec_id", "embedding").mapInArrow(scale, f"vec_id {kind}, dim int, norm2 double, vec binary")
 
 
 def scores(many: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Exact inner products of int64 rows with one row."""
     a, b = many.astype(np.float64), one.astype(np.float64)
-    if np.abs(a).sum(axis=1).max(initial=0) * np.abs(b).max(initial=0) < EXACT:
-        return (a @ b).astype(np.int64)
-    return many @ one
+    most = np.abs(a).sum(axis=1).max(initial=0) * np.abs(b).max(initial=0)
+    if most >= TOO_LARGE:
+        raise OverflowError("an inner product may be too large for an integer score of 64 bits")
+    return (a @ b).astype(np.int64) if most < EXACT else many @ one
 
 
 def lifted(rows: np.ndarray, top2: float) -> np.ndarray:
@@ -99,14 +111,14 @@ def make_page(ids: np.ndarray, rows: np.ndarray, parent: np.ndarray | None, top2
     return {"n": len(ids), "centre": rows[centre].tobytes(), "radius": float(away.max()), "up": up, "ids": ids[order].tobytes(), "vecs": rows[order].tobytes(), "away": away[order].tobytes()}
 
 
-PAGE_COLUMNS = "dim int, route int, n int, centre binary, radius double, up double, ids binary, vecs binary, away binary, seeds array<struct<id:long,floor:long,vec:binary>>"
+PAGE_COLUMNS = "node long, dim int, route int, n int, centre binary, radius double, up double, ids binary, vecs binary, away binary, seeds array<struct<id:long,floor:long,vec:binary>>"
 
 
 def _pages(routed: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarray], every: int, k: int) -> DataFrame:
     """Pages from rows sorted by routing object and distance; ``seeds`` are a page's own queries with a score that their k-th best reaches."""
     sent = routed.sparkSession.sparkContext.broadcast((tops, routes))
 
-    def page(dim: int, route: int, ids: list[int], vecs: list[bytes]) -> dict:
+    def page(node: int, dim: int, route: int, ids: list[int], vecs: list[bytes]) -> dict:
         top, objects = sent.value
         own, rows = np.array(ids, np.int64), np.stack([np.frombuffer(v, np.int64) for v in vecs])
         seeds = []
@@ -115,21 +127,25 @@ def _pages(routed: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarr
             least = int(np.partition(others, -k)[-k]) if len(others) >= k else None
             seeds.append({"id": int(own[i]), "floor": least, "vec": rows[i].tobytes()})
         parent = objects[dim][route] if dim in objects else None
-        return {"dim": dim, "route": route, **make_page(own, rows, parent, top[dim]), "seeds": seeds}
+        return {"node": node, "dim": dim, "route": route, **make_page(own, rows, parent, top[dim]), "seeds": seeds}
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in PAGE_COLUMNS.replace(",floor:long,vec:binary", "").split(", ")]
-        at, ids, vecs = None, [], []
+        at, ids, vecs, made, node = None, [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             out = []
             for dim, route, vec_id, vec in batch.itertuples(index=False, name=None):
                 if (dim, route) != at or len(ids) == PAGE:
-                    out += [page(*at, ids, vecs)] if ids else []
+                    if ids:
+                        out.append(page(node, *at, ids, vecs))
+                        made += 1
+                    if (dim, route) != at or made == NODE_PAGES:
+                        made, node = 0, node + 1
                     at, ids, vecs = (dim, route), [], []
                 ids.append(vec_id)
                 vecs.append(vec)
             yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame([page(*at, ids, vecs)] if ids else [], columns=names)
+        yield pd.DataFrame([page(node, *at, ids, vecs)] if ids else [], columns=names)
 
     return routed.select("dim", "route", "vec_id", "vec").mapInPandas(pages, PAGE_COLUMNS)
 
@@ -153,11 +169,9 @@ def search(pages: list[dict], query: int, vec: np.ndarray, floor: float, routes:
     """Best-first over pages of the query's dimension; ``centres`` and ``lifted`` of a page are made once."""
     q2 = float(vec.astype(float) @ vec.astype(float))
     point = np.append(vec.astype(np.float64), 0.0)[None]
-    slack = 1e-9 * (q2 + top2) + 1.0
 
     def reach(distance: np.ndarray) -> np.ndarray:
-        """The largest inner product of a point at least so far away."""
-        return (q2 + top2 - np.maximum(distance, 0) ** 2) / 2 + slack
+        return _reach(q2, top2, distance)
 
     best = Best(k, floor)
     routed = _distances(point, lifted(routes, top2))[0] if routes is not None else np.zeros(1)
@@ -178,6 +192,107 @@ def search(pages: list[dict], query: int, vec: np.ndarray, floor: float, routes:
     return best
 
 
+def _nodes(pages: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarray]) -> DataFrame:
+    """``node, dim, route, centre, cover, up``: for NODE_PAGES pages each, the page centre with the smallest covering radius."""
+    sent = pages.sparkSession.sparkContext.broadcast((tops, routes))
+
+    def node(own: pd.DataFrame) -> pd.DataFrame:
+        top, objects = sent.value
+        dim, route = int(own["dim"].iloc[0]), int(own["route"].iloc[0])
+        points = lifted(np.stack([np.frombuffer(c, np.int64) for c in own["centre"]]), top[dim])
+        covers = (_distances(points, points) + own["radius"].to_numpy()[None, :]).max(axis=1)
+        best = int(covers.argmin())
+        up = float(_distances(points[best : best + 1], lifted(objects[dim][route][None], top[dim]))[0, 0]) if dim in objects else 0.0
+        return pd.DataFrame({"node": own["node"].iloc[:1], "dim": dim, "route": route, "centre": [own["centre"].iloc[best]], "cover": float(covers[best]), "up": up})
+
+    return pages.select("node", "dim", "route", "centre", "radius").groupBy("node").applyInPandas(node, "node long, dim int, route int, centre binary, cover double, up double")
+
+
+def _reach(q2: np.ndarray, top2: float, distance: np.ndarray) -> np.ndarray:
+    """The largest inner product that a point at least so far from the query may have."""
+    return (q2 + top2 - np.maximum(distance, 0) ** 2) / 2 + 1e-9 * (q2 + top2) + 1.0
+
+
+def _below(score: Column | str) -> Column:
+    """A double that is not above the score, whatever the rounding."""
+    value = F.col(score) if isinstance(score, str) else score
+    return value.cast("double") - F.abs(value.cast("double")) * 2.0**-50
+
+
+def _admitted(queries: DataFrame, nodes: DataFrame, n_queries: int, tops: dict[int, float], routes: dict[int, np.ndarray]) -> DataFrame:
+    """``key, node, reach``: the nodes that may hold an entry as good as a query's ``floor``."""
+    spark = queries.sparkSession
+    radii = {(r["dim"], r["route"]): r["radius"] for r in nodes.groupBy("dim", "route").agg(F.max(F.col("up") + F.col("cover")).alias("radius")).collect()}
+    sent = spark.sparkContext.broadcast((tops, routes, radii))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top, objects, radius = sent.value
+        for batch in batches:
+            for dim, part in batch.groupby("dim"):
+                vec = np.stack([np.frombuffer(v, np.int64) for v in part["vec"]]).astype(np.float64)
+                q2, floor = (vec * vec).sum(axis=1)[:, None], part["floor"].fillna(-np.inf).to_numpy()[:, None]
+                own = np.array([r for d, r in radius if d == dim])
+                away = np.zeros((len(part), len(own)))
+                if dim in objects:
+                    away = _distances(np.hstack([vec, np.zeros((len(vec), 1))]), lifted(objects[dim][own], top[dim])) - np.array([radius[dim, r] for r in own])
+                rows, cols = np.nonzero(_reach(q2, top[dim], away) >= floor)
+                yield pd.DataFrame({"dim": dim, "route": own[cols], "key": part["key"].to_numpy()[rows], "floor": floor[rows, 0], "vec": part["vec"].to_numpy()[rows]})
+
+    asked = queries.select("dim", "key", "vec", "floor").mapInPandas(ask, "dim int, route int, key long, floor double, vec binary")
+    blocks = max(1, -(-n_queries // ASKING))
+    asked = asked.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
+    offered = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def compare(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        top, objects, _ = sent.value
+        names, out = ["key", "node", "reach"], []
+        if not len(own) or not len(found):
+            return pd.DataFrame(out, columns=names)
+        dim = int(found["dim"].iloc[0])
+        centres = lifted(np.stack([np.frombuffer(c, np.int64) for c in found["centre"]]), top[dim])
+        node, cover, key = found["node"].to_numpy(), found["cover"].to_numpy(), own["key"].to_numpy()
+        for at in range(0, len(own), 256):
+            part = own.iloc[at : at + 256]
+            vec = np.stack([np.frombuffer(v, np.int64) for v in part["vec"]]).astype(np.float64)
+            q2 = (vec * vec).sum(axis=1)[:, None]
+            reach = _reach(q2, top[dim], _distances(np.hstack([vec, np.zeros((len(vec), 1))]), centres) - cover)
+            rows, cols = np.nonzero(reach >= part["floor"].to_numpy()[:, None])
+            out.append(pd.DataFrame({"key": key[at + rows], "node": node[cols], "reach": reach[rows, cols]}))
+        return pd.concat(out)
+
+    by = ["dim", "route", "block"]
+    return asked.groupBy(*by).cogroup(offered.groupBy(*by)).applyInPandas(compare, "key long, node long, reach double")
+
+
+def _searched(wanted: DataFrame, queries: DataFrame, pages: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarray], k: int) -> DataFrame:
+    """``key, vec_id, score``: the ``k`` best of each node for each query of ``wanted(key, node, floor)``, none below the floor."""
+    sent = pages.sparkSession.sparkContext.broadcast((tops, routes))
+    demand = wanted.groupBy("node").agg(F.ceil(F.count("*") / SEARCHING).cast("int").alias("blocks"))
+    demand = materialise(demand, "mtree-demand")
+    left = wanted.join(demand.hint("merge"), "node").withColumn("block", F.pmod("key", F.col("blocks")).cast("int")).drop("blocks")
+    left = left.join(queries.select("key", "id", "vec").hint("merge"), "key")
+    right = pages.drop("seeds").join(demand.hint("merge"), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def meet(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        top, objects = sent.value
+        out = []
+        if len(own) and len(found):
+            dim = int(found["dim"].iloc[0])
+            held = [
+                {
+                    "route": p.route, "up": p.up, "radius": p.radius, "ids": np.frombuffer(p.ids, np.int64), "away": np.frombuffer(p.away, np.float64),
+                    "vecs": np.frombuffer(p.vecs, np.int64).reshape(p.n, dim), "point": lifted(np.frombuffer(p.centre, np.int64)[None], top[dim]),
+                }
+                for p in found.itertuples()
+            ]
+            for q in own.itertuples():
+                best = search(held, q.id, np.frombuffer(q.vec, np.int64), q.floor, objects.get(dim), top[dim], k)
+                out += [(q.key, int(i), int(s)) for i, s in zip(best.ids, best.scores, strict=True)]
+        return pd.DataFrame(out, columns=["key", "vec_id", "score"])
+
+    return left.groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInPandas(meet, "key long, vec_id long, score long")
+
+
 def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose ``vec_id`` is divisible by ``every``, its ``k`` best others.
 
@@ -186,7 +301,8 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
     non-finite component, takes no part, nor does a row with a null ``vec_id``;
     vectors of another dimension are no candidates. Rows that repeat a query's
     ``vec_id`` are its own; a query that occurs more than once gives one result if
-    its rows agree, one for each vector otherwise. Other columns are ignored.
+    its rows agree, one for each vector otherwise. Other columns are ignored. Vectors
+    whose scores might not fit 64 bits raise an OverflowError.
     """
     spark = vectors.sparkSession
     points = materialise(_points(vectors), "mtree-points")
@@ -201,30 +317,19 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = routed.repartitionByRange(parts, "dim", "route", "away", "vec_id").sortWithinPartitions("dim", "route", "away", "vec_id")
     pages = materialise(_pages(ordered, tops, routes, every, k), "mtree-pages")
-    queries = pages.select("dim", F.inline("seeds")).dropDuplicates(["id", "vec"])
-    n_pages, n_queries = pages.count(), queries.count()
-    shards, blocks = max(1, -(-n_pages // SHARD_PAGES)), max(1, -(-n_queries // BLOCK))
-    shard = F.pmod(F.xxhash64("centre", "up", "radius", "ids"), F.lit(shards)).cast("int")
-    left = queries.withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = pages.drop("seeds").withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = spark.sparkContext.broadcast((tops, routes))
-
-    def meet(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        top, objects = sent.value
-        out = []
-        for dim, asked in own.groupby("dim"):
-            held = [
-                {
-                    "route": p.route, "up": p.up, "radius": p.radius, "ids": np.frombuffer(p.ids, np.int64), "away": np.frombuffer(p.away, np.float64),
-                    "vecs": np.frombuffer(p.vecs, np.int64).reshape(p.n, dim), "point": lifted(np.frombuffer(p.centre, np.int64)[None], top[dim]),
-                }
-                for p in found[found["dim"] == dim].itertuples()
-            ]
-            for q in asked.itertuples() if held else ():
-                best = search(held, q.id, np.frombuffer(q.vec, np.int64), -np.inf if pd.isna(q.floor) else float(q.floor), objects.get(dim), top[dim], k)
-                out += [(q.id, q.vec, int(i), int(s)) for i, s in zip(best.ids, best.scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec", "vec_id", "score"])
-
-    hits = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(meet, "query_id long, vec binary, vec_id long, score long")
-    order = Window.partitionBy("query_id", "vec").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = pages.select("dim", F.inline("seeds")).dropDuplicates(["id", "vec"]).withColumn("key", F.xxhash64("id", "vec"))
+    queries = materialise(queries.withColumn("floor", _below("floor")), "mtree-queries")
+    nodes = materialise(_nodes(pages, tops, routes), "mtree-nodes")
+    admitted = materialise(_admitted(queries, nodes, queries.count(), tops, routes), "mtree-admitted")
+    best = materialise(admitted.groupBy("key").agg(F.max_by("node", "reach").alias("node")), "mtree-best")
+    floors = queries.select("key", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    first = materialise(_searched(best.join(floors.hint("merge"), "key"), queries, pages, tops, routes, k), "mtree-first")
+    # A query's best node is one group, so at most k scores.
+    found = first.groupBy("key").agg(F.sort_array(F.collect_list("score"), False).alias("scores"))
+    risen = floors.join(found.hint("merge"), "key", "left").select("key", F.greatest("floor", _below(F.get("scores", F.lit(k - 1)))).alias("floor"))
+    rest = admitted.join(best.select("key", F.col("node").alias("done")).hint("merge"), "key").where("node <> done").join(risen.hint("merge"), "key").where("reach >= floor")
+    rest = materialise(rest.select("key", "node", "floor"), "mtree-rest")
+    hits = first.unionByName(_searched(rest, queries, pages, tops, routes, k))
+    order = Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.join(queries.select("key", F.col("id").alias("query_id")).hint("merge"), "key").select("query_id", "rank", "vec_id", "score")
