@@ -2,11 +2,12 @@
 
 Every source is one long stream of words: its documents in a fixed pseudorandom
 order, cut into blocks of ``block_words`` words. The mix is a set of output slots
-of one block each. A slot falls into an output shard by its hash, so each shard's
-source counts are a multinomial draw (given the fixed totals per source, which
-hold every source to its target). Slot ``j`` of a source maps to block
-``perm(j mod n_blocks)`` of pass ``j div n_blocks``, where ``perm`` is a keyed
-Feistel permutation of the block indices; slots and blocks join by index.
+of one block each, in output shards. Each shard first draws its source counts: a
+multinomial draw given the fixed totals per source, which hold every source to its
+target. The slots of a source are then numbered shard by shard from these counts.
+Slot ``j`` of a source maps to block ``perm(j mod n_blocks)`` of pass
+``j div n_blocks``, where ``perm`` is a keyed Feistel permutation of the block
+indices; slots and blocks join by index.
 
 Only DataFrame functions are used. Running offsets are sums over a tree of 256 x
 256 buckets per source, so a source that holds a third of all rows is as evenly
@@ -92,34 +93,50 @@ def _placed(docs: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     return placed.withColumn("start", F.col("start0") + F.col("start1") + F.col("start2")).drop("b1", "b2", "start0", "start1", "start2")
 
 
-def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
-    """Every output slot: ``shard, sid, slot, pass, block``."""
+def shard_draws(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
+    """``shard, sid, n_blocks, n``: the source counts that each output shard draws.
+
+    A source's total is its target in whole blocks. Each of these falls into a shard by
+    a keyed hash of its number, so a source's counts over the shards are multinomial,
+    and so is a shard's draw over the sources, given the totals.
+    """
     sized = sources.where("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block_words))
     drawn = F.least(F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long"), F.col("n_blocks") * MAX_PASSES)
     sized = sized.withColumn("n_slots", drawn).where("n_slots > 0")
     shards = F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy(F.lit(0))) / shard_slots))
     chunks = sized.withColumn("n_shards", shards).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOT_CHUNK))))
-    # With a stated number, as the adaptive planner would put these few short rows into one task, which then makes all slots.
-    chunks = chunks.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "chunk")
-    each = chunks.withColumn("slot", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("n_slots")) - 1)))
+    # With a stated number, as the adaptive planner would put these few short rows into one task, which then makes all draws.
+    chunks = chunks.repartition(_parts(sources), "sid", "chunk")
+    each = chunks.withColumn("at", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, F.least((F.col("chunk") + 1) * SLOT_CHUNK, F.col("n_slots")) - 1)))
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("sid"), F.col("at")), F.col("n_shards"))
+    return each.groupBy(shard.alias("shard"), "sid", "n_blocks").agg(F.count("*").alias("n"))
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slots(draws: DataFrame, seed: int = 7) -> DataFrame:
+    """Every output slot: ``shard, sid, slot, pass, block``, from the draws of the shards."""
+    group = F.floor(F.col("shard") / FANOUT)
+    upper = draws.groupBy("sid", group.alias("group")).agg(F.sum("n").alias("part"))
+    before = Window.partitionBy("sid").orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
+    upper = upper.select("sid", "group", (F.sum("part").over(before) - F.col("part")).alias("base"))
+    within = Window.partitionBy("sid", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    first = draws.withColumn("group", group).withColumn("own", F.sum("n").over(within) - F.col("n")).join(upper, ["sid", "group"])
+    first = first.withColumn("first", F.col("base") + F.col("own")).repartition(_parts(draws), "shard", "sid")
+    each = first.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
     each = each.withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks")))
     key = F.xxhash64(F.lit(seed), F.col("sid"), F.col("pass"))
-    return each.select(
-        F.pmod(F.xxhash64(F.lit(seed + 1), F.col("sid"), F.col("slot")), F.col("n_shards")).alias("shard"),
-        "sid", "slot", "pass", _feistel(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), key).alias("block"),
-    )
-
-
-def shard_draws(every_slot: DataFrame) -> DataFrame:
-    """``shard, sid, n``: the source counts that each output shard drew."""
-    return every_slot.groupBy("shard", "sid").agg(F.count("*").alias("n"))
+    return each.select("shard", "sid", "slot", "pass", _feistel(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), key).alias("block"))
 
 
-def plan(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The documents with their places, and their pieces with how often each is taken.
+def plan(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with their places, their pieces with how often each is taken, and the slots of the output shards.
 
     Places: ``doc_id, tag, size, sid, source_size, target, start``. Pieces: the same
-    with ``from_word, n_words, times``. ``tag`` is the text's hash, which tells rows
+    with ``sid, block, from_word, n_words, times``. Slots: ``shard, sid, slot, pass, block``,
+    which join the pieces by ``sid, block`` into the output shards. ``tag`` is the text's hash, which tells rows
     that share a ``doc_id`` apart.
 
     A null text has no words. A null ``doc_id`` or ``source`` is a value like any
@@ -135,14 +152,16 @@ def plan(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Da
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))))
     cut = cut.withColumn("from_word", F.greatest(F.col("start"), F.col("block") * block_words) - F.col("start"))
     cut = cut.withColumn("n_words", F.least(end, (F.col("block") + 1) * block_words) - F.col("start") - F.col("from_word"))
-    taken = slots(sources, block_words).groupBy("sid", "block").agg(F.count("*").alias("times"))
+    draws = materialise(shard_draws(sources, block_words, shard_slots), "mix-draws")
+    every = slots(draws)
+    taken = every.groupBy("sid", "block").agg(F.count("*").alias("times"))
     # The planner takes the slots for as short as the few rows that they are exploded from.
-    return placed, cut.join(taken.hint("merge"), ["sid", "block"])
+    return placed, cut.join(taken.hint("merge"), ["sid", "block"]), every
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``docs``; see :func:`plan`."""
-    placed, pieces = plan(docs, block_words)
+    placed, pieces, _ = plan(docs, block_words)
     keys = ["doc_id", "tag", "size", "sid", "start", "source_size", "target"]
     rows = placed.select(*keys, F.lit(0).cast("long").alias("got"))
     rows = rows.unionByName(pieces.select(*keys, (F.col("n_words") * F.col("times")).alias("got")))
@@ -156,19 +175,20 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
 
     Pass ``k`` of a document holds its words from the blocks taken at least ``k``
     times, joined by single spaces; if that is the whole document, its text stays
-    as it is. ``n_chars``, if there, is counted again. Documents of which nothing
+    as it is. Rows that agree in id, text and source may differ elsewhere; all their
+    passes have the other columns of one of them. ``n_chars``, if there, is counted again. Documents of which nothing
     is taken are left out.
     """
-    _, pieces = plan(docs, block_words)
+    _, pieces, _ = plan(docs, block_words)
     span = F.struct("from_word", "n_words", "times")
-    per_doc = pieces.groupBy("doc_id", "tag", "start", "size").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    per_doc = pieces.groupBy("doc_id", "tag", "source", "start", "size").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     per_doc = per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda s: s["times"])).cast("int"))))
     per_doc = per_doc.withColumn("spans", F.filter("spans", lambda s: s["times"] >= F.col("copy")))
     per_doc = per_doc.withColumn("whole", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n_words"]) == F.col("size"))
-    per_doc = per_doc.select(F.col("doc_id").alias("id"), F.col("tag").alias("of"), "spans", "whole")
+    per_doc = per_doc.select(F.col("doc_id").alias("id"), F.col("tag").alias("of"), F.col("source").alias("by"), "spans", "whole")
     texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    texts = texts.withColumn("key", F.col("row.doc_id")).withColumn("hash", F.xxhash64("row.text")).dropDuplicates(["key", "hash"])
-    joined = texts.join(per_doc.hint("merge"), F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")))
+    texts = texts.groupBy(F.col("row.doc_id").alias("key"), F.xxhash64("row.text").alias("hash"), F.col("row.source").alias("from")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    joined = texts.join(per_doc.hint("merge"), F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("of")) & F.col("from").eqNullSafe(F.col("by")))
 
     def some(words: Column) -> Column:
         return F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["from_word"] + 1).cast("int"), s["n_words"].cast("int")))), " ")
