@@ -18,7 +18,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ROUNDS = 8
@@ -26,14 +26,25 @@ FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31)
 EDGE, END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 KINDS = ("iban", "email", "ip", "date", "ssn", "phone", "card")
 FOUND = {
-    "iban": re.compile(rf"{EDGE}[A-Z]{{2}}\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{END}", re.ASCII),
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?)@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.ASCII),
     "ip": re.compile(rf"(?<![0-9A-Za-z.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![0-9A-Za-z]|\.\d)", re.ASCII),
     "date": re.compile(rf"{EDGE}(?:(\d{{4}})([-/.])(\d\d)\2(\d\d)|(\d\d)([-/.])(\d\d)\6(\d{{4}})){END}", re.ASCII),
     "ssn": re.compile(rf"(?<![0-9A-Za-z-])(\d{{3}})-(\d\d)-(\d{{4}})(?![0-9A-Za-z]|-\d)", re.ASCII),
     "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])", re.ASCII),
-    "card": re.compile(rf"{EDGE}\d(?:[ -]?\d){{12,18}}{END}", re.ASCII),
 }
+#: Where a card or an account number may start, and one character of it with the separator before it.
+CARD_START, CARD_NEXT = re.compile(rf"{EDGE}(?=\d(?:[ -]?\d){{12}})", re.ASCII), re.compile(r"[ -]?\d", re.ASCII)
+IBAN_START, IBAN_NEXT = re.compile(rf"{EDGE}(?=[A-Z]{{2}}\d\d ?[A-Z0-9])", re.ASCII), re.compile(r" ?[A-Z0-9]", re.ASCII)
+#: Characters of the account numbers of each country; other countries may have 15 to 34.
+IBAN_LENGTHS = dict(
+    pair.split("-")
+    for pair in (
+        "AD-24 AE-23 AL-28 AT-20 AZ-28 BA-20 BE-16 BG-22 BH-22 BR-29 BY-28 CH-21 CR-22 CY-28 CZ-24 DE-22 DK-18 DO-28 EE-20 EG-29 ES-24 FI-18 FO-18 "
+        "FR-27 GB-22 GE-22 GI-23 GL-18 GR-27 GT-28 HR-21 HU-28 IE-22 IL-23 IQ-23 IS-26 IT-27 JO-30 KW-30 KZ-20 LB-28 LC-32 LI-21 LT-20 LU-20 LV-21 "
+        "LY-25 MC-27 MD-24 ME-22 MK-19 MR-27 MT-31 MU-30 NL-18 NO-15 PK-24 PL-28 PS-29 PT-25 QA-29 RO-24 RS-22 SA-24 SC-31 SE-24 SI-19 SK-24 SM-27 "
+        "ST-25 SV-28 TL-23 TN-24 TR-26 UA-29 VA-22 VG-24 XK-20"
+    ).split()
+)
 #: Longest country calling codes first; others keep one digit.
 CALLING = re.compile(r"1|7|2[07]|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
@@ -102,21 +113,45 @@ def _permute_chars(chars: str, permute: Permutation, form: str) -> str:
     return "".join(reversed(out))
 
 
-def card(m: re.Match, permute: Permutation) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
-    if luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
-        return None
-    body = _permute_chars(digits[:-1], permute, "card")
-    return _refill(m[0], body + str(luhn(body)))
+def _ends(text: str, start: int, following: re.Pattern, most: int) -> list[int]:
+    """Where the first, second, ... character of a number that starts here ends."""
+    out, at = [], start
+    while len(out) < most and (m := following.match(text, at)):
+        at = m.end()
+        out.append(at)
+    return out
 
 
-def iban(m: re.Match, permute: Permutation) -> str | None:
-    account = m[0].replace(" ", "")
-    if not 15 <= len(account) <= 34 or _mod97(account) != 1:
-        return None
-    body = _permute_chars(account[4:], permute, account[:2])
-    check = 98 - _mod97(account[:2] + "00" + body)
-    return _refill(m[0], f"{account[:2]}{check:02d}{body}")
+def _alone(text: str, end: int) -> bool:
+    return not (text[end : end + 1].isascii() and text[end : end + 1].isalnum())
+
+
+def cards(text: str, permute: Permutation) -> Iterator[tuple[int, int, str]]:
+    """From each start, the longest of 13 to 19 digits that is valid."""
+    for m in CARD_START.finditer(text):
+        ends = _ends(text, m.start(), CARD_NEXT, 19)
+        for end in ends[:11:-1]:
+            digits = re.sub(r"\D", "", text[m.start() : end])
+            if _alone(text, end) and luhn(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1:
+                body = _permute_chars(digits[:-1], permute, "card")
+                yield m.start(), end, _refill(text[m.start() : end], body + str(luhn(body)))
+                break
+
+
+def ibans(text: str, permute: Permutation) -> Iterator[tuple[int, int, str]]:
+    """From each start, the number of the country's length; for countries without one, the longest that is valid."""
+    for m in IBAN_START.finditer(text):
+        ends = _ends(text, m.start(), IBAN_NEXT, 34)
+        known = IBAN_LENGTHS.get(text[m.start() : m.start() + 2])
+        for length in [int(known)] if known else range(len(ends), 14, -1):
+            if length > len(ends) or not _alone(text, ends[length - 1]):
+                continue
+            account = text[m.start() : ends[length - 1]].replace(" ", "")
+            if _mod97(account) == 1:
+                body = _permute_chars(account[4:], permute, account[:2])
+                check = 98 - _mod97(account[:2] + "00" + body)
+                yield m.start(), ends[length - 1], _refill(text[m.start() : ends[length - 1]], f"{account[:2]}{check:02d}{body}")
+                break
 
 
 def ssn(m: re.Match, permute: Permutation) -> str | None:
@@ -185,7 +220,8 @@ def email(m: re.Match, permute: Permutation) -> str | None:
     return _refill(m[1], _permute_chars(own, permute, "email")) + m[0][len(m[1]) :]
 
 
-RULES: dict[str, Callable[[re.Match, Permutation], str | None]] = {"iban": iban, "email": email, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
+RULES: dict[str, Callable[[re.Match, Permutation], str | None]] = {"email": email, "ip": ip, "date": date, "ssn": ssn, "phone": phone}
+SEARCHES: dict[str, Callable[[str, Permutation], Iterator[tuple[int, int, str]]]] = {"iban": ibans, "card": cards}
 
 
 def pseudonymise_text(text: str, permute: Permutation) -> tuple[str, list[tuple[int, int, str, str]]]:
@@ -197,6 +233,9 @@ def pseudonymise_text(text: str, permute: Permutation) -> tuple[str, list[tuple[
     for rank, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text or kind != "email" and not has_digit:
             continue
+        if kind in SEARCHES:
+            hits += [(start, rank, end, kind, new) for start, end, new in SEARCHES[kind](text, permute)]
+            continue
         for m in FOUND[kind].finditer(text):
             new = RULES[kind](m, permute)
             if new is not None:
@@ -219,13 +258,16 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     a row's result depends on nothing but its text and the key.
     """
     kept = [f for f in docs.schema.fields if f.name not in ("n_found", "found")]
+    names = [f.name for f in kept]
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("pseudonym", pa.string())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permute = Permutation(key)
         for batch in batches:
-            done = [pseudonymise_text(t, permute) if isinstance(t, str) else (None, []) for t in batch["text"]]
+            done = [(None, []) if t is None else pseudonymise_text(t, permute) for t in batch.column("text").to_pylist()]
             found = [[{"start": a, "stop": b, "kind": k, "pseudonym": p} for a, b, k, p in f] for _, f in done]
-            yield batch.assign(text=[t for t, _ in done], n_found=[len(f) for f in found], found=found)
+            columns = [pa.array([t for t, _ in done], pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(f) for f in found], pa.int64()), pa.array(found, spans)], [*names, "n_found", "found"])
 
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInPandas(run, f"{rest}, n_found long, found array<struct<start:int,stop:int,kind:string,pseudonym:string>>")
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, f"{rest}, n_found long, found array<struct<start:int,stop:int,kind:string,pseudonym:string>>")

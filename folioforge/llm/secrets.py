@@ -17,7 +17,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +38,9 @@ PAIR = re.compile(
     re.ASCII,
 )
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]{3,}", re.ASCII)
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[^A-Z\s]*[A-Z])(?=[^a-z\s]*[a-z])[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+#: A run that may be a value; it counts with digits, capitals and small letters in it.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}", re.ASCII)
+CLASSES = [re.compile(c) for c in ("[0-9]", "[A-Z]", "[a-z]")]
 
 SCANNED = "doc_id {id}, tag string, n_assign long, n_access long, n_hex long, base string, parts array<struct<scope:int,kind:int,start:int,stop:int>>"
 
@@ -62,7 +64,7 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         found += [(m.start(), m.end(), 5) for m in URL.finditer(text)] if "://" in text else []
     if not found and not base:
         return []
-    found += [(m.start(), m.end(), 4) for m in MIXED.finditer(text)]
+    found += [(m.start(), m.end(), 4) for m in RUN.finditer(text) if all(c.search(m[0]) for c in CLASSES)]
     stops, free, at, url_at = [s[1] for s in base], [], 0, 0
     longest = list(stops)
     for i in range(1, len(longest)):
@@ -83,20 +85,27 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return free
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+PARTS = pa.list_(pa.struct([(name, pa.int32()) for name in ("scope", "kind", "start", "stop")]))
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            text = text if isinstance(text, str) else ""
+        tags, counts, spans, every = [], ([], [], []), [], []
+        for text in batch.column("text").to_pylist():
+            text = text or ""
             base = base_spans(text)
             weak = weak_spans(text, base)
             parts = None
             if weak:
                 breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
                 parts = [{"scope": bisect.bisect_right(breaks, s[0]), "kind": s[2], "start": s[0], "stop": s[1]} for s in sorted(base + weak)]
-            n = [sum(s[2] == k for s in base) for k in range(3)]
-            rows.append((doc_id, hashlib.md5(text.encode()).hexdigest(), *n, ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in base), parts))
-        yield pd.DataFrame(rows, columns=["doc_id", "tag", "n_assign", "n_access", "n_hex", "base", "parts"]).astype({"doc_id": batch["doc_id"].dtype})
+            tags.append(hashlib.md5(text.encode()).hexdigest())
+            for k in range(3):
+                counts[k].append(sum(s[2] == k for s in base))
+            spans.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in base))
+            every.append(parts)
+        columns = [batch.column("doc_id"), pa.array(tags, pa.string()), *[pa.array(n, pa.int64()) for n in counts], pa.array(spans, pa.string()), pa.array(every, PARTS)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "n_assign", "n_access", "n_hex", "base", "parts"])
 
 
 def _near(is_kind: Column, scope: Window) -> Column:
@@ -115,7 +124,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     row. Other columns are ignored. Texts are scanned whole.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInPandas(_scan, SCANNED.format(id=kind))
+    found = docs.select("doc_id", "text").mapInArrow(_scan, SCANNED.format(id=kind))
     found = materialise(found, "secret-scan")
     parts = found.where("parts is not null").dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", F.inline("parts"))
     scope = Window.partitionBy("doc_id", "tag", "scope").orderBy("start", "kind", "stop")

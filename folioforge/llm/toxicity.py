@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -54,7 +55,7 @@ def undisguised(word: str) -> str:
 
 
 class Reader(dict):
-    """What each token means, as bits, with its capitals and length above them; worked out once per token."""
+    """What each token means, as bits, with its capitals (28 bits) and length (27) above them; worked out once per token."""
 
     def __init__(self, words: frozenset[str], begins: frozenset[str]) -> None:
         super().__init__()
@@ -78,14 +79,14 @@ class Reader(dict):
         capitals = sum(c.isupper() for c in token)
         bits |= CAPITAL if capitals > 1 and capitals >= 0.8 * len(word) else 0
         bits |= REPEATED if "!!" in token or "??" in token or "!?" in token else 0
-        value = self[token] = bits | min(capitals, 255) << 8 | min(len(token), 65535) << 16
+        value = self[token] = bits | capitals << 8 | len(token) << 36
         return value
 
     def features(self, text: str) -> list[float]:
         tokens = text.split()
         n = max(1, len(tokens))
         packed = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        bits, letters = packed & 255, max(1, int((packed >> 16).sum()))
+        bits, letters = packed & 255, max(1, int((packed >> 36).sum()))
         word, begin, disguised, person, capital, repeated, odd = (int(((bits & b) > 0).sum()) for b in (WORD, BEGIN, DISGUISED, PERSON, CAPITAL, REPEATED, ODD))
         hits, persons = np.flatnonzero(bits & (WORD | BEGIN | DISGUISED)), np.flatnonzero(bits & PERSON)
         near = 0
@@ -95,7 +96,7 @@ class Reader(dict):
             near = int((np.minimum(np.abs(after - hits), np.abs(hits - before)) <= NEAR).sum())
         return [
             100 * word / n, math.log1p(word), 100 * begin / n, math.log1p(begin), 100 * disguised / n, math.log1p(disguised), float(len(hits) > 0),
-            100 * person / n, 100 * near / n, 100 * capital / n, 100 * int((packed >> 8 & 255).sum()) / letters, 1000 * text.count("!") / letters, 1000 * text.count("?") / letters, 100 * repeated / n, 100 * odd / n, math.log1p(len(tokens)), letters / n,
+            100 * person / n, 100 * near / n, 100 * capital / n, 100 * int((packed >> 8 & (1 << 28) - 1).sum()) / letters, 1000 * text.count("!") / letters, 1000 * text.count("?") / letters, 100 * repeated / n, 100 * odd / n, math.log1p(len(tokens)), letters / n,
         ]
 
 
@@ -135,15 +136,16 @@ def featured(docs: DataFrame, lexicon: tuple[frozenset[str], frozenset[str]], ke
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*sent.value)
         for batch in batches:
             for at in range(0, len(batch), ROWS_AT_ONCE):
-                part = batch.iloc[at : at + ROWS_AT_ONCE]
-                yield part[keep].assign(features=[reader.features(t) if isinstance(t, str) else reader.features("") for t in part["text"]])
+                part = batch.slice(at, ROWS_AT_ONCE)
+                found = pa.array([reader.features(t or "") for t in part.column("text").to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], found], [*keep, "features"])
 
     names = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*names).mapInPandas(run, f"{fields}, features array<double>")
+    return docs.select(*names).mapInArrow(run, f"{fields}, features array<double>")
 
 
 class Model:
