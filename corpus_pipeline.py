@@ -46,7 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = materialise(kept.select(F.col("doc_id").alias("id"), F.col("tag").alias("of")), "kept-ids")
     keyed = docs.where("doc_id is not null").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     keyed = keyed.select("row", F.col("row.doc_id").alias("key"), F.xxhash64("row.text").alias("hash"))
-    once = keyed.join(kept.hint("merge"), (F.col("key") == F.col("id")) & (F.col("hash") == F.col("of")), "left_semi").dropDuplicates(["key", "hash"])
+    once = keyed.join(kept.hint("merge"), (F.col("key") == F.col("id")) & (F.col("hash") == F.col("of")), "left_semi")
+    # Rows that agree in id and text may differ elsewhere; which of them stays depends on their values only.
+    once = once.groupBy("key", "hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return once.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
