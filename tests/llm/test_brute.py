@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -76,24 +77,68 @@ def test_line_chunks_survive_an_insertion(spark):
     rows = [(1, body), (2, "new first line\n" + body)]
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["text"] == body and got[1]["n_removed_lines"] == 0
-    assert got[2]["n_removed_lines"] >= 28 and got[2]["text"].startswith("new first line")
+    assert got[2]["n_removed_lines"] >= 36 and got[2]["text"].startswith("new first line")
+
+
+def test_line_passages_between_other_lines(spark):
+    """Passages of 3 to 8 lines in two documents each: what share of their lines goes, and nothing else does."""
+    rng = np.random.default_rng(4)
+    line = lambda: " ".join(f"w{rng.integers(10**6)}" for _ in range(9))
+    rows, passages = [], {}
+    for k in range(240):
+        own = [line() for _ in range(3 + k % 6)]
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, "\n".join([*(line() for _ in range(rng.integers(1, 6))), *own, *(line() for _ in range(rng.integers(1, 6)))])))
+            passages[d] = own
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = collections.Counter()
+    for d, text in rows:
+        left = got[d]["text"].split("\n")
+        gone = [x for x in text.split("\n") if x not in left]
+        assert set(gone) <= set(passages[d]) and (d % 2 or not gone)
+        lost[len(passages[d])] += len(gone)
+    share = {n: lost[n] / (40 * n) for n in range(3, 9)}
+    assert share[3] > 0.35 and share[5] > 0.7 and share[8] > 0.8, share
+
+
+def test_lines_that_repeat_one_line(spark):
+    """A run of one line is cut every so many lines, whatever stands before it."""
+    rows = [(1, "\n".join(["a", *["same"] * 40])), (2, "\n".join(["b", "c", *["same"] * 40]))]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["text"].startswith("b\nc") and got[2]["n_removed_lines"] >= 24
+    assert got[1]["text"].startswith("a\nsame")
 
 
-def test_spans_against_brute_force(docs, texts):
-    pieces = {i: re.split(substring_dedup.BORDER, t) for i, t in texts.items()}
-    places = collections.defaultdict(list)
+def brute_spans(texts):
+    """The sentences of each text that a later occurrence of a run covers, one run at a time."""
+    pieces = {i: re.split(r"(?<=[.!?]\s)(?=\S)|(?<=\n)(?=\S)", t) for i, t in texts.items()}
+    places = collections.defaultdict(set)
     for i, own in pieces.items():
-        trimmed = [p.strip(substring_dedup.SPACE) for p in own]
-        for n, least in substring_dedup.RUNS:
-            for a in range(len(own) - n + 1):
-                if len(run := " ".join(trimmed[a : a + n])) >= least:
-                    places[n, run].append((i, a))
+        trimmed = [p.strip(" \t\n\r\x0b\x0c") for p in own]
+        runs = set()
+        for a in range(len(own)):
+            runs |= {(a, a + n) for n, least in ((2, 150), (1, 250)) if a + n <= len(own) and len(" ".join(trimmed[a : a + n])) >= least}
+            runs |= {(a, b) for b in [next((b for b in range(a + 3, len(own) + 1) if len(" ".join(trimmed[a:b])) >= 90), None)] if b}
+            runs |= {(c, a + 1) for c in [next((c for c in range(a - 2, -1, -1) if len(" ".join(trimmed[c : a + 1])) >= 90), None)] if c is not None}
+        for a, b in runs:
+            places[" ".join(trimmed[a:b])].add((i, a, b))
     lost = collections.defaultdict(set)
-    for (n, _), found in places.items():
-        for i, a in sorted(found)[1:]:
-            lost[i].update(range(a, a + n))
-    assert sum(map(len, lost.values())) > 0
-    for r in substring_dedup.dedup_spans(docs).collect():
+    for found in places.values():
+        first = min(found)[:2]
+        for i, a, b in found:
+            if (i, a) != first:
+                lost[i].update(range(a, b))
+    return pieces, lost
+
+
+def test_spans_against_brute_force(spark, docs, texts):
+    rng = np.random.default_rng(8)
+    short = "\n".join(" ".join(f"w{rng.integers(10**6)}" for _ in range(4)) for _ in range(20))
+    made = {-i: f"Own sentence {rng.integers(10**9)}.\nAnother of {rng.integers(10**9)}.\n{short}\nAnd the end {rng.integers(10**9)}." for i in (1, 2)}
+    every = texts | made
+    pieces, lost = brute_spans(every)
+    assert sum(map(len, lost.values())) > 0 and lost[-1] >= set(range(2, 22))
+    for r in substring_dedup.dedup_spans(docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))).collect():
         own = pieces[r["doc_id"]]
         assert r["text"] == "".join(p for k, p in enumerate(own) if k not in lost[r["doc_id"]])
         assert r["n_removed_sentences"] == len(lost[r["doc_id"]])
@@ -181,7 +226,7 @@ def test_embedding_recall(spark):
     assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
 
 
-def test_top_k_against_brute_force(spark, sf_dir):
+def test_top_k_against_brute_force(spark, sf_dir, monkeypatch):
     frame = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = frame.toPandas()
     ints, ids = np.floor(1024 * np.stack(rows["embedding"]).astype(float)), rows["vec_id"].to_numpy()
@@ -190,10 +235,20 @@ def test_top_k_against_brute_force(spark, sf_dir):
         score = ints @ ints[i]
         score[ids == ids[i]] = -np.inf
         want += [(int(ids[i]), n + 1, int(ids[j]), int(score[j])) for n, j in enumerate(np.lexsort((ids, -score))[:10])]
+    monkeypatch.setattr(mtree_search, "PAGE", 8)
+    monkeypatch.setattr(mtree_search, "NODE_PAGES", 2)
+    monkeypatch.setattr(mtree_search, "SEARCHING", 2)
     got = mtree_search.top_k(frame).select("query_id", "rank", "vec_id", "score").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_scores_that_do_not_fit():
+    with pytest.raises(OverflowError):
+        mtree_search.scaled([[1e30, 1.0]])
+    with pytest.raises(OverflowError):
+        mtree_search.scores(np.full((1, 2), 1 << 40), np.full(2, 1 << 40))
+
+
 def test_top_k_prunes_and_stays_exact():
     rng = np.random.default_rng(2)
     rows = np.floor(1000 * np.repeat(rng.normal(size=(20, 8)), 50, axis=0) + 20 * rng.normal(size=(1000, 8))).astype(np.int64)
@@ -238,6 +293,25 @@ def test_mixing(docs):
     assert {i: n for i, n in words.items() if n} == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
 
 
+def test_shards_draw_their_sources(docs):
+    """Counts add up to the sources' totals, scatter as multinomial draws do, and number the slots that the mix takes."""
+    _, pieces, slots = mixing.plan(docs, block_words=4, shard_slots=512)
+    rows = slots.collect()
+    counts = collections.Counter((r["shard"], r["sid"]) for r in rows)
+    shards, totals = 1 + max(s for s, _ in counts), collections.Counter(r["sid"] for r in rows)
+    assert shards > 20
+    for sid, total in totals.items():
+        assert sorted(r["slot"] for r in rows if r["sid"] == sid) == list(range(total))
+        expected = total / shards
+        chi = sum((counts[s, sid] - expected) ** 2 / expected for s in range(shards))
+        assert 0.4 * shards < chi < 2 * shards, (sid, chi)
+    by = sorted(((r["sid"], r["slot"], r["shard"]) for r in rows))
+    assert all(a[0] != b[0] or a[2] <= b[2] for a, b in zip(by, by[1:]))
+    times = collections.Counter((r["sid"], r["block"]) for r in rows)
+    got = {(r["sid"], r["block"]): r["times"] for r in pieces.select("sid", "block", "times").collect()}
+    assert got == {key: n for key, n in times.items() if key in got} and max(times.values()) <= 3
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
@@ -263,10 +337,31 @@ def test_bpe(spark, sf_dir, texts, reference):
 def test_bpe_odd_texts(reference, text):
     with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
         codec = bpe.Codec(bpe.Vocabulary(f.read()), None)
-    ids, decoded = codec.code([text])[0]
+    n, ids, decoded = codec.code(pa.array(["before 's", text, None, "after"]))
     want = reference.encode(text, add_special_tokens=False).ids
-    assert list(memoryview(ids).cast("I")) == want
-    assert decoded == reference.decode(want, skip_special_tokens=False)
+    assert n[1].as_py() == len(want) and list(memoryview(ids[1].as_py()).cast("I")) == want
+    assert decoded[1].as_py() == reference.decode(want, skip_special_tokens=False)
+    assert decoded.to_pylist()[::2] == ["before 's", ""] and decoded[3].as_py() == "after"
+    assert codec.code(pa.array([text])[:0])[0].to_pylist() == []
+
+
+def test_bpe_random_texts(reference):
+    """Texts of few kinds of characters, so that every neighbourhood of spaces, quotes and letters occurs."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("  \n'\u3000srevlxß7²!\x1c"), rng.integers(0, 30))) for _ in range(4000)]
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        codec = bpe.Codec(bpe.Vocabulary(f.read()), None)
+    got = codec.code(pa.array(texts))[1].to_pylist()
+    for text, ids in zip(texts, got, strict=True):
+        assert list(memoryview(ids).cast("I")) == reference.encode(text, add_special_tokens=False).ids, text
+
+
+def test_bpe_long_text_without_spaces(reference):
+    text = "".join(np.random.default_rng(1).choice(list("abcXYZ019/+"), 1_000_000))
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        codec = bpe.Codec(bpe.Vocabulary(f.read()), None)
+    n, ids, decoded = codec.code(pa.array([text]))
+    assert decoded[0].as_py() == text and n[0].as_py() == len(reference.encode(text, add_special_tokens=False).ids)
 
 
 def test_lexicon_round_trip(tmp_path):
@@ -274,12 +369,11 @@ def test_lexicon_round_trip(tmp_path):
     flat = bpe.Lexicon.compile(words.items())
     (tmp_path / "x.fst").write_bytes(flat)
     lexicon = bpe.Lexicon(str(tmp_path / "x.fst"))
-    for w, ids in words.items():
-        assert list(memoryview(lexicon.get(w)).cast("I")) == ids
-    for w in (b"", b"abcd", b"rin", b" th", b"z"):
-        assert lexicon.get(w) is None
+    at = lexicon.find(pa.array([w.decode() for w in words]))
+    assert [lexicon.ids[lexicon.starts[i] : lexicon.starts[i + 1]].tolist() for i in at] == list(words.values())
+    assert lexicon.find(pa.array(["", "abcd", "rin", " th", "z", "a"])).tolist()[:5] == [-1] * 5
     many = [(f"{stem}ing".encode(), [k]) for k, stem in enumerate(map(str, range(100, 400)))]
-    states = np.frombuffer(bpe.Lexicon.compile(many)[:32], np.int32)[7]
+    states = np.frombuffer(bpe.Lexicon.compile(many)[:56], np.int64)[6]
     assert states < 150  # endings are shared
 
 

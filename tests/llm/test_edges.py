@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from folioforge.llm import bpe, embedding_dedup, line_dedup, mixing, mtree_searc
 from folioforge.session import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tag string, row long, features string, score string, id long, of string, kept0 int, n_lines string, sid int"
+#: Not a double.
+BIG = 2**60 + 1
 LONG = "word and more words. " * 12_000
 ROWS = [
     (None, "Without an id.\nTwo lines.", "en", None),
@@ -22,6 +25,7 @@ ROWS = [
     (5, " \n\t\n", "de", None),
     (6, "x", "de", "c"),
     (7, "x", "de", "c"),
+    (BIG, "An id that no double holds.", "en", "b"),
 ]
 
 
@@ -52,7 +56,9 @@ OPERATORS = {
 def test_edge_rows(spark, name):
     got = OPERATORS[name](frame(spark, ROWS), spark, LABELS).collect()
     assert len(got) == len(ROWS)
-    assert sorted(r["doc_id"] or -1 for r in got) == sorted(r[0] or -1 for r in ROWS)
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got) == sorted(-1 if r[0] is None else r[0] for r in ROWS)
+    if name == "ngram_join":
+        assert BIG in {r["component_id"] for r in got}
     twice = [r for r in got if r["doc_id"] == 4]
     if name != "mixing":
         assert twice[0] == twice[1]
@@ -80,7 +86,7 @@ def test_edge_values(spark):
     assert scored[None]["held_out"] is False and 0 <= scored[2]["score"] <= 1
 
 
-VECTORS = [(0, [0.1, 0.2]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [0.1, 0.2]), (4, [0.1, 0.2]), (5, []), (None, [0.1, 0.2]), (6, [1.0, 2.0, 3.0]), (100, [0.2, 0.4]), (7, [None, 1.0]), (8, [float("inf"), 0.0])]
+VECTORS = [(0, [0.1, 0.2]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [0.1, 0.2]), (4, [0.1, 0.2]), (5, []), (None, [0.1, 0.2]), (6, [1.0, 2.0, 3.0]), (100, [0.2, 0.4]), (7, [None, 1.0]), (8, [float("inf"), 0.0]), (BIG, [1.0, 2.0, 3.0, 4.0])]
 
 
 def vectors(spark, rows):
@@ -92,10 +98,23 @@ def test_embedding_edges(spark):
     assert len(got) == len(VECTORS)
     by = {r["vec_id"]: r for r in got}
     assert by[0]["n_links"] == 3 and by[4]["component_id"] == 0 and by[100]["component_id"] == 0 and not by[100]["kept"]
-    assert all(by[i]["n_links"] == 0 and by[i]["kept"] for i in (1, 2, 3, 5, 6, 7, 8)) and by[None]["component_id"] is None
+    assert all(by[i]["n_links"] == 0 and by[i]["kept"] for i in (1, 2, 3, 5, 6, 7, 8, BIG)) and by[None]["component_id"] is None
     assert embedding_dedup.near_duplicates(vectors(spark, [])).collect() == []
 
 
+def test_two_vectors_under_one_id(spark):
+    got = embedding_dedup.near_duplicates(vectors(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1.0, 0.02])])).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1)]
+
+
+def test_long_text_without_spaces(spark):
+    """One text of a megabyte and one line, for each operator on texts."""
+    long = "".join(np.random.default_rng(2).choice(list("abcXYZ019+/"), 1_000_000))
+    docs = frame(spark, [(1, long, "en", "a"), (2, "short", "en", "a")])
+    for name, run in OPERATORS.items():
+        assert len(run(docs, spark, LABELS).collect()) == 2, name
+
+
 def test_search_edges(spark):
     got = mtree_search.top_k(vectors(spark, VECTORS)).collect()
     by = {}
@@ -121,6 +140,10 @@ def test_pipeline_stages(spark, labelled_dir, rows):
             assert out.dtypes == docs.dtypes
             assert out.where("tag <> 't' or score <> 's' or n_lines <> 'l'").count() == 0
             docs = out
+        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
+        assert ids <= {r[0] for r in rows}
+        if rows and name in ("toxicity", "line dedup", "n-gram Jaccard join"):
+            assert BIG in ids and None in ids
     assert {"doc_id", "n_tokens", "ids"} <= set(out.columns)
 
 
