@@ -14,28 +14,40 @@ BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset fi
 HIDDEN = frozenset("script style head template noscript svg title".split())
 
 
+#: Elements without content and without an end.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+def _shown(tag: str, attrs: list) -> bool:
+    names = {k: v or "" for k, v in attrs}
+    return tag not in HIDDEN and "hidden" not in names and "display:none" not in "".join(names.get("style", "").lower().split())
+
+
 class _Reader(HTMLParser):
+    """Text of shown elements. ``open`` holds the elements that are open from a hidden one on."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts, self.hidden = [], []
+        self.parts: list[str] = []
+        self.open: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        names = dict(attrs)
-        style = (names.get("style") or "").replace(" ", "").lower()
-        if tag in HIDDEN or (tag not in ("br", "hr", "img", "input", "meta", "link") and ("hidden" in names or "display:none" in style)):
-            self.hidden.append(tag)
         if tag in BLOCKS:
             self.parts.append("\n")
+        elif tag in ("td", "th") and not self.open:
+            self.parts.append(" ")
+        if tag not in VOID and (self.open or not _shown(tag, attrs)):
+            self.open.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.hidden:
-            while self.hidden and self.hidden.pop() != tag:
-                pass
+        # An end closes the nearest open element of its name; ends of elements that were not opened inside mean nothing.
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
         if tag in BLOCKS:
             self.parts.append("\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not self.open:
             self.parts.append(re.sub(r"\s+", " ", data))
 
 

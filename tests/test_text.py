@@ -23,7 +23,7 @@ def test_fold_text(text, folded):
 
 @pytest.mark.parametrize(
     ("value", "number"),
-    [("1.234,56", 1234.56), ("1234,56", 1234.56), ("1.234", 1234.0), ("12.5", 12.5), ("1,234.56", 1234.56), ("12 €", 12.0), ("EUR 7", 7.0), ("-3,5", -3.5), ("abc", None), ("", None)],
+    [("1.234,56", 1234.56), ("1234,56", 1234.56), ("1.234", 1234.0), ("12.5", 12.5), ("1,234.56", 1234.56), ("12 €", 12.0), ("EUR 7", 7.0), ("-3,5", -3.5), ("abc", None), ("", None), ("1 234,5", 1234.5), ("1.234.567", 1234567.0), ("1234.567", 1234.567), ("$1,234,567.80", 1234567.8), ("1,2,3", None), ("12..5", None), (".5", 0.5), ("+1e3", 1000.0)],
 )
 def test_parse_number(spark, value, number):
     assert spark.createDataFrame([(value,)], "v string").select(X.parse_number(F.col("v"))).first()[0] == number
@@ -37,10 +37,31 @@ def test_spelling_distance(a, b, edits):
     assert X.spelling_distance(a, b, 2) == edits
 
 
-def test_word_forms():
-    assert X.word_forms("rechnungen") == ["rechnungen", "rechnung"]
-    assert X.word_forms("vertraege") == ["vertraege", "vertraeg", "vertrag"]
-    assert X.word_forms("haus") == ["haus"]
+def test_word_forms(spark):
+    words = {"rechnungen": ["rechnungen", "rechnung"], "vertraege": ["vertraege", "vertraeg", "vertrag"], "haus": ["haus"]}
+    for word, forms in words.items():
+        assert spark.createDataFrame([(word,)], "w string").select(X.word_forms(F.col("w"))).first()[0] == forms
+
+
+def test_spelling_distance_against_a_table():
+    """Random words of few letters against the textbook recurrence."""
+    import random
+
+    rng = random.Random(5)
+    pairs = [*X.CONFUSED, *[(y, x) for x, y in X.CONFUSED]]
+    for _ in range(1500):
+        a, b = ("".join(rng.choices("rnmcldvwa", k=rng.randint(0, 6))) for _ in "ab")
+        best = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [0] if i == j == 0 else []
+                ways += [best[i - 1, j] + 1] if i else []
+                ways += [best[i, j - 1] + 1] if j else []
+                ways += [best[i - 1, j - 1] + (a[i - 1] != b[j - 1])] if i and j else []
+                ways += [best[i - 2, j - 2] + 1] if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1] else []
+                ways += [best[i - len(x), j - len(y)] + 1 for x, y in pairs if a[:i].endswith(x) and b[:j].endswith(y)]
+                best[i, j] = min(ways)
+        assert X.spelling_distance(a, b, 2) == min(best[len(a), len(b)], 3), (a, b)
 
 
 @pytest.mark.parametrize(
@@ -55,6 +76,12 @@ def test_no_dates():
     assert DT.dates_of("99.99.9999 nothing") == []
 
 
+def test_hidden_elements():
+    assert html_text("<div hidden><div>a</div>secret</div>shown") == "shown"
+    assert html_text("a<wbr hidden>b") == "ab"
+    assert html_text("<div style='display:none'><p>x<br>y</div><table><tr><td>1</td><td>2</td></tr></table>") == "1 2"
+
+
 def test_html_text():
     page = "<html><head><title>x</title><style>p{}</style></head><body><p>One&nbsp;two</p><div hidden>gone</div><div style='display: none'>gone</div><ul><li>a</li><li>b</li></ul><script>1</script></body></html>"
     assert html_text(page) == "One two\na\nb"
