@@ -133,6 +133,29 @@ def near_hits(searches: DataFrame, postings: DataFrame, distance: int = NEAR) ->
     return spans.select("query_id", "doc_id").distinct()
 
 
+def bm25_levels(found: DataFrame, sized: DataFrame) -> DataFrame:
+    """``query_id, doc_id, bm25s``: the sums of :func:`bm25` over the words up to each level, from one aggregate."""
+    df = found.groupBy("query_id", "term_ix").agg(*[F.sum((F.col(f"tf{lv}") > 0).cast("long")).alias(f"df{lv}") for lv in range(4)])
+    scored = found.join(df, ["query_id", "term_ix"]).join(sized, "doc_id")
+
+    def part(lv: int) -> Column:
+        tf, n = F.col(f"tf{lv}"), F.col(f"df{lv}")
+        idf = F.greatest(F.ln((F.col("n_docs") - n + 0.5) / (n + 0.5)), F.lit(IDF_FLOOR))
+        norm = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+        return -F.sum(F.when(tf > 0, idf * norm))
+
+    return scored.groupBy("query_id", "doc_id").agg(F.array(*[part(lv) for lv in range(4)]).alias("bm25s"))
+
+
+def tier_of(found: DataFrame, searches: DataFrame) -> DataFrame:
+    """``query_id, doc_id, in_title, tier`` of the documents that have every word of a search; see :func:`tiers`."""
+    size = searches.groupBy("query_id").agg(F.count("*").alias("size"))
+    per = found.groupBy("query_id", "doc_id").agg(F.count("*").alias("got"), F.max("level").alias("level"), F.count("title_level").alias("titled"), F.max("title_level").alias("title_level"))
+    whole = per.join(size, "query_id").where("got = size").withColumn("in_title", F.col("titled") == F.col("size"))
+    tier = F.when(F.col("in_title") & (F.col("title_level") <= RELATED), F.col("title_level")).when(F.col("level") <= RELATED, F.col("level") + 3).otherwise(6)
+    return whole.select("query_id", "doc_id", "in_title", tier.alias("tier"))
+
+
 def tiers(found: DataFrame, searches: DataFrame, near: DataFrame, sized: DataFrame) -> DataFrame:
     """Documents that have every word of a search: ``tier, bm25, boost, rank``, lower is better.
 
@@ -140,16 +163,11 @@ def tiers(found: DataFrame, searches: DataFrame, near: DataFrame, sized: DataFra
     words (2); any column so (3, 4, 5); at least similar spellings (6). BM25 counts
     the words of the tier's own level.
     """
-    size = searches.groupBy("query_id").agg(F.count("*").alias("size"))
-    per = found.groupBy("query_id", "doc_id").agg(F.count("*").alias("got"), F.max("level").alias("level"), F.count("title_level").alias("titled"), F.max("title_level").alias("title_level"))
-    whole = per.join(size, "query_id").where("got = size")
-    in_title = F.col("titled") == F.col("size")
-    tier = F.when(in_title & (F.col("title_level") <= RELATED), F.col("title_level")).when(F.col("level") <= RELATED, F.col("level") + 3).otherwise(6)
-    whole = whole.withColumn("tier", tier).withColumn("at", F.when(F.col("tier") == 6, SIMILAR).otherwise(F.col("tier") % 3))
-    scored = None
-    for level in range(4):
-        own = whole.where(F.col("at") == level).join(bm25(found, sized, level), ["query_id", "doc_id"])
-        scored = own if scored is None else scored.unionByName(own)
+    whole = tier_of(found, searches).withColumn("at", F.when(F.col("tier") == 6, SIMILAR).otherwise(F.col("tier") % 3))
+    every = bm25_levels(found, sized)
+    value = F.element_at("bm25s", (F.col("at") + 1).cast("int"))
+    scored = whole.join(every, ["query_id", "doc_id"]).withColumn("bm25", value)
+    in_title = F.col("in_title")
     close = near.withColumn("near", F.lit(True))
     boost = 1 + F.when(in_title, TITLE_BOOST).otherwise(0.0) + F.when(F.col("near"), NEAR_BOOST).otherwise(0.0)
     done = scored.join(close, ["query_id", "doc_id"], "left").withColumn("boost", boost)

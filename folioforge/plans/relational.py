@@ -24,7 +24,7 @@ portable(
     "filter_field_range",
     "SELECT o.o_orderkey AS doc_id, o.o_totalprice FROM {orders} o WHERE EXISTS (SELECT 1 FROM {fields} f WHERE f.doc_id = o.o_orderkey AND f.key = 'total' AND f.value_num >= 100000 AND f.value_num <= 250000)",
 )
-portable("filter_null_safe", "SELECT a.doc_id, b.doc_id AS other FROM {archive} a JOIN {archive} b ON a.doc_id + 1 = b.doc_id AND a.document_date IS NOT DISTINCT FROM b.document_date")
+portable("filter_null_safe", "SELECT a.doc_id, b.doc_id AS other FROM {archive} a JOIN {archive} b ON a.doc_id + 7 = b.doc_id AND a.document_date IS NOT DISTINCT FROM b.document_date")
 portable("filter_filed", "SELECT doc_id, quality IS NOT NULL AS filed FROM {archive} WHERE NOT (quality IS NULL AND toxic IS NULL AND document_date IS NULL)")
 portable(
     "keyset_page",
@@ -73,10 +73,6 @@ portable(
     "timeline_months",
     "SELECT substr(document_date, 1, 7) AS month, count(*) AS n FROM {archive} WHERE document_date IS NOT NULL GROUP BY substr(document_date, 1, 7) UNION ALL SELECT 'undated', count(*) FROM {archive} WHERE document_date IS NULL",
 )
-portable(
-    "timeline_years",
-    "WITH y AS (SELECT CAST(substr(document_date, 1, 4) AS INT) AS year, count(*) AS n FROM {archive} WHERE document_date IS NOT NULL GROUP BY 1), spine AS (SELECT 2021 + CAST(n_nationkey AS INT) AS year FROM {nation} WHERE n_nationkey < 5) SELECT s.year, coalesce(y.n, 0) AS n FROM spine s LEFT JOIN y ON y.year = s.year",
-)
 portable(
     "term_counts",
     "SELECT 'correspondent' AS kind, correspondent AS name, count(*) AS n FROM {archive} GROUP BY correspondent UNION ALL SELECT 'document_type', document_type, count(*) FROM {archive} GROUP BY document_type UNION ALL SELECT 'tag', tag, count(*) FROM {tagged} GROUP BY tag",
@@ -120,7 +116,7 @@ portable(
 portable("section_list", "SELECT DISTINCT substr(received_at, 1, 7) AS section, document_type FROM {archive}")
 portable("recent_batches", "SELECT count(*) AS n FROM {jobs} WHERE status LIKE 'p%' AND created_at > '2024-01-20 00:00:00'")
 portable("title_estimate", "SELECT correspondent, document_type, count(*) AS titles, CAST(sum(length(title)) AS BIGINT) AS characters FROM {archive} GROUP BY correspondent, document_type")
-portable("attempts", "SELECT doc_id, substr(created_at, 1, 13) AS hour, count(*) AS n FROM {jobs} GROUP BY doc_id, substr(created_at, 1, 13) HAVING count(*) >= 1")
+portable("attempts", "SELECT doc_id, substr(created_at, 1, 13) AS hour, count(*) AS n FROM {jobs} GROUP BY doc_id, substr(created_at, 1, 13) HAVING count(*) >= 2")
 
 # --- windows -------------------------------------------------------------------------------
 
@@ -134,14 +130,10 @@ portable(
 )
 portable(
     "next_to_review",
-    "SELECT doc_id, coalesce(lead(doc_id) OVER (ORDER BY received_at DESC, seq DESC), first_value(doc_id) OVER (ORDER BY received_at DESC, seq DESC)) AS next FROM {archive} WHERE quality = 0",
+    "SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next FROM {archive} WHERE quality = 0 WINDOW w AS (PARTITION BY correspondent ORDER BY received_at DESC, seq DESC)",
 )
 portable("latest_run", "SELECT doc_id, status, id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, status ORDER BY created_at DESC, id DESC) AS rn FROM {jobs}) r WHERE rn = 1")
-portable(
-    "rate_window",
-    "SELECT id, doc_id, count(*) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n FROM (SELECT id, doc_id, k * 1000000 + id AS k FROM {jobs}) x",
-)
-portable("renumbered", "SELECT b.item_id, m.top + row_number() OVER (ORDER BY b.item_id) AS seq FROM {benchmark} b CROSS JOIN (SELECT max(seq) AS top FROM {archive}) m")
+portable("rate_window", "SELECT event_id AS id, user_id AS doc_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}")
 portable("stack_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM {conversations}")
 portable("rank_positions", "SELECT vec_id, kind, row_number() OVER (PARTITION BY kind ORDER BY label, vec_id) AS place FROM {chunks}")
 

@@ -13,7 +13,7 @@ from folioforge.functions import text as X
 from folioforge.operators import search as S
 from folioforge.operators.facets import facet_counts
 from folioforge.plans.catalog import FOLD, archive, postings, query, tagged, vocab
-from folioforge.session import table
+from folioforge.session import materialise, table
 
 TOKENS = f"regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+')"
 
@@ -121,8 +121,15 @@ def compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = postings(spark, sf_dir)
-    return p, S.vocabulary(p), S.lengths(p)
+    """Postings, vocabulary and lengths, each made once: texts are folded and cut a single time, and all parts of a search read the tables."""
+    p = materialise(postings(spark, sf_dir), "index-postings")
+    return p, materialise(S.vocabulary(p), "index-vocabulary"), materialise(S.lengths(p), "index-lengths")
+
+
+def _found(typed: DataFrame, vocabulary: DataFrame, p: DataFrame, level: int, synonyms: DataFrame | None = None) -> DataFrame:
+    """Matches, made once; the words found are few and meet the postings in one join."""
+    words = materialise(S.expand(typed, vocabulary, synonyms, level), "search-words")
+    return materialise(S.matches(words, p), "search-found")
 
 
 @query(
@@ -132,7 +139,7 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each search, any of its words, as typed."""
     p, v, sized = _index(spark, sf_dir)
-    found = S.matches(S.expand(searches(spark, sf_dir, 6), v, level=S.LITERAL), p)
+    found = _found(searches(spark, sf_dir, 6), v, p, S.LITERAL)
     scored = S.bm25(found, sized, S.LITERAL).withColumn("score", F.round("bm25", 6))
     return S.top(scored, 10, F.col("score"), F.col("doc_id").desc()).select("query_id", "doc_id", "score", "place")
 
@@ -151,8 +158,44 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches of two words that must both occur: title before text, words as typed before compounds, then BM25 with its boosts."""
     p, v, sized = _index(spark, sf_dir)
-    typed = searches(spark, sf_dir, 2)
-    found = S.matches(S.expand(typed, v, level=S.FORMS), p)
+    typed = materialise(searches(spark, sf_dir, 2), "search-typed")
+    found = _found(typed, v, p, S.FORMS)
+    ranked = S.tiers(found, typed, S.near_hits(typed, p), sized).withColumn("rank", F.round("rank", 6))
+    return S.top(ranked, 20, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
+
+
+@query(
+    f"""WITH {searches_sql(2)}, words AS (SELECT DISTINCT term AS word FROM postings),
+    typed AS (SELECT query_id, term_ix, CASE WHEN query_id % 3 = 0 AND term_ix = 0 THEN concat('zzz', term) ELSE term END AS term FROM searches),
+    synonyms AS (SELECT DISTINCT concat('zzz', term) AS term, term AS other FROM searches WHERE query_id % 3 = 0 AND term_ix = 0),
+    begin AS (SELECT s.query_id, s.term_ix, w.word, 0 AS level FROM typed s JOIN words w ON w.word = s.term OR (length(s.term) >= 3 AND NOT regexp_matches(s.term, '[0-9]') AND starts_with(w.word, s.term))
+        UNION ALL SELECT s.query_id, s.term_ix, w.word, 1 FROM typed s JOIN words w ON length(s.term) >= 6 AND NOT regexp_matches(s.term, '[0-9]') AND ends_with(w.word, s.term) AND length(w.word) >= length(s.term) + 3
+        UNION ALL SELECT s.query_id, s.term_ix, w.word, 2 FROM typed s JOIN synonyms y USING (term) JOIN words w ON w.word = y.other OR (length(y.other) >= 3 AND NOT regexp_matches(y.other, '[0-9]') AND starts_with(w.word, y.other))),
+    expanded AS (SELECT query_id, term_ix, word, min(level) AS level FROM begin GROUP BY ALL),
+    found AS (SELECT e.query_id, p.doc_id, e.term_ix, min(e.level) AS level, min(CASE WHEN p.col = 'title' THEN e.level END) AS title_level FROM expanded e JOIN postings p ON p.term = e.word GROUP BY ALL),
+    size AS (SELECT query_id, count(*) AS size FROM typed GROUP BY query_id),
+    per AS (SELECT query_id, doc_id, count(*) AS got, max(level) AS level, count(title_level) AS titled, max(title_level) AS title_level FROM found GROUP BY query_id, doc_id)
+    SELECT query_id, CASE WHEN titled = size THEN title_level ELSE level + 3 END::INT AS tier, count(*) AS n FROM per JOIN size USING (query_id) WHERE got = size GROUP BY ALL""",
+    ("postings",),
+)
+def search_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each tier of a search has, with related words: every third search gives its first word by another name that a table of synonyms resolves."""
+    p, v, sized = _index(spark, sf_dir)
+    renamed = (F.col("query_id") % 3 == 0) & (F.col("term_ix") == 0)
+    plain = materialise(searches(spark, sf_dir, 2), "search-typed")
+    synonyms = plain.where(renamed).select(F.concat(F.lit("zzz"), "term").alias("term"), F.col("term").alias("other")).distinct()
+    typed = plain.withColumn("term", F.when(renamed, F.concat(F.lit("zzz"), "term")).otherwise(F.col("term")))
+    found = _found(typed, v, p, S.RELATED, synonyms)
+    return S.tier_of(found, typed).groupBy("query_id", "tier").agg(F.count("*").alias("n"))
+
+
+@query()
+def search_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches with a stray letter in a word, all levels at once; recognition errors have no SQL, the words are tested against the plain function."""
+    p, v, sized = _index(spark, sf_dir)
+    typed = searches(spark, sf_dir, 2).withColumn("term", F.when(F.col("term_ix") == 1, F.concat("term", F.lit("x"))).otherwise(F.col("term")))
+    typed = materialise(typed, "search-typed")
+    found = _found(typed, v, p, S.SIMILAR)
     ranked = S.tiers(found, typed, S.near_hits(typed, p), sized).withColumn("rank", F.round("rank", 6))
     return S.top(ranked, 20, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
 
@@ -171,7 +214,7 @@ PARTIAL_SQL = f"""WITH {searches_sql(6)}, {STATS_SQL}, {EXPANDED_SQL.format(leve
 def search_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches of six words, ranked by how much of them a document covers."""
     p, v, sized = _index(spark, sf_dir)
-    found = S.matches(S.expand(searches(spark, sf_dir, 6), v, level=S.FORMS), p)
+    found = _found(searches(spark, sf_dir, 6), v, p, S.FORMS)
     ranked = S.coverage(found, sized).withColumn("rank", F.round("rank", 6))
     return S.top(ranked, 10, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "coverage", "rank", "place")
 
@@ -220,16 +263,16 @@ def search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM postings WHERE col = 'body' GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
-    w AS (SELECT t.doc_id, t.term, round(sqrt(t.tf) * ln(n.n / d.df), 9) AS weight FROM tf t JOIN df d USING (term) CROSS JOIN n WHERE d.df >= 2 AND d.df <= n.n / 2 AND d.df <= 50)
+    w AS (SELECT t.doc_id, t.term, round(sqrt(t.tf) * ln(n.n / d.df), 9) AS weight FROM tf t JOIN df d USING (term) CROSS JOIN n WHERE d.df >= 2 AND d.df <= n.n / 2)
     SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rn FROM w) WHERE rn <= 12""",
     ("postings",),
 )
 def telling_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve terms that tell most about each document: frequent in it, rare elsewhere."""
-    tf = postings(spark, sf_dir).where("col = 'body'").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = materialise(postings(spark, sf_dir).where("col = 'body'").groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "index-counts")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = tf.agg(F.count_distinct("doc_id").alias("n"))
-    rare = df.join(F.broadcast(n)).where("df >= 2 and df <= n / 2 and df <= 50")
+    rare = df.join(F.broadcast(n)).where("df >= 2 and df <= n / 2")
     w = tf.join(rare, "term").withColumn("weight", F.round(F.sqrt("tf") * F.ln(F.col("n") / F.col("df")), 9))
     best = w.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "term"))).where("rn <= 12")
     return best.select("doc_id", "term", "weight")
@@ -277,7 +320,7 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM postings WHERE col = 'body' GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
-    w AS (SELECT t.doc_id, t.term, round(sqrt(t.tf) * ln(n.n / d.df), 9) AS weight FROM tf t JOIN df d USING (term) CROSS JOIN n WHERE d.df >= 2 AND d.df <= n.n / 2 AND d.df <= 50),
+    w AS (SELECT t.doc_id, t.term, round(sqrt(t.tf) * ln(n.n / d.df), 9) AS weight FROM tf t JOIN df d USING (term) CROSS JOIN n WHERE d.df >= 2 AND d.df <= n.n / 2),
     t AS (SELECT doc_id, term, weight FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 12),
     s AS (SELECT a.doc_id, b.doc_id AS other, sum(a.weight * b.weight) AS score FROM t a JOIN t b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
     r AS (SELECT s.doc_id, s.other, round(score * CASE WHEN x.correspondent = y.correspondent THEN 1.6 ELSE 1 END * CASE WHEN x.document_type = y.document_type THEN 1.2 ELSE 1 END, 5) AS score FROM s JOIN archive x ON x.doc_id = s.doc_id JOIN archive y ON y.doc_id = s.other)
@@ -286,7 +329,7 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents most like each, by the terms that tell most; same sender and type count more."""
-    t = telling_terms(spark, sf_dir)
+    t = materialise(telling_terms(spark, sf_dir), "telling-terms")
     other = t.select(F.col("doc_id").alias("other"), "term", F.col("weight").alias("w"))
     scored = t.join(other, "term").where("doc_id <> other").groupBy("doc_id", "other").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
     a = archive(spark, sf_dir)
