@@ -59,7 +59,7 @@ portable(
 )
 portable(
     "lineage",
-    "WITH RECURSIVE part AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS depth FROM {conversations} WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, p.depth + 1 FROM part p JOIN {conversations} c ON c.conv_id = p.conv_id AND c.turn = p.turn + 1) SELECT conv_id, count(*) AS parts, max(depth) AS depth FROM part GROUP BY conv_id",
+    "WITH r AS (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM {conversations}) SELECT conv_id, count(*) AS parts, CAST(max(turn) AS BIGINT) AS depth FROM r WHERE place = turn GROUP BY conv_id",
 )
 portable("term_lookup", "SELECT a.doc_id, n.n_nationkey FROM {archive} a JOIN {nation} n ON n.n_nationkey = CAST(substr(a.correspondent, 4) AS INT)")
 portable("field_owners", "SELECT f.doc_id, f.value_text, c.c_name FROM {fields} f JOIN {customer} c ON f.key = 'number' AND CAST(f.value_text AS BIGINT) = c.c_custkey")
