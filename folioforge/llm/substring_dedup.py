@@ -7,7 +7,8 @@ end, so that a repeated passage is covered up to its last sentence. A run that o
 where it occurs first (by document id, then text hash, then place); sentences
 that any later occurrence covers are removed.
 
-Runs travel as two hashes (88 bits together) and a place, never as text. Hot runs
+Runs travel as two hashes (88 bits together, of their sentences' hashes) and a place,
+never as text. Hot runs
 are counted by partial aggregation, and the joins back start at exchanges that
 the adaptive planner may split.
 """
@@ -41,62 +42,61 @@ def run_hashes(text: Column, runs: tuple[tuple[int, int], ...] = RUNS) -> Column
     """An array of ``(key, mark)`` for every run; ``mark`` packs place, sentences and a second hash."""
 
     def of(trimmed: Column) -> Column:
-        count = F.size(trimmed)
+        return let(F.transform(trimmed, lambda s: F.length(s)), lambda lengths: let(F.transform(trimmed, lambda s: F.xxhash64(s)), lambda hashes: found(lengths, hashes)))
 
-        def kinds(lengths: Column) -> Column:
-            def chars(i: Column, n: int) -> Column:
-                return sum((F.get(lengths, i - 1 + k) for k in range(1, n)), F.get(lengths, i - 1)) + (n - 1)
+    def found(lengths: Column, hashes: Column) -> Column:
+        count = F.size(lengths)
+        none = F.array().cast("array<bigint>")
 
-            def starts(n: int, kept: Callable[[Column], Column]) -> Column:
-                return F.when(count >= n, F.filter(F.sequence(F.lit(1), count - (n - 1)), kept)).otherwise(F.array().cast("array<int>"))
+        def chars(i: Column, n: int) -> Column:
+            return sum((F.get(lengths, i - 1 + k) for k in range(1, n)), F.get(lengths, i - 1)) + (n - 1)
 
-            def fixed(n: int, least: int) -> Column:
-                return F.transform(starts(n, lambda i: chars(i, n) >= least), lambda i: i.cast("long") * 256 + n)
+        def starts(n: int, each: Callable[[Column], Column]) -> Column:
+            return F.when(count >= n, F.transform(F.sequence(F.lit(1), count - (n - 1)), each))
 
-            def grown(n: int, least: int) -> Column:
-                """From each start, and up to each end, where ``n`` sentences are short: as many more as it takes, if there are."""
-                short = starts(n, lambda i: chars(i, n) < least)
+        # A run is its place times 256 plus its sentences, as only arrays of numbers are made distinct by hashing.
+        def fixed(n: int, least: int) -> Column:
+            return F.coalesce(F.array_compact(starts(n, lambda i: F.when(chars(i, n) >= least, i.cast("long") * 256 + n))), none)
 
-                def full(a: Column) -> Column:
-                    return (a["n"] >= n) & (a["c"] + a["n"] - 1 >= least)
+        def grown(n: int, least: int) -> Column:
+            """From each start, and up to each end, where ``n`` sentences are short: as many more as it takes, if there are."""
 
-                def taken(some: Column) -> Column:
-                    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"))
-                    return F.aggregate(some, none, lambda a, x: F.when(full(a), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["c"] + x).alias("c"))), lambda a: F.when(full(a), a["n"]))
+            def taken(some: Column) -> Column:
+                # Sentences and characters so far, until there are enough; then the number, negative, stays.
+                start = F.lit(0).cast("long")
+                enough = lambda a: ((a % 256) >= n) & (F.shiftright(a, 8) + (a % 256) - 1 >= least)
+                step = lambda a, x: F.when(a < 0, a).otherwise(let(a + x.cast("long") * 256 + 1, lambda b: F.when(enough(b), -(b % 256)).otherwise(b)))
+                return F.aggregate(some, start, step, lambda a: F.when(a < 0, -a))
 
-                # A few more sentences nearly always do; so many as ``least`` more always, as each has a character.
-                def from_one(some: Callable[[int], Column]) -> Column:
-                    return F.coalesce(taken(some(n + FEW_MORE)), taken(some(n + least)))
+            # A few more sentences nearly always do; so many as ``least`` more always, as each has a character.
+            def first_enough(start: Callable[[int], Column], some: Column) -> Column:
+                steps = F
+                for k in range(n + 1, n + 1 + FEW_MORE):
+                    steps = steps.when(chars(start(k), k) >= least, F.lit(k).cast("long"))
+                return steps.otherwise(taken(some))
 
-                def forwards(i: Column) -> Column:
-                    return i.cast("long") * 256 + from_one(lambda most: F.slice(lengths, i, F.lit(most)))
+            def forwards(i: Column) -> Column:
+                return i.cast("long") * 256 + first_enough(lambda k: i, F.slice(lengths, i, F.lit(n + least)))
 
-                def backwards(i: Column) -> Column:
-                    last = i + (n - 1)
+            def backwards(i: Column) -> Column:
+                last = i + (n - 1)
+                first = F.greatest(F.lit(1), last - (n + least - 1))
+                number = first_enough(lambda k: last - (k - 1), F.reverse(F.slice(lengths, first, last - first + 1)))
+                return let(number, lambda k: (last - k + 1).cast("long") * 256 + k)
 
-                    def some(most: int) -> Column:
-                        first = F.greatest(F.lit(1), last - (most - 1))
-                        return F.reverse(F.slice(lengths, first, last - first + 1))
+            every = starts(n, lambda i: F.when(chars(i, n) >= least, F.array(i.cast("long") * 256 + n)).otherwise(F.array(forwards(i), backwards(i))))
+            return F.coalesce(F.array_compact(F.flatten(every)), none)
 
-                    return let(from_one(some), lambda k: (last - k + 1).cast("long") * 256 + k)
+        def packed(run: Column) -> Column:
+            first, n = F.shiftright(run, 8), run % 256
 
-                return F.array_compact(F.concat(F.transform(short, forwards), F.transform(short, backwards)))
+            def marked(own: Column) -> Column:
+                second = F.pmod(F.hash(own), F.lit(1 << 24)).cast("long")
+                return F.struct(F.xxhash64(own).alias("key"), (first * (1 << 32) + second * 256 + n).alias("mark"))
 
-            # Place and number of sentences in one number, as only arrays of such are made distinct by hashing.
-            every = F.array_distinct(F.concat(grown(*runs[0]), *[fixed(n, least) for n, least in runs]))
+            return let(F.slice(hashes, first.cast("int"), n.cast("int")), marked)
 
-            def packed(run: Column) -> Column:
-                first, n = F.shiftright(run, 8), F.pmod(run, F.lit(256))
-
-                def marked(body: Column) -> Column:
-                    second = F.pmod(F.hash(body), F.lit(1 << 24)).cast("long")
-                    return F.struct(F.xxhash64(body).alias("key"), (first * (1 << 32) + second * 256 + n).alias("mark"))
-
-                return let(F.array_join(F.slice(trimmed, first.cast("int"), n.cast("int")), " "), marked)
-
-            return F.transform(every, packed)
-
-        return let(F.transform(trimmed, F.length), kinds)
+        return F.transform(F.array_distinct(F.concat(grown(*runs[0]), *[fixed(n, least) for n, least in runs[1:]])), packed)
 
     return let(F.transform(sentences(text), lambda s: F.trim(s, F.lit(SPACE))), of)
 
@@ -132,7 +132,8 @@ def dedup_spans(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS) -> Da
 
     def rest(pieces: Column) -> Column:
         def by(lost: Column) -> Column:
-            kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(pieces)), lost), lambda i: F.element_at(pieces, i))
+            left = F.array_except(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pieces))), lost)
+            kept = F.transform(left, lambda i: F.get(pieces, i - 1))
             return F.struct(F.array_join(kept, "").alias("text"), F.size(pieces).cast("long").alias("n"), F.size(lost).cast("long").alias("lost"))
 
         empty = F.array().cast("array<int>")

@@ -121,7 +121,7 @@ def brute_spans(texts):
             runs |= {(a, b) for b in [next((b for b in range(a + 3, len(own) + 1) if len(" ".join(trimmed[a:b])) >= 90), None)] if b}
             runs |= {(c, a + 1) for c in [next((c for c in range(a - 2, -1, -1) if len(" ".join(trimmed[c : a + 1])) >= 90), None)] if c is not None}
         for a, b in runs:
-            places[" ".join(trimmed[a:b])].add((i, a, b))
+            places[tuple(trimmed[a:b])].add((i, a, b))
     lost = collections.defaultdict(set)
     for found in places.values():
         first = min(found)[:2]
