@@ -72,6 +72,79 @@ def test_parts_with_prefixed_names_and_in_urls(spark):
     }
 
 
+def test_linking_against_pairs(spark, docs, texts):
+    """Which parts count, by comparing all parts of a scope with each other."""
+    rng = np.random.default_rng(6)
+    words = ["user=bob", "pw: hunter2", "host=db.internal", "https://h/v1?client_id=abc&sig=xyz123", "token=abcdefgh", "x" * 90, "plain", "Ab3" * 8, "login: carol", "\n\n"]
+    made = {-i: " ".join(rng.choice(words, rng.integers(2, 14))) for i in range(1, 121)}
+    every = texts | made
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))).collect()}
+    kept = collections.Counter()
+    for i, text in every.items():
+        base = secrets.base_spans(text)
+        breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
+        parts = [(a, k, b, sum(x <= a for x in breaks)) for a, b, k in {*base, *secrets.weak_spans(text, base)}]
+        parts = [(a, k, b, scope) for a, k, b, scope in parts]
+
+        def near(p, kinds):
+            return any(q is not p and q[3] == p[3] and q[1] in kinds and (q[0] - p[2] <= secrets.WINDOW if (q[0], q[1], q[2]) > (p[0], p[1], p[2]) else p[0] - q[2] <= secrets.WINDOW) for q in parts)
+
+        want = [p for p in parts if p[1] < 3 or (p[1] == 3 and near(p, (0, 2, 4))) or (p[1] == 4 and near(p, (1, 3))) or (p[1] == 5 and near(p, (1, 3)) and near(p, (0, 2, 4)))]
+        kept.update(p[1] for p in want)
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in sorted(want)), (i, text[:300])
+    assert all(kept[k] for k in (0, 3, 4, 5))
+
+
+def naive_numbers(text):
+    """Places of valid cards and account numbers, by trying every stretch between other characters."""
+    alnum = lambda c: c.isascii() and c.isalnum()
+    out = {}
+    for a in range(len(text)):
+        if not alnum(text[a]) or (a and alnum(text[a - 1])):
+            continue
+        for b in range(min(len(text), a + 68), a + 12, -1):
+            if b < len(text) and alnum(text[b]) or not alnum(text[b - 1]):
+                continue
+            own = text[a:b]
+            digits = own.replace(" ", "").replace("-", "")
+            if 13 <= len(digits) <= 19 and digits.isascii() and digits.isdigit() and not re.search(r"[ -]{2}", own) and len(set(digits)) > 1:
+                total = sum(int(d) if i % 2 == 0 else int(d) * 2 - 9 * (int(d) > 4) for i, d in enumerate(reversed(digits)))
+                if total % 10 == 0:
+                    out[a] = ("card", b)
+                    break
+            account = own.replace(" ", "")
+            if re.fullmatch(r"[A-Z]{2}\d\d[A-Z0-9]+", account, re.ASCII) and "  " not in own and len(account) == int(pseudonyms.IBAN_LENGTHS.get(account[:2], 0)):
+                if int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1:
+                    out[a] = ("iban", b)
+                    break
+    return out
+
+
+def test_pseudonyms_against_every_stretch(spark, docs, texts):
+    """Over all documents: valid cards and account numbers are replaced as such unless a longer find holds them, nothing else changes, and equal values stay equal."""
+    found, kinds = {}, collections.Counter()
+    made = ["Pay 4111 1111 1111 1111 123", "BE68 5390 0754 7034 PAID", "DE89370400440532013000 or DE89 3704 0044 0532 0130 00.", "12 4111-1111-1111-1111", "4111111111111112 and DE88 3704 0044 0532 0130 00", "a4111111111111111"]
+    made = {-1 - i: t for i, t in enumerate(made)}
+    texts = texts | made
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
+    for r in pseudonyms.pseudonymise(docs, b"k").collect():
+        text, spans = texts[r["doc_id"]], [(f["start"], f["stop"], f["kind"], f["pseudonym"]) for f in r["found"]]
+        at, parts = 0, []
+        for a, b, kind, new in spans:
+            parts += [text[at:a], new]
+            at = b
+            kinds[kind] += 1
+            assert new != text[a:b] and re.sub(r"[A-Za-z0-9]", "x", new) == re.sub(r"[A-Za-z0-9]", "x", text[a:b]) or kind == "ip"
+            value = (kind, re.sub(r"[^A-Za-z0-9]", "", text[a:b])) if kind in ("card", "iban") else (kind, text[a:b])
+            same = re.sub(r"[^A-Za-z0-9]", "", new) if kind in ("card", "iban") else new
+            assert found.setdefault(value, same) == same
+        assert r["text"] == "".join([*parts, text[at:]]) and r["n_found"] == len(spans)
+        held = {a: (kind, b) for a, b, kind, _ in spans}
+        for a, (kind, b) in naive_numbers(text).items():
+            assert held.get(a) == (kind, b) or any(x < b and a < y for x, y, _, _ in spans), (r["doc_id"], kind, text[a:b])
+    assert len(set(found.values())) == len(found) and kinds["card"] > 2 and kinds["iban"] == 3
+
+
 def test_line_chunks_survive_an_insertion(spark):
     body = "\n".join(f"line {i} of a long block" for i in range(40))
     rows = [(1, body), (2, "new first line\n" + body)]
