@@ -1,4 +1,4 @@
-"""Queries by meaning. The first vector of each label is a search; the set of searches is as small as the set of labels."""
+"""Queries by meaning. Every vector whose id is divisible by 50 is a search, against all vectors."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from folioforge.operators import vectors as V
 from folioforge.operators.search import top
 from folioforge.plans.catalog import chunks, query
 
-SIMS_SQL = """q AS (SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM chunks GROUP BY label),
+SIMS_SQL = """q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM chunks WHERE vec_id % 50 = 0),
     sims AS (SELECT q.query_id, c.vec_id, c.owner, c.kind, list_dot_product(q.v, c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS sim FROM q CROSS JOIN chunks c)"""
 BEST_SQL = f"""WITH {SIMS_SQL}, b AS (SELECT query_id, owner, max(sim) FILTER (kind < 2) AS large, max(sim) FILTER (kind = 2) AS small FROM sims GROUP BY query_id, owner),
     best AS (SELECT query_id, owner, CASE WHEN large IS NULL THEN small WHEN small IS NULL THEN large ELSE {{value}} END AS sim FROM b)"""
@@ -17,7 +17,7 @@ BEST_SQL = f"""WITH {SIMS_SQL}, b AS (SELECT query_id, owner, max(sim) FILTER (k
 
 def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    q = c.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).withColumnRenamed("label", "query_id")
+    q = c.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return V.similarities(q, c)
 
 
@@ -43,7 +43,7 @@ def near_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     BEST_SQL.format(value="large") + """, m AS (SELECT query_id, owner AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, owner) AS p2 FROM best QUALIFY p2 <= 20),
-    w AS (SELECT label AS query_id, owner AS doc_id, row_number() OVER (PARTITION BY label ORDER BY n DESC, owner) AS p1 FROM (SELECT label, owner, count(*) AS n FROM chunks GROUP BY label, owner) QUALIFY p1 <= 20)
+    w AS (SELECT q.query_id, owner AS doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY n DESC, owner) AS p1 FROM q JOIN (SELECT label, owner, count(*) AS n FROM chunks GROUP BY label, owner) USING (label) QUALIFY p1 <= 20)
     SELECT query_id, doc_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(p1, 1000000), doc_id) AS place FROM (
         SELECT query_id, doc_id, p1, round(coalesce(1.0 / (60 + p1), 0) + coalesce(0.5 / (60 + p2), 0), 9) AS score FROM w FULL OUTER JOIN m USING (query_id, doc_id))) WHERE place <= 10""",
     ("chunks",),
@@ -51,8 +51,11 @@ def near_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ranking by label counts (for the words) fused with one by meaning."""
     c = chunks(spark, sf_dir)
-    words = c.groupBy("label", "owner").agg(F.count("*").alias("n")).withColumnRenamed("label", "query_id")
-    words = top(words, 20, F.col("n").desc(), F.col("owner")).select("query_id", F.col("owner").alias("doc_id"), "place")
+    words = c.groupBy("label", "owner").agg(F.count("*").alias("n"))
+    # The twenty best of a label are those of each of its searches.
+    words = top(words.withColumnRenamed("label", "query_id"), 20, F.col("n").desc(), F.col("owner")).withColumnRenamed("query_id", "label")
+    searches = c.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    words = words.join(searches, "label").select("query_id", F.col("owner").alias("doc_id"), "place")
     meaning = V.ranked(V.best_per_owner(_sims(spark, sf_dir)), 20).select("query_id", F.col("owner").alias("doc_id"), "place")
     fused = V.fuse(words, meaning)
     return top(fused, 10, F.col("score").desc(), F.coalesce("p1", F.lit(1_000_000)), F.col("doc_id")).select("query_id", "doc_id", "score", "place")
