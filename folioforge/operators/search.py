@@ -80,14 +80,19 @@ def similar_words(typed: DataFrame, words: DataFrame) -> DataFrame:
 def matches(expanded: DataFrame, postings: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Per search, document and term: ``level`` (the best), ``in_title``, and the weighted frequency of the words at each level (``tf0`` to ``tf3``)."""
     weight = F.coalesce(*[F.when(F.col("col") == c, F.lit(w)) for c, w in (weights or WEIGHTS).items()], F.lit(0.0))
-    hits = postings.groupBy("doc_id", "col", "term").agg(F.count("*").alias("n")).withColumnRenamed("term", "word").join(expanded, "word")
+    hits = counted(postings).withColumnRenamed("term", "word").join(expanded, "word")
     tf = [F.sum(F.when(F.col("level") <= lv, weight * F.col("n")).otherwise(0.0)).alias(f"tf{lv}") for lv in range(4)]
     return hits.groupBy("query_id", "doc_id", "term_ix").agg(F.min("level").alias("level"), F.min(F.when(F.col("col") == "title", F.col("level"))).alias("title_level"), *tf)
 
 
+def counted(postings: DataFrame) -> DataFrame:
+    """``doc_id, col, term, n``: postings without their places; such a table stays as it is."""
+    return postings if "n" in postings.columns else postings.groupBy("doc_id", "col", "term").agg(F.count("*").alias("n"))
+
+
 def lengths(postings: DataFrame) -> DataFrame:
     """``doc_id, dl``, and the corpus figures ``n_docs, avg_dl`` in each row."""
-    per = postings.groupBy("doc_id").agg(F.count("*").alias("dl"))
+    per = counted(postings).groupBy("doc_id").agg(F.sum("n").alias("dl"))
     total = per.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     return per.join(F.broadcast(total))  # one row
 

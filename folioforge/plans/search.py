@@ -121,11 +121,16 @@ def compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, vocabulary and lengths, each made once: texts are folded and cut a single time, and all parts of a search read the tables."""
-    p = materialise(postings(spark, sf_dir), "index-postings")
+    """Counted postings, vocabulary and lengths, each made once, which all parts of a search read."""
+    p = materialise(S.counted(postings(spark, sf_dir)), "index-counts")
     return p, materialise(S.vocabulary(p), "index-vocabulary"), materialise(S.lengths(p), "index-lengths")
 
 
+def _places(spark: SparkSession, sf_dir: str, typed: DataFrame) -> DataFrame:
+    """The postings, with their places, of the words that searches name exactly."""
+    return materialise(postings(spark, sf_dir).join(typed.select("term").distinct(), "term", "left_semi"), "index-places")
+
+
 def _found(typed: DataFrame, vocabulary: DataFrame, p: DataFrame, level: int, synonyms: DataFrame | None = None) -> DataFrame:
     """Matches, made once; the words found are few and meet the postings in one join."""
     words = materialise(S.expand(typed, vocabulary, synonyms, level), "search-words")
@@ -160,7 +165,7 @@ def search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, v, sized = _index(spark, sf_dir)
     typed = materialise(searches(spark, sf_dir, 2), "search-typed")
     found = _found(typed, v, p, S.FORMS)
-    ranked = S.tiers(found, typed, S.near_hits(typed, p), sized).withColumn("rank", F.round("rank", 6))
+    ranked = S.tiers(found, typed, S.near_hits(typed, _places(spark, sf_dir, typed)), sized).withColumn("rank", F.round("rank", 6))
     return S.top(ranked, 20, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
 
 
@@ -196,7 +201,7 @@ def search_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = searches(spark, sf_dir, 2).withColumn("term", F.when(F.col("term_ix") == 1, F.concat("term", F.lit("x"))).otherwise(F.col("term")))
     typed = materialise(typed, "search-typed")
     found = _found(typed, v, p, S.SIMILAR)
-    ranked = S.tiers(found, typed, S.near_hits(typed, p), sized).withColumn("rank", F.round("rank", 6))
+    ranked = S.tiers(found, typed, S.near_hits(typed, _places(spark, sf_dir, typed)), sized).withColumn("rank", F.round("rank", 6))
     return S.top(ranked, 20, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
 
 
