@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, embedding_dedup, line_dedup, mixing, mtree_search, ngram_join, pseudonyms, secrets, substring_dedup, toxicity
+from folioforge.llm import bpe, conversations, embedding_dedup, line_dedup, mixing, mtree_search, ngram_join, pseudonyms, quality_rules, ranked_search, secrets, substring_dedup, toxicity
 from folioforge.session import table
 
 
@@ -68,5 +68,20 @@ def op10_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
+    out = conversations.repair(damaged)
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_line_dedup": op2_line_dedup, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op5_ngram_join": op5_ngram_join, "op6_embedding_dedup": op6_embedding_dedup, "op7_mixing": op7_mixing, "op8_bpe": op8_bpe, "op9_pseudonyms": op9_pseudonyms, "op10_mtree_search": op10_mtree_search}
+    every = (op1_secrets, op2_line_dedup, op3_toxicity, op4_substring_dedup, op5_ngram_join, op6_embedding_dedup, op7_mixing, op8_bpe, op9_pseudonyms, op10_mtree_search, op11_conversation_repair, op12_quality_rules, op13_ranked_search)
+    return {q.__name__: q for q in every}
