@@ -70,7 +70,7 @@ def op10_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
-    out = conversations.repair(damaged)
+    out = conversations.repair(damaged, "copies")
     return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
