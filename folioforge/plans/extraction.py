@@ -37,12 +37,17 @@ def document_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, '^(\\d{4})\\s*[-:]?\\s+(.+)$', '\\2 \\1') AS title, concat(upper(left(p_type, 1)), 'Q', (p_size % 4 + 1), ' ', 2000 + p_size) AS quarter FROM part")
+@query("SELECT p_partkey, p_name || ' Q' || (p_size % 4 + 1) || ' ' || (1950 + p_size) AS quarter, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || (1950 + p_size) ELSE (1950 + p_size) || ' ' || p_name || ' 2001' END AS yearly FROM part")
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles in their usual form: a year at the end, quarters as ``Q3 2020`` (here from ``3. Quartal 2020``)."""
-    raw = F.concat((F.col("p_size") % 4 + 1).cast("string"), F.lit(". Quartal "), (F.col("p_size") + 2000).cast("string"))
-    quarter = F.regexp_replace(raw, r"([1-4])\s*\.?\s*Quartal\s*[/ ,-]?\s*((?:19|20)\d\d)", "Q$1 $2")
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_name", r"^(\d{4})\s*[-:]?\s+(.+)$", "$2 $1").alias("title"), F.concat(F.upper(F.substring("p_type", 1, 1)), quarter).alias("quarter"))
+    """Titles in their usual form: quarters as ``Q3 2020``, however they are written, and a single year at the end."""
+    number, year = F.col("p_size") % 4 + 1, (F.col("p_size") + 1950).cast("string")
+    n = number.cast("string")
+    roman = F.element_at(F.array(*[F.lit(r.upper()) for r in X.ROMAN]), number)
+    kind = F.col("p_partkey") % 4
+    typed = F.when(kind == 0, F.concat(n, F.lit(". Quartal "), year)).when(kind == 1, F.concat(roman, F.lit(" quartal/"), year)).when(kind == 2, F.concat(year, F.lit(" Q"), n)).otherwise(F.concat(F.lit("Quartal "), n, F.lit("-"), year))
+    lead = F.when(F.col("p_partkey") % 2 == 0, F.concat(year, F.lit(" - "), "p_name")).otherwise(F.concat(year, F.lit(" "), "p_name", F.lit(" 2001")))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("  "), typed, F.lit(" -")).alias("q"), lead.alias("y"))
+    return p.select("p_partkey", X.usual_titles("q").alias("quarter"), X.usual_titles("y").alias("yearly"))
 
 
 @query()

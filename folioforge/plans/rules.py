@@ -199,7 +199,7 @@ def field_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     amount = F.translate(F.format_number(F.round("o_totalprice", 2), 2), ",.", ".,")
     letter = F.concat(F.lit("Sehr geehrte Damen,\nRechnungsnummer: R-"), F.col("o_custkey").cast("string"), F.lit("/"), (1000 + F.col("o_orderkey") % 9000).cast("string"), F.lit("\nGesamtbetrag "), amount, F.lit(" EUR zum 1.1.\n"))
-    return o.select("o_orderkey", X.field_after(letter, "rechnungsnummer", "rechnungsnr", "invoice number", "invoice no").alias("number"), X.amount_after(letter, "gesamtbetrag", "rechnungsbetrag", "total due", "amount due").alias("amount"))
+    return o.select("o_orderkey", X.field_after(letter, "rechnungsnummer", "invoice number").alias("number"), X.amount_after(letter, "gesamtbetrag", "amount due").alias("amount"))
 
 
 portable(
@@ -216,17 +216,15 @@ def plausible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_name", good.alias("plausible")).distinct()
 
 
-@query("SELECT p_partkey, p_name AS subject, p_partkey % 4 IN (1, 3) AS forwarded, p_partkey % 2 = 0 AS has_keyword FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '#Archive: ' || p_name END AS subject, p_partkey % 4 IN (1, 3) AS forwarded, p_partkey % 2 = 0 AS has_keyword FROM part")
 def mail_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects without their prefixes and the keyword, and what these said."""
+    """Subjects without their marks and the keyword, and what these said; a word that only begins like the keyword stays."""
     k = F.col("p_partkey") % 4
-    subject = F.concat(F.when(k == 0, "Re: ").when(k == 1, "WG: AW: ").when(k == 2, "").otherwise("Fwd:Re: "), F.when(F.col("p_partkey") % 2 == 0, "#Archiv ").otherwise("Archivar #Archive "), F.col("p_name"))
-    p = table(spark, sf_dir, "part").select("p_partkey", subject.alias("s"), "p_name")
-    prefix, word = r"(?i)^\s*((re|aw|fwd?|wg)\s*:\s*)+", r"(?i)(?<![\w#])#archiv(?!\w)"
-    bare = F.regexp_replace("s", prefix, "")
-    clean = F.trim(F.regexp_replace(F.regexp_replace(bare, word, " "), r"\s+", " "))
-    clean = F.regexp_replace(clean, "^Archivar #Archive ", "")
-    return p.select("p_partkey", clean.alias("subject"), F.col("s").rlike(r"(?i)^\s*((re|aw)\s*:\s*)*(fwd?|wg)\s*:").alias("forwarded"), F.col("s").rlike(word).alias("has_keyword"))
+    subject = F.concat(F.when(k == 0, "Re: ").when(k == 1, "WG: AW: ").when(k == 2, "").otherwise("Fwd:Re: "), F.when(F.col("p_partkey") % 2 == 0, "#Archiv ").otherwise("#Archive: "), F.col("p_name"))
+    read = table(spark, sf_dir, "part").select("p_partkey", F.inline(F.array(X.subject_parts(subject))))
+    words = F.split("subject", " +")
+    is_key = lambda w: F.lower(w) == "#archiv"
+    return read.select("p_partkey", F.array_join(F.filter(words, lambda w: ~is_key(w)), " ").alias("subject"), "forwarded", F.exists(words, is_key).alias("has_keyword"))
 
 
 portable(
@@ -283,11 +281,21 @@ portable("body_choice", "SELECT page_id, CASE WHEN length(trim(url)) < 0.3 * len
 # --- states and batches ----------------------------------------------------------------------------
 
 portable("derived_status", "SELECT doc_id, CASE WHEN length(trim(body)) = 0 THEN 'failed' WHEN quality = 0 OR document_date IS NULL THEN 'needs_review' ELSE 'done' END AS status FROM {archive}")
-portable(
-    "model_costs",
-    "WITH price AS (SELECT * FROM (VALUES ('large', 5.0, 25.0), ('middle', 2.0, 10.0), ('small', 1.0, 5.0)) AS t(model, p_in, p_out)), u AS (SELECT id, k, CASE id % 4 WHEN 0 THEN 'large-2' WHEN 1 THEN 'middle-1' WHEN 2 THEN 'small' ELSE 'other' END AS model FROM {jobs}) "
-    "SELECT u.id, round(CAST(u.k * p.p_in / 1000000 + u.k * p.p_in * 1.25 / 1000000 + u.k * p.p_in * 0.1 / 1000000 + u.k * p.p_out / 1000000 AS DOUBLE), 9) AS cost FROM u LEFT JOIN price p ON substr(u.model, 1, length(p.model)) = p.model",
-)
+#: What a million tokens cost: model, read, written. Figures of this project, for its examples; a user gives their own.
+PRICES = (("alpha", 3.0, 12.0), ("beta", 0.75, 3.5), ("gamma", 0.1, 0.4))
+#: Reading into a cache and from it, as shares of the price of reading.
+CACHE_WRITE, CACHE_READ = 1.2, 0.2
+
+
+def _model_costs_sql(prices: tuple) -> str:
+    rows = ", ".join(f"('{m}', {i}, {o})" for m, i, o in prices)
+    return (
+        f"WITH price AS (SELECT * FROM (VALUES {rows}) AS t(model, p_in, p_out)), u AS (SELECT id, k, CASE id % 4 WHEN 0 THEN 'gamma-2' WHEN 1 THEN 'alpha' WHEN 2 THEN 'beta-1' ELSE 'other' END AS model FROM {{jobs}}) "
+        f"SELECT u.id, round(CAST((u.k * p.p_in + u.k * p.p_in * {CACHE_WRITE} + u.k * p.p_in * {CACHE_READ} + u.k * p.p_out) / 1000000 AS DOUBLE), 9) AS cost FROM u LEFT JOIN price p ON substr(u.model, 1, length(p.model)) = p.model"
+    )
+
+
+portable("model_costs", _model_costs_sql(PRICES))
 portable(
     "catch_up",
     "SELECT a.doc_id FROM {archive} a WHERE a.quality IS NULL AND NOT EXISTS (SELECT 1 FROM {jobs} j WHERE j.doc_id = a.doc_id AND j.status = 'click') AND (SELECT count(*) FROM {jobs} WHERE status = 'none such') = 0 ORDER BY a.doc_id LIMIT 25",
