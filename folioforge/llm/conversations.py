@@ -48,7 +48,7 @@ ROLES = "sua-"
 # --- search ---------------------------------------------------------------------------------
 
 
-def _edits(code: int, state: int) -> Iterator[tuple[str, int, int]]:
+def _allowed(code: int, state: int) -> Iterator[tuple[str, int, int]]:
     """What may be done with a row, in ASCII order: initial, cost, state after it."""
     role, fault = ROLES[code >> 2], code & 3
     yield "D", DELETE, state
@@ -59,18 +59,21 @@ def _edits(code: int, state: int) -> Iterator[tuple[str, int, int]]:
         yield "R", REROLE + extra, FOLLOWS[state][GIVEN[state]]
 
 
+#: The edits of each code (four times the role, and the fault) in each state.
+EDITS = [[list(_allowed(code, state)) for state in range(4)] for code in range(16)]
+
+
 def bounds(codes: bytes, exits: frozenset) -> list[list[int]]:
     """For each place and state, the cost of the cheapest way to an exit."""
-    found = [[0 if s in exits else NEVER for s in range(4)]]
+    row = [0 if s in exits else NEVER for s in range(4)]
+    found = []
     for code in (None, *reversed(codes)):
-        if code is None:
-            row = found[0]
-        else:
-            row = [min(cost + found[-1][after] for _, cost, after in _edits(code, s)) for s in range(4)]
-            found.append(row)
-        for _ in range(3):  # inserts lead through three more states at most
-            for s in range(4):
-                row[s] = min(row[s], INSERT + row[FOLLOWS[s][GIVEN[s]]])
+        if code is not None:
+            row = [min([cost + row[after] for _, cost, after in edits]) for edits in EDITS[code]]
+        # An insert leads from the user's turn to the assistant's, and from all others to the user's.
+        row[U] = min(row[U], INSERT + row[A])
+        row[A], row[START], row[S] = (min(row[s], INSERT + row[U]) for s in (A, START, S))
+        found.append(row)
     return found[::-1]
 
 
@@ -93,7 +96,7 @@ def solve(codes: bytes, entry: int, exits: frozenset) -> tuple[int, str] | None:
             continue
         more = [("I", at, INSERT, FOLLOWS[state][GIVEN[state]])]
         if at < n:
-            more += [(e, at + 1, c, s) for e, c, s in _edits(codes[at], state)]
+            more += [(e, at + 1, c, s) for e, c, s in EDITS[codes[at]][state]]
         stack.extend((i, s, cost + c, audit + e) for e, i, c, s in sorted(more, reverse=True))
     return best if best[0] < NEVER else None
 
