@@ -1,70 +1,97 @@
-"""Full-text search as joins: many searches at once over a table of postings.
+"""Full-text search as joins: many searches at once over a stored index.
 
-``postings(doc_id, col, pos, term)`` is the index, ``searches(query_id, term_ix,
-term)`` the searches. Terms are looked up in the vocabulary first (a small table);
-only then do the words found meet the postings, by equality. Everything a document
-needs for its rank comes from one aggregate per (search, document, term).
+``searches(query_id, term_ix, term)`` are the searches; the index gives ``postings(doc_id,
+col, term, n, places)``, ``words(term, docs, stem)`` and the pieces inside words. Terms
+are looked up among the words first (a small table); only then do the words found meet
+their postings, by equality. Everything a document needs for its rank comes from one
+aggregate per (search, document, term).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import stems
 from folioforge.functions import text as X
+from folioforge.operators.index import GRAM
+from folioforge.session import materialise
 
-#: Column weights, levels and rank constants.
-WEIGHTS = {"title": 10.0, "body": 1.0}
+#: Column weights, the columns that describe a document, levels and rank constants.
+WEIGHTS = {"ident": 12.0, "title": 10.0, "correspondent": 8.0, "doctype": 6.0, "tags": 6.0, "custom": 7.0, "filename": 3.0, "dates": 4.0, "summary": 2.5, "body": 1.0, "notes": 5.0}
+META = ("ident", "title", "correspondent", "doctype", "tags", "custom", "dates", "notes")
 LITERAL, FORMS, RELATED, SIMILAR = 0, 1, 2, 3
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-TIER_STEP, TITLE_BOOST, NEAR_BOOST, WEAK, NEAR = 10_000.0, 1.0, 0.5, 0.5, 10
+TIER_STEP, TITLE_BOOST, NEAR_BOOST, YEAR_BOOST, WEAK, NEAR = 10_000.0, 1.0, 0.5, 0.5, 0.5, 10
+#: Endings that a compound's last part may have, and how long words must be to be looked up by stem, in compounds, and inside them.
+ENDINGS = ("en", "es", "e", "n", "s", "er", "ern")
+STEM_WORD, COMPOUND_WORD, INNER_PART, BEFORE_INNER, AFTER_INNER = 4, 5, 6, 3, 4
 
 
-def vocabulary(postings: DataFrame) -> DataFrame:
-    """``term, docs``."""
-    return postings.groupBy("term", "doc_id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("docs"))
+def may_start(term: Column) -> Column:
+    """Whether a typed word also stands for words that it begins; digits and short words are exact."""
+    return (F.length(term) >= 3) & ~term.rlike("[0-9]")
 
 
-def prefix_key(term: Column) -> Column:
-    return F.substring(term, 1, 3)
+def beginning(terms: DataFrame, words: DataFrame, rank: int) -> DataFrame:
+    """``query_id, term_ix, word, level``: the words that each of ``terms`` is or begins.
 
+    Every word stands under each of its beginnings, so the join is by equality with the
+    typed word, and no beginning that many words share is a key unless it is typed.
+    """
+    starts = F.explode(F.sequence(F.lit(1), F.length("word")))
+    keys = words.withColumn("n", starts).select("word", F.expr("substring(word, 1, n)").alias("term"), (F.col("n") == F.length("word")).alias("whole"))
+    # The typed words are the smaller side; each word's beginnings are filtered by them.
+    found = keys.join(terms.select("query_id", "term_ix", "term"), "term").where(F.col("whole") | may_start(F.col("term")))
+    return found.select("query_id", "term_ix", "word", F.lit(rank).alias("level"))
 
-def may_start(term: Column) -> Column:
-    """Whether a typed word also stands for words that it begins; digits and short words are exact."""
-    return (F.length(term) >= 3) & ~term.rlike("[0-9]")
 
+def forms_of(typed: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``query_id, term_ix, word``: the words with a typed word's stem; and ``query_id, term_ix, form``, what to look for in compounds."""
+    letters = typed.where(F.col("term").rlike(r"^\p{L}+$") & (F.length("term") >= STEM_WORD))
+    stemmed = materialise(stems.with_stem(letters, "term"), "search-stems").where(F.length("stem") >= 3)
+    same = stemmed.join(words.where("stem is not null").select("word", "stem"), "stem").where("word <> term").select("query_id", "term_ix", "word", "term")
+    own = letters.select("query_id", "term_ix", "term", F.explode(X.word_forms(F.col("term"))).alias("form"))
+    both = own.unionByName(same.select("query_id", "term_ix", "term", F.col("word").alias("form")))
+    usable = both.where((F.length("term") >= COMPOUND_WORD) & (F.length("form") >= STEM_WORD)).select("query_id", "term_ix", "form").distinct()
+    return same.select("query_id", "term_ix", "word"), usable
 
-def expand(searches: DataFrame, vocab: DataFrame, synonyms: DataFrame | None = None, level: int = SIMILAR) -> DataFrame:
-    """``query_id, term_ix, word, level``: the indexed words that each term stands for, at their best level.
 
-    LITERAL: the word, or words that begin with it. FORMS: compounds that end in it
-    (words of 6 letters on). RELATED: ``synonyms(term, other)`` and what begins with
-    them. SIMILAR: words with the same first two letters within the allowed edits.
-    All of these are equality joins (on three first letters, three last letters, or
-    two first letters and a length) and a filter.
+def compounds(forms: DataFrame, grams: DataFrame) -> DataFrame:
+    """``query_id, term_ix, word``: words that end in a form, with or without an ending, or hold a longer one between other parts.
+
+    A form is met at its first four letters, wherever they stand inside a word.
     """
-    typed = searches.select("query_id", "term_ix", "term")
-    words = vocab.select(F.col("term").alias("word"))
+    met = forms.withColumn("gram", F.left("form", F.lit(GRAM))).join(grams, "gram")
+    met = met.where(F.expr("substring(word, at + 1, length(form)) = form")).withColumn("rest", F.expr("substring(word, at + 1 + length(form))"))
+    last = F.col("rest").isin("", *ENDINGS)
+    inner = (F.length("form") >= INNER_PART) & (F.col("at") >= BEFORE_INNER) & (F.length("rest") >= AFTER_INNER)
+    return met.where(last | inner).select("query_id", "term_ix", "word").distinct()
 
-    def beginning(terms: DataFrame, rank: int) -> DataFrame:
-        exact = terms.join(words, terms["term"] == words["word"])
-        more = terms.where(may_start(F.col("term"))).withColumn("k", prefix_key(F.col("term")))
-        more = more.join(words.withColumn("k", prefix_key(F.col("word"))), "k").where(F.col("word").startswith(F.col("term")))
-        return exact.select("query_id", "term_ix", "word", F.lit(rank).alias("level")).unionByName(more.select("query_id", "term_ix", "word", F.lit(rank).alias("level")))
 
-    found = [beginning(typed, LITERAL)]
+def expand(searches: DataFrame, words: DataFrame, grams: DataFrame, synonyms: DataFrame | None = None, level: int = SIMILAR) -> DataFrame:
+    """``query_id, term_ix, word, level``: the indexed words that each term stands for, at their best level.
+
+    LITERAL: the word or a base form of it, or words that begin with these. FORMS: words
+    of the same stem, and compounds. RELATED: ``synonyms(term, other)`` and what begins
+    with them. SIMILAR: words with the same first two letters within the allowed edits.
+    All of these are equality joins and a filter.
+    """
+    typed = searches.select("query_id", "term_ix", "term")
+    words = words.select(F.col("term").alias("word"), "stem")
+    plain = words.select("word")
+    forms = typed.select("query_id", "term_ix", F.explode(X.word_forms(F.col("term"))).alias("term"))
+    found = [beginning(forms, plain, LITERAL)]
     if level >= FORMS:
-        ends = typed.where((F.length("term") >= 6) & ~F.col("term").rlike("[0-9]")).withColumn("k", F.substring("term", -3, 3))
-        ends = ends.join(words.withColumn("k", F.substring("word", -3, 3)), "k").where(F.col("word").endswith(F.col("term")) & (F.length("word") >= F.length("term") + 3))
-        found.append(ends.select("query_id", "term_ix", "word", F.lit(FORMS).alias("level")))
+        same, usable = forms_of(typed, words)
+        found += [df.select("query_id", "term_ix", "word", F.lit(FORMS).alias("level")) for df in (same, compounds(usable, grams))]
     if level >= RELATED and synonyms is not None:
-        found.append(beginning(typed.join(synonyms, "term").select("query_id", "term_ix", F.col("other").alias("term")), RELATED))
+        found.append(beginning(typed.join(synonyms, "term").select("query_id", "term_ix", F.col("other").alias("term")), plain, RELATED))
     if level >= SIMILAR:
-        found.append(similar_words(typed, words).select("query_id", "term_ix", "word", F.lit(SIMILAR).alias("level")))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("query_id", "term_ix", "word").agg(F.min("level").alias("level"))
+        found.append(similar_words(typed, plain).select("query_id", "term_ix", "word", F.lit(SIMILAR).alias("level")))
+    return reduce(DataFrame.unionByName, found).groupBy("query_id", "term_ix", "word").agg(F.min("level").alias("level"))
 
 
 def similar_words(typed: DataFrame, words: DataFrame) -> DataFrame:
@@ -78,23 +105,12 @@ def similar_words(typed: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def matches(expanded: DataFrame, postings: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Per search, document and term: ``level`` (the best), ``in_title``, and the weighted frequency of the words at each level (``tf0`` to ``tf3``)."""
+    """Per search, document and term: ``level`` (the best), ``meta_level`` and ``title_level`` (the best in those columns), and the weighted frequency of the words at each level (``tf0`` to ``tf3``)."""
     weight = F.coalesce(*[F.when(F.col("col") == c, F.lit(w)) for c, w in (weights or WEIGHTS).items()], F.lit(0.0))
-    hits = counted(postings).withColumnRenamed("term", "word").join(expanded, "word")
+    hits = postings.select("doc_id", "col", F.col("term").alias("word"), "n").join(expanded, "word")
     tf = [F.sum(F.when(F.col("level") <= lv, weight * F.col("n")).otherwise(0.0)).alias(f"tf{lv}") for lv in range(4)]
-    return hits.groupBy("query_id", "doc_id", "term_ix").agg(F.min("level").alias("level"), F.min(F.when(F.col("col") == "title", F.col("level"))).alias("title_level"), *tf)
-
-
-def counted(postings: DataFrame) -> DataFrame:
-    """``doc_id, col, term, n``: postings without their places; such a table stays as it is."""
-    return postings if "n" in postings.columns else postings.groupBy("doc_id", "col", "term").agg(F.count("*").alias("n"))
-
-
-def lengths(postings: DataFrame) -> DataFrame:
-    """``doc_id, dl``, and the corpus figures ``n_docs, avg_dl`` in each row."""
-    per = counted(postings).groupBy("doc_id").agg(F.sum("n").alias("dl"))
-    total = per.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    return per.join(F.broadcast(total))  # one row
+    best = [F.min("level").alias("level"), F.min(F.when(F.col("col").isin(*META), F.col("level"))).alias("meta_level"), F.min(F.when(F.col("col") == "title", F.col("level"))).alias("title_level")]
+    return hits.groupBy("query_id", "doc_id", "term_ix").agg(*best, *tf)
 
 
 def bm25(found: DataFrame, sized: DataFrame, level: int) -> DataFrame:
@@ -113,28 +129,38 @@ def top(ranked: DataFrame, k: int, *order: Column) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def phrase_hits(searches: DataFrame, postings: DataFrame) -> DataFrame:
+def phrase_hits(searches: DataFrame, postings: DataFrame, words: DataFrame) -> DataFrame:
     """``query_id, doc_id, col``, how often the words of a search stand side by side in a column.
 
-    A word at place ``p`` of a phrase votes for the start ``pos - p``; a start with a
-    vote from every word is a hit. One join and one aggregate for any length.
+    ``searches`` have a row for each place of the phrase, ``words(term, docs)`` say how
+    rare a word is. Only the places of a phrase's rarest word are starts; each start then
+    asks every other word's postings of that document and column for its place.
     """
-    size = searches.groupBy("query_id").agg(F.count("*").alias("size"))
-    votes = searches.join(postings, "term").select("query_id", "doc_id", "col", (F.col("pos") - F.col("term_ix")).alias("start"), "term_ix")
-    starts = votes.groupBy("query_id", "doc_id", "col", "start").agg(F.count("*").alias("votes")).join(size, "query_id").where("votes = size")
-    return starts.groupBy("query_id", "doc_id", "col").agg(F.count("*").alias("hits"))
+    known = searches.join(words.select("term", "docs"), "term", "left")
+    size = known.groupBy("query_id").agg(F.count("*").alias("size"), F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "term_ix", "term")).alias("rarest"))
+    size = size.where("rarest.docs > 0")
+    anchors = size.select("query_id", "size", F.col("rarest.term").alias("term"), F.col("rarest.term_ix").alias("ix"))
+    starts = anchors.join(postings.select("doc_id", "col", "term", "places"), "term").select("query_id", "size", "ix", "doc_id", "col", F.explode("places").alias("start")).withColumn("start", F.col("start") - F.col("ix"))
+    others = searches.select("query_id", "term_ix", "term")
+    asked = starts.join(others, "query_id").where("term_ix <> ix").select("query_id", "size", "doc_id", "col", "start", "term_ix", "term")
+    held = asked.join(postings.select("doc_id", "col", "term", "places"), ["doc_id", "col", "term"]).where(F.expr("array_contains(places, start + term_ix)"))
+    whole = held.groupBy("query_id", "size", "doc_id", "col", "start").agg(F.count("*").alias("votes")).where("votes = size - 1")
+    alone = starts.where("size = 1").select("query_id", "doc_id", "col", "start")
+    return whole.select("query_id", "doc_id", "col", "start").unionByName(alone).groupBy("query_id", "doc_id", "col").agg(F.count("*").alias("hits"))
 
 
 def near_hits(searches: DataFrame, postings: DataFrame, distance: int = NEAR) -> DataFrame:
     """``query_id, doc_id``: all words of a search within ``distance`` words between them, in one column.
 
-    From each position, the span to the nearest earlier place of every other word is a
-    running maximum; searches of two or more words.
+    Searches of two or more words. Places count only in columns that hold all words;
+    from each, the span to the nearest earlier place of every other word decides.
     """
-    size = searches.groupBy("query_id").agg(F.count("*").alias("size"))
-    hits = searches.join(postings, "term").join(size, "query_id").where("size > 1").select("query_id", "doc_id", "col", "pos", "term_ix", "size")
+    size = searches.groupBy("query_id").agg(F.count("*").alias("size")).where("size > 1")
+    hits = searches.join(size, "query_id").join(postings.select("doc_id", "col", "term", "places"), "term")
+    held = hits.groupBy("query_id", "size", "doc_id", "col").agg(F.count("*").alias("got"), F.collect_list(F.struct("term_ix", "places")).alias("each")).where("got = size")
+    places = held.select("query_id", "size", "doc_id", "col", F.explode("each").alias("e")).select("query_id", "size", "doc_id", "col", "e.term_ix", F.explode("e.places").alias("pos"))
     reach = Window.partitionBy("query_id", "doc_id", "col").orderBy("pos").rangeBetween(-(distance + 1), 0)
-    spans = hits.withColumn("seen", F.size(F.collect_set("term_ix").over(reach))).where("seen = size")
+    spans = places.withColumn("seen", F.size(F.collect_set("term_ix").over(reach))).where("seen = size")
     return spans.select("query_id", "doc_id").distinct()
 
 
@@ -155,27 +181,33 @@ def bm25_levels(found: DataFrame, sized: DataFrame) -> DataFrame:
 def tier_of(found: DataFrame, searches: DataFrame) -> DataFrame:
     """``query_id, doc_id, in_title, tier`` of the documents that have every word of a search; see :func:`tiers`."""
     size = searches.groupBy("query_id").agg(F.count("*").alias("size"))
-    per = found.groupBy("query_id", "doc_id").agg(F.count("*").alias("got"), F.max("level").alias("level"), F.count("title_level").alias("titled"), F.max("title_level").alias("title_level"))
+    own = [F.count("meta_level").alias("described"), F.max("meta_level").alias("meta_level"), F.count("title_level").alias("titled")]
+    per = found.groupBy("query_id", "doc_id").agg(F.count("*").alias("got"), F.max("level").alias("level"), *own)
     whole = per.join(size, "query_id").where("got = size").withColumn("in_title", F.col("titled") == F.col("size"))
-    tier = F.when(F.col("in_title") & (F.col("title_level") <= RELATED), F.col("title_level")).when(F.col("level") <= RELATED, F.col("level") + 3).otherwise(6)
+    in_meta = (F.col("described") == F.col("size")) & (F.col("meta_level") <= RELATED)
+    tier = F.when(in_meta, F.col("meta_level")).when(F.col("level") <= RELATED, F.col("level") + 3).otherwise(6)
     return whole.select("query_id", "doc_id", "in_title", tier.alias("tier"))
 
 
-def tiers(found: DataFrame, searches: DataFrame, near: DataFrame, sized: DataFrame) -> DataFrame:
+def tiers(found: DataFrame, searches: DataFrame, near: DataFrame, sized: DataFrame, years: DataFrame | None = None) -> DataFrame:
     """Documents that have every word of a search: ``tier, bm25, boost, rank``, lower is better.
 
-    Tier: the title alone has all words as typed (0), in their forms (1), in related
-    words (2); any column so (3, 4, 5); at least similar spellings (6). BM25 counts
-    the words of the tier's own level.
+    Tier: the columns that describe the document have all words as typed (0), in their
+    forms (1), in related words (2); any column so (3, 4, 5); at least similar spellings
+    (6). BM25 counts the words of the tier's own level; it counts more if the title has
+    all words, if they stand near each other, and for the ``years(query_id, doc_id)``
+    that a search names.
     """
     whole = tier_of(found, searches).withColumn("at", F.when(F.col("tier") == 6, SIMILAR).otherwise(F.col("tier") % 3))
     every = bm25_levels(found, sized)
     value = F.element_at("bm25s", (F.col("at") + 1).cast("int"))
     scored = whole.join(every, ["query_id", "doc_id"]).withColumn("bm25", value)
-    in_title = F.col("in_title")
-    close = near.withColumn("near", F.lit(True))
-    boost = 1 + F.when(in_title, TITLE_BOOST).otherwise(0.0) + F.when(F.col("near"), NEAR_BOOST).otherwise(0.0)
-    done = scored.join(close, ["query_id", "doc_id"], "left").withColumn("boost", boost)
+    boost = 1 + F.when(F.col("in_title"), TITLE_BOOST).otherwise(0.0) + F.when(F.col("near"), NEAR_BOOST).otherwise(0.0)
+    done = scored.join(near.withColumn("near", F.lit(True)), ["query_id", "doc_id"], "left")
+    if years is not None:
+        done = done.join(years.select("query_id", "doc_id").distinct().withColumn("dated", F.lit(True)), ["query_id", "doc_id"], "left")
+        boost = boost + F.when(F.col("dated"), YEAR_BOOST).otherwise(0.0)
+    done = done.withColumn("boost", boost)
     return done.select("query_id", "doc_id", "tier", "bm25", "boost", (F.col("tier") * TIER_STEP + F.col("bm25") * F.col("boost")).alias("rank"))
 
 

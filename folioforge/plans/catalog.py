@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
+from folioforge.operators.index import Index, create, exists
 from folioforge.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +101,41 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("doc_id", F.inline(each)).select("doc_id", "col", F.posexplode("terms").alias("pos", "term"))
 
 
+#: Where the search's columns come from; their weights are those of :data:`folioforge.operators.search.WEIGHTS`.
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, col, text``: the eleven columns of a document's description that searches read.
+
+    The archive's own columns; custom fields of the order and the file name of the page
+    with the document's number, and the first turn of that conversation as its note.
+    """
+    a = archive(spark, sf_dir)
+    tags = tagged(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("tag")), " ").alias("tags"))
+    value = F.coalesce("value_text", F.round(F.col("value_num") * 100).cast("long").cast("string"), F.lit(""))
+    custom = fields(spark, sf_dir).select("doc_id", F.concat_ws(" ", "key", value).alias("f")).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("f")), " ").alias("custom"))
+    names = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.substring_index("url", "/", -1).alias("filename"))
+    notes = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("notes"))
+    both = a.join(tags, "doc_id", "left").join(custom, "doc_id", "left").join(names, "doc_id", "left").join(notes, "doc_id", "left")
+    digits = F.filter(X.tokens(F.concat_ws(" ", "custom", "title", "filename")), lambda t: t.rlike("[0-9]"))
+    days = F.concat_ws(" ", *[F.substring(c, 1, n) for c in ("document_date", "received_at") for n in (4, 7, 10)])
+    own = {
+        "ident": F.array_join(F.array_sort(F.array_distinct(digits)), " "), "title": F.col("title"), "correspondent": F.col("correspondent"), "doctype": F.col("document_type"), "tags": F.col("tags"), "custom": F.col("custom"),
+        "filename": F.col("filename"), "dates": days, "summary": F.regexp_extract("body", r"^[^.!?\n]*", 0), "body": F.col("body"), "notes": F.col("notes"),
+    }
+    each = F.array(*[F.struct(F.lit(c).alias("col"), t.alias("text")) for c, t in own.items()])
+    return both.select("doc_id", F.inline(each)).where("text <> ''")
+
+
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of :func:`columns`, written once for a session and a folder of tables and then shared by all searches."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes or not exists(spark, _indexes[key].segments):
+        _indexes[key] = create(columns(spark, sf_dir))
+    return _indexes[key]
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = postings(spark, sf_dir).where("col = 'body'").groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return each.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("cnt"))
@@ -111,7 +147,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.floor(F.col("vec_id") / 5).alias("owner"), (F.col("vec_id") % 3).alias("kind"), "embedding", "label")
 
 
-VIEWS = {"archive": archive, "tagged": tagged, "fields": fields, "jobs": jobs, "postings": postings, "vocab": vocab, "chunks": chunks}
+VIEWS = {"archive": archive, "tagged": tagged, "fields": fields, "jobs": jobs, "columns": columns, "postings": postings, "vocab": vocab, "chunks": chunks}
 
 _FOLD = "lower({})"
 for _letter, _spelt in X.SPELT:
@@ -133,10 +169,18 @@ VIEW_SQL = {
     "postings": f"""SELECT doc_id, col, unnest(range(len(ts)))::INT AS pos, unnest(ts) AS term FROM (
         SELECT doc_id, 'body' AS col, regexp_extract_all({FOLD.format("body")}, '[\\p{{L}}\\p{{N}}]+') AS ts FROM archive
         UNION ALL SELECT doc_id, 'title', regexp_extract_all({FOLD.format("title")}, '[\\p{{L}}\\p{{N}}]+') FROM archive)""",
+    "columns": f"""SELECT doc_id, col, text FROM (UNPIVOT (SELECT a.doc_id, list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all({FOLD.format("concat_ws(' ', custom, title, filename)")}, '[\\p{{L}}\\p{{N}}]+'), lambda t: regexp_matches(t, '[0-9]')))), 'string_agg', ' ') AS ident,
+        title, correspondent, document_type AS doctype, tags, custom, filename, concat_ws(' ', left(document_date, 4), left(document_date, 7), document_date, left(received_at, 4), left(received_at, 7), received_at) AS dates,
+        regexp_extract(body, '^[^.!?\\n]*') AS summary, body, notes FROM archive a
+        LEFT JOIN (SELECT doc_id, string_agg(tag, ' ' ORDER BY tag) AS tags FROM tagged GROUP BY doc_id) USING (doc_id)
+        LEFT JOIN (SELECT doc_id, string_agg(f, ' ' ORDER BY f) AS custom FROM (SELECT doc_id, key || ' ' || coalesce(value_text, round(value_num * 100)::BIGINT::VARCHAR, '') AS f FROM fields) GROUP BY doc_id) USING (doc_id)
+        LEFT JOIN (SELECT page_id AS doc_id, regexp_extract(url, '[^/]*$') AS filename FROM pages) USING (doc_id)
+        LEFT JOIN (SELECT conv_id AS doc_id, text AS notes FROM conversations WHERE turn = 0) USING (doc_id)) ON ident, title, correspondent, doctype, tags, custom, filename, dates, summary, body, notes INTO NAME col VALUE text) WHERE text <> ''""",
+    "terms": f"""SELECT doc_id, col, unnest(range(len(ts)))::INT AS pos, unnest(ts) AS term FROM (SELECT doc_id, col, regexp_extract_all({FOLD.format("text")}, '[\\p{{L}}\\p{{N}}]+') AS ts FROM columns)""",
     "vocab": "SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS cnt FROM postings WHERE col = 'body' GROUP BY term",
     "chunks": "SELECT vec_id, vec_id // 5 AS owner, vec_id % 3 AS kind, embedding, label FROM embeddings",
 }
-NEEDS = {"postings": ("archive",), "vocab": ("archive", "postings")}
+NEEDS = {"postings": ("archive",), "vocab": ("archive", "postings"), "columns": ("archive", "tagged", "fields"), "terms": ("archive", "tagged", "fields", "columns")}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

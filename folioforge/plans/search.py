@@ -1,43 +1,87 @@
 """Text, vocabulary, search and facet queries over the whole archive.
 
-The searches are the benchmark's passages: each gives the first words of four
-letters and more of its text. All of them run at once, as joins.
+The searches are the sentences of the benchmark's passages, each with all its words of
+four letters and more; all of them run at once, as joins with the stored index.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions import stems
 from folioforge.functions import text as X
+from folioforge.operators import index as I
 from folioforge.operators import search as S
 from folioforge.operators.facets import facet_counts
-from folioforge.plans.catalog import FOLD, archive, postings, query, tagged, vocab
+from folioforge.plans.catalog import FOLD, archive, columns, postings, query, stored_index, tagged, vocab
 from folioforge.session import materialise, table
 
 TOKENS = f"regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+')"
+#: Searches of one passage have consecutive numbers from a multiple of this on.
+PER_ITEM = 1000
 
 
-def searches(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    words = F.slice(F.array_distinct(F.filter(X.tokens(F.col("text")), lambda t: F.length(t) >= 4)), 1, most)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(words).alias("term_ix", "term"))
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``query_id, text``: every sentence of every passage."""
+    parts = F.posexplode(F.split("text", "[.!?\\n]+")).alias("ix", "text")
+    return table(spark, sf_dir, "benchmark").select("item_id", parts).select((F.col("item_id") * PER_ITEM + F.col("ix")).alias("query_id"), "text")
 
 
-def searches_sql(most: int) -> str:
-    return f"""searches AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY p) - 1)::INT AS term_ix, term FROM (
-        SELECT query_id, term, min(p) AS p FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term, unnest(range(len({TOKENS}))) AS p FROM benchmark)
-        WHERE length(term) >= 4 GROUP BY query_id, term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= {most})"""
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_distinct(F.filter(X.tokens(F.col("text")), lambda t: F.length(t) >= 4))
+    return sentences(spark, sf_dir).select("query_id", F.posexplode(words).alias("term_ix", "term"))
 
 
-STATS_SQL = """words AS (SELECT DISTINCT term AS word FROM postings), sized AS (SELECT doc_id, count(*) AS dl FROM postings GROUP BY doc_id),
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of every sentence, in order."""
+    return sentences(spark, sf_dir).select("query_id", F.posexplode(X.tokens(F.col("text"))).alias("term_ix", "term"))
+
+
+def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``term, other``: a table of words for the same thing, made from the tables: the longest word of each passage and that of the next one."""
+    t = F.filter(X.tokens(F.col("text")), lambda w: F.length(w) >= 4)
+    word = F.get(F.reverse(F.array_sort(F.transform(t, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), F.lit(0))["w"]
+    each = table(spark, sf_dir, "benchmark").select("item_id", word.alias("word")).where("word is not null")
+    after = each.select((F.col("item_id") - 1).alias("item_id"), F.col("word").alias("other"))
+    return each.join(after, "item_id").where("word <> other").select(F.col("word").alias("term"), "other").distinct()
+
+
+SENTENCES_SQL = f"""sentences AS (SELECT item_id * {PER_ITEM} + ix AS query_id, text FROM (SELECT item_id, unnest(range(len(p))) AS ix, unnest(p) AS text FROM (SELECT item_id, string_split_regex(text, '[.!?\n]+') AS p FROM benchmark)))"""
+SEARCHES_SQL = f"""{SENTENCES_SQL}, searches AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY p) - 1)::INT AS term_ix, term FROM (
+        SELECT query_id, term, min(p) AS p FROM (SELECT query_id, unnest({TOKENS}) AS term, unnest(range(len({TOKENS}))) AS p FROM sentences)
+        WHERE length(term) >= 4 GROUP BY query_id, term))"""
+PHRASES_SQL = f"{SENTENCES_SQL}, phrases AS (SELECT query_id, unnest({TOKENS}) AS term, unnest(range(len({TOKENS}))) AS ix FROM sentences)"
+SYNONYMS_SQL = f"""longest AS (SELECT item_id, list_sort(list_transform(list_filter({TOKENS}, lambda w: length(w) >= 4), lambda w: {{'n': length(w), 'w': w}}), 'DESC')[1]['w'] AS word FROM benchmark),
+    synonyms AS (SELECT DISTINCT a.word AS term, b.word AS other FROM longest a JOIN longest b ON b.item_id = a.item_id + 1 WHERE a.word <> b.word)"""
+STATS_SQL = """words AS (SELECT DISTINCT term AS word FROM terms), sized AS (SELECT doc_id, count(*) AS dl FROM terms GROUP BY doc_id),
     corpus AS (SELECT count(*) AS n_docs, avg(dl) AS avg_dl FROM sized)"""
-EXPANDED_SQL = """expanded AS (SELECT query_id, term_ix, word, min(level) AS level FROM (
-    SELECT s.query_id, s.term_ix, w.word, 0 AS level FROM searches s JOIN words w ON w.word = s.term OR (length(s.term) >= 3 AND NOT regexp_matches(s.term, '[0-9]') AND starts_with(w.word, s.term))
-    UNION ALL SELECT s.query_id, s.term_ix, w.word, 1 FROM searches s JOIN words w ON length(s.term) >= 6 AND NOT regexp_matches(s.term, '[0-9]') AND ends_with(w.word, s.term) AND length(w.word) >= length(s.term) + 3)
-    WHERE level <= {level} GROUP BY query_id, term_ix, word),
-found AS (SELECT e.query_id, p.doc_id, e.term_ix, min(e.level) AS level, min(CASE WHEN p.col = 'title' THEN e.level END) AS title_level,
-    sum(CASE WHEN e.level <= 0 THEN CASE p.col WHEN 'title' THEN 10.0::DOUBLE ELSE 1 END ELSE 0 END) AS tf0, sum(CASE p.col WHEN 'title' THEN 10.0::DOUBLE ELSE 1 END) AS tf1
-    FROM expanded e JOIN postings p ON p.term = e.word GROUP BY e.query_id, p.doc_id, e.term_ix)"""
+_LETTERS = "regexp_full_match({}, '\\p{{L}}+')"
+FORMS_SQL = f"""wf AS (SELECT query_id, term_ix, term, unnest(list_distinct([term, base, CASE WHEN base <> term THEN regexp_replace(base, '^(.*)([aou])e(.{{0,3}})$', '\\1\\2\\3') ELSE term END])) AS form
+        FROM (SELECT *, regexp_replace(term, '^([a-z]{{5,}}?)(en|es|e|n|s)$', '\\1') AS base FROM searches)),
+    both_sides AS (SELECT word AS w FROM words UNION SELECT term FROM searches), {stems.stem_sql("both_sides", "w")},
+    same AS (SELECT s.query_id, s.term_ix, s.term, w.word FROM searches s JOIN stems a ON a.word = s.term JOIN stems b ON b.stem = a.stem JOIN words w ON w.word = b.word
+        WHERE length(s.term) >= 4 AND length(a.stem) >= 3 AND w.word <> s.term AND {_LETTERS.format("s.term")} AND {_LETTERS.format("w.word")}),
+    usable AS (SELECT DISTINCT query_id, term_ix, form FROM (SELECT query_id, term_ix, term, form FROM wf WHERE {_LETTERS.format("term")} UNION ALL SELECT query_id, term_ix, term, word FROM same) WHERE length(term) >= 5 AND length(form) >= 4),
+    comp AS (SELECT u.query_id, u.term_ix, w.word FROM usable u JOIN words w ON contains(substr(w.word, 2), u.form) WHERE {_LETTERS.format("w.word")} AND (
+        len(list_filter(['', 'en', 'es', 'e', 'n', 's', 'er', 'ern'], lambda e: ends_with(w.word, u.form || e) AND length(w.word) > length(u.form || e))) > 0
+        OR length(u.form) >= 6 AND length(w.word) >= length(u.form) + 7 AND contains(substr(w.word, 4, length(w.word) - 7), u.form)))"""
+_STARTS = "w.word = {0} OR (length({0}) >= 3 AND NOT regexp_matches({0}, '[0-9]') AND starts_with(w.word, {0}))"
+WEIGHT_SQL = "CASE p.col " + " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in S.WEIGHTS.items()) + " END"
+META_SQL = ", ".join(f"'{c}'" for c in S.META)
+
+
+def expanded_sql(level: int) -> str:
+    """What each term stands for up to a level, and the matches."""
+    parts = [f"SELECT s.query_id, s.term_ix, w.word, 0 AS level FROM wf s JOIN words w ON {_STARTS.format('s.form')}"]
+    if level >= S.FORMS:
+        parts += ["SELECT query_id, term_ix, word, 1 FROM same", "SELECT query_id, term_ix, word, 1 FROM comp"]
+    if level >= S.RELATED:
+        parts.append(f"SELECT s.query_id, s.term_ix, w.word, 2 FROM searches s JOIN synonyms y USING (term) JOIN words w ON {_STARTS.format('y.other')}")
+    return f"""{FORMS_SQL}, expanded AS (SELECT query_id, term_ix, word, min(level) AS level FROM ({" UNION ALL ".join(parts)}) GROUP BY query_id, term_ix, word),
+    found AS (SELECT e.query_id, p.doc_id, e.term_ix, min(e.level) AS level, min(CASE WHEN p.col IN ({META_SQL}) THEN e.level END) AS meta_level, min(CASE WHEN p.col = 'title' THEN e.level END) AS title_level,
+        {", ".join(f"sum(CASE WHEN e.level <= {lv} THEN {WEIGHT_SQL} ELSE 0 END) AS tf{lv}" for lv in range(3))}
+        FROM expanded e JOIN (SELECT doc_id, col, term FROM terms) p ON p.term = e.word GROUP BY e.query_id, p.doc_id, e.term_ix)"""
 
 
 def bm25_sql(name: str, tf: str) -> str:
@@ -65,11 +109,11 @@ def vocab_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {searches_sql(6)} SELECT s.query_id, s.term_ix, count(*) AS n FROM searches s JOIN vocab v ON length(s.term) >= 6 AND ends_with(v.term, s.term) AND length(v.term) >= length(s.term) + 3 GROUP BY s.query_id, s.term_ix",
+    f"WITH {SEARCHES_SQL} SELECT s.query_id, s.term_ix, count(*) AS n FROM searches s JOIN vocab v ON length(s.term) >= 6 AND ends_with(v.term, s.term) AND length(v.term) >= length(s.term) + 3 GROUP BY s.query_id, s.term_ix",
     ("vocab",),
 )
 def compound_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = searches(spark, sf_dir, 6).where(F.length("term") >= 6).withColumn("k", F.substring("term", -3, 3))
+    typed = searches(spark, sf_dir).where(F.length("term") >= 6).withColumn("k", F.substring("term", -3, 3))
     words = vocab(spark, sf_dir).select(F.col("term").alias("word")).withColumn("k", F.substring("word", -3, 3))
     hits = typed.join(words, "k").where(F.col("word").endswith(F.col("term")) & (F.length("word") >= F.length("term") + 3))
     return hits.groupBy("query_id", "term_ix").agg(F.count("*").alias("n"))
@@ -78,19 +122,19 @@ def compound_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def similar_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognition errors count as one edit, which SQL cannot say; tested against the plain function."""
-    hits = S.similar_words(searches(spark, sf_dir, 6), vocab(spark, sf_dir).select(F.col("term").alias("word")))
+    hits = S.similar_words(searches(spark, sf_dir), vocab(spark, sf_dir).select(F.col("term").alias("word")))
     return S.top(hits.withColumn("query_id", F.struct("query_id", "term_ix")), 12, F.col("edits"), F.col("word")).select("query_id.query_id", "query_id.term_ix", "term", "word", "edits")
 
 
 @query(
-    f"""WITH {searches_sql(6)}, typed AS (SELECT query_id, term_ix, term || 'x' AS term FROM searches WHERE length(term) >= 5)
+    f"""WITH {SEARCHES_SQL}, typed AS (SELECT query_id, term_ix, term || 'x' AS term FROM searches WHERE length(term) >= 5)
     SELECT query_id, term_ix, term, word FROM (SELECT t.*, v.term AS word, row_number() OVER (PARTITION BY query_id, term_ix ORDER BY levenshtein(t.term, v.term), v.docs DESC, v.term) AS rn
     FROM typed t JOIN vocab v ON left(v.term, 1) = left(t.term, 1) AND abs(length(v.term) - length(t.term)) <= 2 AND levenshtein(t.term, v.term) <= 2) WHERE rn = 1""",
     ("vocab",),
 )
 def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest indexed word for words with a stray letter: first letter and length first, edit distance last."""
-    typed = searches(spark, sf_dir, 6).where(F.length("term") >= 5).withColumn("term", F.concat("term", F.lit("x")))
+    typed = searches(spark, sf_dir).where(F.length("term") >= 5).withColumn("term", F.concat("term", F.lit("x")))
     left = typed.withColumn("k", F.substring("term", 1, 1)).withColumn("n", F.explode(F.sequence(F.length("term") - 2, F.length("term") + 2)))
     right = vocab(spark, sf_dir).select(F.col("term").alias("word"), "docs").withColumn("k", F.substring("word", 1, 1)).withColumn("n", F.length("word"))
     near = left.join(right, ["k", "n"]).withColumn("d", F.levenshtein("term", "word", 2)).where("d >= 0")
@@ -99,7 +143,7 @@ def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {searches_sql(6)}, w AS (SELECT term, docs FROM vocab WHERE length(term) >= 3), cuts AS (SELECT query_id, term_ix, term, unnest(range(3, length(term) - 2)) AS i FROM searches WHERE length(term) >= 7),
+    f"""WITH {SEARCHES_SQL}, w AS (SELECT term, docs FROM vocab WHERE length(term) >= 3), cuts AS (SELECT query_id, term_ix, term, unnest(range(3, length(term) - 2)) AS i FROM searches WHERE length(term) >= 7),
     split AS (SELECT c.query_id, c.term_ix, c.term, h.term AS head, t.term AS tail, round(sqrt(h.docs * t.docs::DOUBLE), 6) AS score, least(length(h.term), length(t.term)) AS short FROM cuts c JOIN w h ON h.term = left(c.term, c.i) JOIN w t ON t.term = substr(c.term, c.i + 1))
     SELECT query_id, term_ix, head, tail, score FROM (SELECT s.*, row_number() OVER (PARTITION BY s.query_id, s.term_ix ORDER BY score DESC, short DESC, head DESC) AS rn, coalesce(v.docs, 0) AS whole FROM split s LEFT JOIN vocab v ON v.term = s.term) WHERE rn = 1 AND score > whole""",
     ("vocab",),
@@ -107,7 +151,7 @@ def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compound's two parts: those whose counts have the largest geometric mean, if it beats the whole word's."""
     words = vocab(spark, sf_dir).select("term", "docs")
-    typed = searches(spark, sf_dir, 6).where(F.length("term") >= 7)
+    typed = searches(spark, sf_dir).where(F.length("term") >= 7)
     cuts = typed.withColumn("i", F.explode(F.sequence(F.lit(3), F.length("term") - 3)))
     cuts = cuts.withColumn("head", F.expr("left(term, i)")).withColumn("tail", F.expr("substring(term, i + 1)"))
     heads, tails = words.select(F.col("term").alias("head"), F.col("docs").alias("nh")), words.select(F.col("term").alias("tail"), F.col("docs").alias("nt"))
@@ -117,153 +161,193 @@ def compound_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "term_ix", "b.head", "b.tail", "b.score")
 
 
+@query(f"WITH voc AS (SELECT term FROM vocab WHERE regexp_full_match(term, '[a-z]+')), {stems.stem_sql('voc', 'term')} SELECT word AS term, stem, count(*) OVER (PARTITION BY stem) AS words FROM stems", ("vocab",))
+def stem_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of every indexed word, and how many words share it."""
+    words = vocab(spark, sf_dir).where(F.col("term").rlike("^[a-z]+$")).select("term")
+    stemmed = materialise(stems.with_stem(words, "term"), "stems")
+    return stemmed.join(stemmed.groupBy("stem").agg(F.count("*").alias("words")), "stem").select("term", "stem", "words")
+
+
 # --- search ----------------------------------------------------------------------------------
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counted postings, vocabulary and lengths, each made once, which all parts of a search read."""
-    p = materialise(S.counted(postings(spark, sf_dir)), "index-counts")
-    return p, materialise(S.vocabulary(p), "index-vocabulary"), materialise(S.lengths(p), "index-lengths")
+def _found(typed: DataFrame, index: I.Index, level: int, others: DataFrame | None = None) -> DataFrame:
+    """Matches, made once; the words found are few and read their own buckets of postings."""
+    words = materialise(S.expand(typed, index.words(), index.grams(), others, level), "search-words")
+    return materialise(S.matches(words, index.postings(words.select(F.col("word").alias("term")))), "search-found")
 
 
-def _places(spark: SparkSession, sf_dir: str, typed: DataFrame) -> DataFrame:
-    """The postings, with their places, of the words that searches name exactly."""
-    return materialise(postings(spark, sf_dir).join(typed.select("term").distinct(), "term", "left_semi"), "index-places")
+@query(
+    f"WITH {SEARCHES_SQL}, {STATS_SQL}, {expanded_sql(S.LITERAL)}, {bm25_sql('scored', 'tf0')} SELECT query_id, doc_id, score, rn AS place FROM (SELECT query_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), doc_id DESC) AS rn FROM scored) WHERE rn <= 10",
+    ("terms",),
+)
+def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each search, any of its words, as typed, over all columns by their weights."""
+    return _bm25(searches(spark, sf_dir), stored_index(spark, sf_dir))
 
 
-def _found(typed: DataFrame, vocabulary: DataFrame, p: DataFrame, level: int, synonyms: DataFrame | None = None) -> DataFrame:
-    """Matches, made once; the words found are few and meet the postings in one join."""
-    words = materialise(S.expand(typed, vocabulary, synonyms, level), "search-words")
-    return materialise(S.matches(words, p), "search-found")
+def _bm25(typed: DataFrame, index: I.Index) -> DataFrame:
+    scored = S.bm25(_found(typed, index, S.LITERAL), index.sizes(), S.LITERAL).withColumn("score", F.round("bm25", 6))
+    return S.top(scored, 10, F.col("score"), F.col("doc_id").desc()).select("query_id", "doc_id", "score", "place")
+
+
+_CHANGED_SQL = """SELECT doc_id, col, CASE WHEN col = 'body' AND doc_id % 50 = 7 THEN reverse(split_part(text, '.', 1)) || ' ' || split_part(text, '.', 2) ELSE text END AS text FROM columns WHERE doc_id % 50 <> 13"""
 
 
 @query(
-    f"WITH {searches_sql(6)}, {STATS_SQL}, {EXPANDED_SQL.format(level=0)}, {bm25_sql('scored', 'tf0')} SELECT query_id, doc_id, score, rn AS place FROM (SELECT query_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), doc_id DESC) AS rn FROM scored) WHERE rn <= 10",
-    ("postings",),
+    f"WITH {SEARCHES_SQL}, changed AS ({_CHANGED_SQL}), later AS (SELECT doc_id, col, unnest({TOKENS}) AS term FROM changed), {STATS_SQL.replace('terms', 'later')}, {expanded_sql(S.LITERAL).replace('FROM terms', 'FROM later')}, {bm25_sql('scored', 'tf0')} "
+    "SELECT query_id, doc_id, score, rn AS place FROM (SELECT query_id, doc_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), doc_id DESC) AS rn FROM scored) WHERE rn <= 10",
+    ("columns",),
 )
-def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for each search, any of its words, as typed."""
-    p, v, sized = _index(spark, sf_dir)
-    found = _found(searches(spark, sf_dir, 6), v, p, S.LITERAL)
-    scored = S.bm25(found, sized, S.LITERAL).withColumn("score", F.round("bm25", 6))
-    return S.top(scored, 10, F.col("score"), F.col("doc_id").desc()).select("query_id", "doc_id", "score", "place")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same searches after one document in fifty got another text and another one was removed: a delta segment instead of a new index."""
+    old = columns(spark, sf_dir)
+    text = F.when((F.col("col") == "body"), F.concat_ws(" ", F.reverse(F.split_part("text", F.lit("."), F.lit(1))), F.split_part("text", F.lit("."), F.lit(2)))).otherwise(F.col("text"))
+    changed = old.where("doc_id % 50 = 7").select("doc_id", "col", text.alias("text"))
+    removed = old.where("doc_id % 50 = 13").select("doc_id").distinct()
+    return _bm25(searches(spark, sf_dir), I.update(stored_index(spark, sf_dir), changed, removed))
+
+
+NEAR_SQL = """size AS (SELECT query_id, count(*) AS size FROM searches GROUP BY query_id),
+    hit AS (SELECT s.query_id, p.doc_id, p.col, s.term_ix, p.pos, z.size FROM searches s JOIN size z USING (query_id) JOIN terms p ON p.term = s.term WHERE z.size > 1),
+    held AS (SELECT * FROM hit JOIN (SELECT query_id, doc_id, col FROM hit GROUP BY query_id, doc_id, col HAVING count(DISTINCT term_ix) = max(size)) USING (query_id, doc_id, col)),
+    near AS (SELECT DISTINCT query_id, doc_id FROM (SELECT a.query_id, a.doc_id, a.col, a.pos FROM held a JOIN held b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.col = b.col AND b.pos BETWEEN a.pos - 11 AND a.pos
+        GROUP BY a.query_id, a.doc_id, a.col, a.pos HAVING count(DISTINCT b.term_ix) = max(a.size)))"""
+TIERS_SQL = f"""WITH {SEARCHES_SQL}, {STATS_SQL}, {SYNONYMS_SQL}, {expanded_sql(S.RELATED)}, {", ".join(bm25_sql(f"b{lv}", f"tf{lv}") for lv in range(3))}, {NEAR_SQL},
+    per AS (SELECT query_id, doc_id, count(*) AS got, max(level) AS level, count(meta_level) AS described, max(meta_level) AS meta_level, count(title_level) AS titled FROM found GROUP BY query_id, doc_id),
+    tier AS (SELECT p.query_id, p.doc_id, titled = size AS in_title, CASE WHEN described = size THEN meta_level ELSE level + 3 END AS tier FROM per p JOIN size s USING (query_id) WHERE got = size),
+    ranked AS (SELECT t.query_id, t.doc_id, t.tier::INT AS tier, a.received_at, round(t.tier * 10000.0::DOUBLE + CASE t.tier % 3 WHEN 0 THEN b0.bm25 WHEN 1 THEN b1.bm25 ELSE b2.bm25 END
+            * (1 + CASE WHEN in_title THEN 1 ELSE 0 END + CASE WHEN n.doc_id IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN left(a.document_date, 4) = (2023 + t.query_id // {PER_ITEM} % 2)::VARCHAR THEN 0.5 ELSE 0 END), 6) AS rank
+        FROM tier t LEFT JOIN b0 USING (query_id, doc_id) LEFT JOIN b1 USING (query_id, doc_id) LEFT JOIN b2 USING (query_id, doc_id) LEFT JOIN near n USING (query_id, doc_id) JOIN archive a ON a.doc_id = t.doc_id)"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str, typed: DataFrame, found: DataFrame, index: I.Index) -> DataFrame:
+    """Documents that have all words of a search, with tier and rank; the year that a search names is 2023 or 2024, by its passage."""
+    near = S.near_hits(typed, index.postings(typed))
+    dates = archive(spark, sf_dir).select("doc_id", "received_at", F.substring("document_date", 1, 4).alias("year"))
+    whole = materialise(S.tier_of(found, typed).select("query_id", "doc_id").join(dates, "doc_id"), "search-dates")
+    named = (2023 + F.floor(F.col("query_id") / PER_ITEM) % 2).cast("string")
+    ranked = S.tiers(found, typed, near, index.sizes(), whole.where(F.col("year") == named)).withColumn("rank", F.round("rank", 6))
+    return ranked.join(whole.select("query_id", "doc_id", "received_at"), ["query_id", "doc_id"])
 
 
 @query(
-    f"""WITH {searches_sql(2)}, {STATS_SQL}, {EXPANDED_SQL.format(level=1)}, {bm25_sql("b0", "tf0")}, {bm25_sql("b1", "tf1")},
-    size AS (SELECT query_id, count(*) AS size FROM searches GROUP BY query_id),
-    near AS (SELECT DISTINCT a.query_id, p.doc_id FROM searches a JOIN searches b ON a.query_id = b.query_id AND a.term_ix < b.term_ix JOIN postings p ON p.term = a.term JOIN postings r ON r.term = b.term AND r.doc_id = p.doc_id AND r.col = p.col AND abs(p.pos - r.pos) <= 11),
-    per AS (SELECT query_id, doc_id, count(*) AS got, max(level) AS level, count(title_level) AS titled, max(title_level) AS title_level FROM found GROUP BY query_id, doc_id),
-    tier AS (SELECT p.query_id, p.doc_id, titled = size AS in_title, CASE WHEN titled = size THEN title_level ELSE level + 3 END AS tier FROM per p JOIN size s USING (query_id) WHERE got = size),
-    ranked AS (SELECT t.query_id, t.doc_id, t.tier::INT AS tier, round(t.tier * 10000.0::DOUBLE + CASE WHEN t.tier % 3 = 0 THEN b0.bm25 ELSE b1.bm25 END * (1 + CASE WHEN in_title THEN 1 ELSE 0 END + CASE WHEN n.doc_id IS NOT NULL THEN 0.5 ELSE 0 END), 6) AS rank
-        FROM tier t LEFT JOIN b0 USING (query_id, doc_id) LEFT JOIN b1 USING (query_id, doc_id) LEFT JOIN near n USING (query_id, doc_id))
-    SELECT query_id, doc_id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id DESC) AS rn FROM ranked) WHERE rn <= 20""",
-    ("postings",),
+    TIERS_SQL + " SELECT query_id, doc_id, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, received_at DESC, doc_id DESC) AS rn FROM ranked) WHERE rn <= 20",
+    ("archive", "terms"),
 )
 def search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches of two words that must both occur: title before text, words as typed before compounds, then BM25 with its boosts."""
-    p, v, sized = _index(spark, sf_dir)
-    typed = materialise(searches(spark, sf_dir, 2), "search-typed")
-    found = _found(typed, v, p, S.FORMS)
-    ranked = S.tiers(found, typed, S.near_hits(typed, _places(spark, sf_dir, typed)), sized).withColumn("rank", F.round("rank", 6))
-    return S.top(ranked, 20, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
+    """Searches whose words must all occur: the description before the text, words as typed before their forms and other words, then BM25 with its boosts; the newest first among equals."""
+    index = stored_index(spark, sf_dir)
+    typed = materialise(searches(spark, sf_dir), "search-typed")
+    ranked = _ranked(spark, sf_dir, typed, _found(typed, index, S.RELATED, synonyms(spark, sf_dir)), index)
+    return S.top(ranked, 20, F.col("rank"), F.col("received_at").desc(), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
 
 
 @query(
-    f"""WITH {searches_sql(2)}, words AS (SELECT DISTINCT term AS word FROM postings),
-    typed AS (SELECT query_id, term_ix, CASE WHEN query_id % 3 = 0 AND term_ix = 0 THEN concat('zzz', term) ELSE term END AS term FROM searches),
-    synonyms AS (SELECT DISTINCT concat('zzz', term) AS term, term AS other FROM searches WHERE query_id % 3 = 0 AND term_ix = 0),
-    begin AS (SELECT s.query_id, s.term_ix, w.word, 0 AS level FROM typed s JOIN words w ON w.word = s.term OR (length(s.term) >= 3 AND NOT regexp_matches(s.term, '[0-9]') AND starts_with(w.word, s.term))
-        UNION ALL SELECT s.query_id, s.term_ix, w.word, 1 FROM typed s JOIN words w ON length(s.term) >= 6 AND NOT regexp_matches(s.term, '[0-9]') AND ends_with(w.word, s.term) AND length(w.word) >= length(s.term) + 3
-        UNION ALL SELECT s.query_id, s.term_ix, w.word, 2 FROM typed s JOIN synonyms y USING (term) JOIN words w ON w.word = y.other OR (length(y.other) >= 3 AND NOT regexp_matches(y.other, '[0-9]') AND starts_with(w.word, y.other))),
-    expanded AS (SELECT query_id, term_ix, word, min(level) AS level FROM begin GROUP BY ALL),
-    found AS (SELECT e.query_id, p.doc_id, e.term_ix, min(e.level) AS level, min(CASE WHEN p.col = 'title' THEN e.level END) AS title_level FROM expanded e JOIN postings p ON p.term = e.word GROUP BY ALL),
-    size AS (SELECT query_id, count(*) AS size FROM typed GROUP BY query_id),
-    per AS (SELECT query_id, doc_id, count(*) AS got, max(level) AS level, count(title_level) AS titled, max(title_level) AS title_level FROM found GROUP BY query_id, doc_id)
-    SELECT query_id, CASE WHEN titled = size THEN title_level ELSE level + 3 END::INT AS tier, count(*) AS n FROM per JOIN size USING (query_id) WHERE got = size GROUP BY ALL""",
-    ("postings",),
+    f"""WITH {SEARCHES_SQL}, {STATS_SQL}, {SYNONYMS_SQL}, {expanded_sql(S.RELATED)}, size AS (SELECT query_id, count(*) AS size FROM searches GROUP BY query_id),
+    per AS (SELECT query_id, doc_id, count(*) AS got, max(level) AS level, count(meta_level) AS described, max(meta_level) AS meta_level FROM found GROUP BY query_id, doc_id)
+    SELECT query_id, CASE WHEN described = size THEN meta_level ELSE level + 3 END::INT AS tier, count(*) AS n FROM per JOIN size USING (query_id) WHERE got = size GROUP BY ALL""",
+    ("terms",),
 )
 def search_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents each tier of a search has, with related words: every third search gives its first word by another name that a table of synonyms resolves."""
-    p, v, sized = _index(spark, sf_dir)
-    renamed = (F.col("query_id") % 3 == 0) & (F.col("term_ix") == 0)
-    plain = materialise(searches(spark, sf_dir, 2), "search-typed")
-    synonyms = plain.where(renamed).select(F.concat(F.lit("zzz"), "term").alias("term"), F.col("term").alias("other")).distinct()
-    typed = plain.withColumn("term", F.when(renamed, F.concat(F.lit("zzz"), "term")).otherwise(F.col("term")))
-    found = _found(typed, v, p, S.RELATED, synonyms)
+    """How many documents each tier of a search has, with the words that a table of synonyms gives."""
+    typed = materialise(searches(spark, sf_dir), "search-typed")
+    found = _found(typed, stored_index(spark, sf_dir), S.RELATED, synonyms(spark, sf_dir))
     return S.tier_of(found, typed).groupBy("query_id", "tier").agg(F.count("*").alias("n"))
 
 
 @query()
 def search_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches with a stray letter in a word, all levels at once; recognition errors have no SQL, the words are tested against the plain function."""
-    p, v, sized = _index(spark, sf_dir)
-    typed = searches(spark, sf_dir, 2).withColumn("term", F.when(F.col("term_ix") == 1, F.concat("term", F.lit("x"))).otherwise(F.col("term")))
+    """Searches with a stray letter in their second word, all levels at once; recognition errors have no SQL, so a test compares tiers with plain code."""
+    typed = searches(spark, sf_dir).withColumn("term", F.when(F.col("term_ix") == 1, F.concat("term", F.lit("x"))).otherwise(F.col("term")))
     typed = materialise(typed, "search-typed")
-    found = _found(typed, v, p, S.SIMILAR)
-    ranked = S.tiers(found, typed, S.near_hits(typed, _places(spark, sf_dir, typed)), sized).withColumn("rank", F.round("rank", 6))
+    index = stored_index(spark, sf_dir)
+    found = _found(typed, index, S.SIMILAR)
+    ranked = S.tiers(found, typed, S.near_hits(typed, index.postings(typed)), index.sizes()).withColumn("rank", F.round("rank", 6))
     return S.top(ranked, 20, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
 
 
-PARTIAL_SQL = f"""WITH {searches_sql(6)}, {STATS_SQL}, {EXPANDED_SQL.format(level=1)}, {bm25_sql("scored", "tf1")},
-    counts AS (SELECT query_id, term_ix, ln(1 + n_docs / greatest(1, count(*))) AS idf FROM found CROSS JOIN corpus GROUP BY query_id, term_ix, n_docs),
-    whole AS (SELECT query_id, sum(idf) AS whole FROM counts GROUP BY query_id),
-    per AS (SELECT query_id, doc_id, round_even(round(sum(idf) / max(whole), 9), 1) AS coverage FROM found JOIN counts USING (query_id, term_ix) JOIN whole USING (query_id) GROUP BY query_id, doc_id),
-    ranked AS (SELECT p.query_id, p.doc_id, p.coverage, round((1 - p.coverage) * 1000000 + s.bm25, 6) AS rank FROM per p JOIN scored s USING (query_id, doc_id))"""
+COVERAGE_SQL = f"""{bm25_sql("strongly", "tf1")},
+    counts AS (SELECT query_id, term_ix, ln(1 + n_docs / greatest(1, count(*) FILTER (level <= 1))) AS idf_strong, ln(1 + n_docs / count(*)) AS idf_weak FROM found CROSS JOIN corpus GROUP BY query_id, term_ix, n_docs),
+    whole AS (SELECT query_id, sum(idf_strong) AS whole FROM counts GROUP BY query_id),
+    parts AS (SELECT query_id, doc_id, round_even(round(sum(CASE WHEN level <= 1 THEN idf_strong ELSE 0.5 * idf_weak END) / max(whole), 9), 1) AS coverage FROM found JOIN counts USING (query_id, term_ix) JOIN whole USING (query_id) GROUP BY query_id, doc_id),
+    covered AS (SELECT p.query_id, p.doc_id, p.coverage, round((1 - p.coverage) * 1000000 + coalesce(s.bm25, 0), 6) AS rank FROM parts p LEFT JOIN strongly s USING (query_id, doc_id))"""
+PARTIAL_SQL = f"WITH {SEARCHES_SQL}, {STATS_SQL}, {SYNONYMS_SQL}, {expanded_sql(S.RELATED)}, {COVERAGE_SQL}"
 
 
 @query(
-    PARTIAL_SQL + " SELECT query_id, doc_id, coverage, rank, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id DESC) AS rn FROM ranked) WHERE rn <= 10",
-    ("postings",),
+    PARTIAL_SQL + " SELECT query_id, doc_id, coverage, rank, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id DESC) AS rn FROM covered) WHERE rn <= 10",
+    ("terms",),
 )
 def search_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches of six words, ranked by how much of them a document covers."""
-    p, v, sized = _index(spark, sf_dir)
-    found = _found(searches(spark, sf_dir, 6), v, p, S.FORMS)
-    ranked = S.coverage(found, sized).withColumn("rank", F.round("rank", 6))
+    """Searches ranked by how much of them a document covers; other words for a word count half."""
+    index = stored_index(spark, sf_dir)
+    found = _found(searches(spark, sf_dir), index, S.RELATED, synonyms(spark, sf_dir))
+    ranked = S.coverage(found, index.sizes()).withColumn("rank", F.round("rank", 6))
     return S.top(ranked, 10, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "coverage", "rank", "place")
 
 
 @query(
-    f"""WITH lead AS (SELECT item_id AS query_id, unnest(({TOKENS})[1:4]) AS term, unnest(range(least(4, len({TOKENS})))) AS ix FROM benchmark), size AS (SELECT query_id, count(*) AS size FROM lead GROUP BY query_id)
-    SELECT query_id, doc_id, col, count(*) AS hits FROM (SELECT l.query_id, p.doc_id, p.col, p.pos - l.ix AS start, count(*) AS votes FROM lead l JOIN postings p ON p.term = l.term GROUP BY ALL) JOIN size USING (query_id) WHERE votes = size GROUP BY query_id, doc_id, col""",
-    ("postings",),
+    f"""{TIERS_SQL}, {COVERAGE_SQL}, every AS (SELECT query_id, doc_id, false AS partial, rank FROM ranked UNION ALL SELECT query_id, doc_id, true, rank FROM covered WHERE query_id NOT IN (SELECT query_id FROM ranked))
+    SELECT query_id, doc_id, partial, rank, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id DESC) AS rn FROM every) WHERE rn <= 10""",
+    ("archive", "terms"),
 )
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: all words where any document has them all, else partial matches; decided for each search by itself."""
+    index = stored_index(spark, sf_dir)
+    typed = materialise(searches(spark, sf_dir), "search-typed")
+    found = _found(typed, index, S.RELATED, synonyms(spark, sf_dir))
+    whole = materialise(_ranked(spark, sf_dir, typed, found, index).select("query_id", "doc_id", F.lit(False).alias("partial"), "rank"), "search-whole")
+    rest = found.join(whole.select("query_id").distinct(), "query_id", "left_anti")
+    part = S.coverage(rest, index.sizes()).select("query_id", "doc_id", F.lit(True).alias("partial"), F.round("rank", 6).alias("rank"))
+    return S.top(whole.unionByName(part), 10, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "partial", "rank", "place")
+
+
+VOTES_SQL = f"""{PHRASES_SQL}, phrase_size AS (SELECT query_id, count(*) AS size FROM phrases GROUP BY query_id),
+    votes AS (SELECT l.query_id, p.doc_id, p.col, p.pos - l.ix AS start, count(*) AS votes FROM phrases l JOIN terms p ON p.term = l.term GROUP BY ALL),
+    stood AS (SELECT query_id, doc_id, col, start FROM votes JOIN phrase_size USING (query_id) WHERE votes = size)"""
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = stored_index(spark, sf_dir)
+    typed = materialise(phrases(spark, sf_dir), "search-phrases")
+    return S.phrase_hits(typed, index.postings(typed), index.words())
+
+
+@query(f"WITH {VOTES_SQL} SELECT query_id, doc_id, col, count(*) AS hits FROM stood GROUP BY query_id, doc_id, col", ("terms",))
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the first four words of each passage stand side by side."""
-    lead = F.slice(X.tokens(F.col("text")), 1, 4)
-    typed = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(lead).alias("term_ix", "term"))
-    return S.phrase_hits(typed, postings(spark, sf_dir))
+    """Where all words of each sentence stand side by side."""
+    return _phrases(spark, sf_dir)
 
 
-@query(
-    f"""WITH {searches_sql(2)} SELECT DISTINCT a.query_id, p.doc_id FROM searches a JOIN searches b ON a.query_id = b.query_id AND a.term_ix < b.term_ix
-    JOIN postings p ON p.term = a.term JOIN postings r ON r.term = b.term AND r.doc_id = p.doc_id AND r.col = p.col AND abs(p.pos - r.pos) <= 11""",
-    ("postings",),
-)
+@query(f"WITH {SEARCHES_SQL}, {NEAR_SQL} SELECT query_id, doc_id FROM near", ("terms",))
 def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.near_hits(searches(spark, sf_dir, 2), postings(spark, sf_dir))
+    typed = materialise(searches(spark, sf_dir), "search-typed")
+    return S.near_hits(typed, stored_index(spark, sf_dir).postings(typed))
 
 
 @query(
     PARTIAL_SQL
-    + f""", placed AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id DESC) AS place FROM ranked QUALIFY place <= 10),
-    lead AS (SELECT item_id AS query_id, unnest(({TOKENS})[1:4]) AS term, unnest(range(least(4, len({TOKENS})))) AS ix FROM benchmark), size4 AS (SELECT query_id, count(*) AS size FROM lead GROUP BY query_id),
-    judged AS (SELECT DISTINCT query_id, doc_id, 2 AS grade FROM (SELECT l.query_id, p.doc_id, p.col, p.pos - l.ix AS start, count(*) AS votes FROM lead l JOIN postings p ON p.term = l.term GROUP BY ALL) JOIN size4 USING (query_id) WHERE votes = size),
+    + f""", placed AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id DESC) AS place FROM covered QUALIFY place <= 10), {VOTES_SQL.replace(SENTENCES_SQL + ", ", "")},
+    judged AS (SELECT DISTINCT s.query_id, t.doc_id FROM (SELECT DISTINCT query_id FROM searches) s JOIN stood t ON t.query_id // {PER_ITEM} = s.query_id // {PER_ITEM} AND t.query_id <> s.query_id),
     ideal AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN i <= 10 THEN 3 / log2(i + 1) END) AS ideal FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS i FROM judged) GROUP BY query_id),
     own AS (SELECT query_id, min(place) AS first, count(*) AS n, sum(3 / log2(place + 1)) AS dcg FROM placed JOIN judged USING (query_id, doc_id) GROUP BY query_id)
-    SELECT count(*) AS searches, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS success1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS success5, round(avg(coalesce(n, 0) / least(relevant, 10)), 6) AS recall, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg
+    SELECT count(*) AS searches, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(median(coalesce(1.0 / first, 0)), 6) AS median_rr, round(max(coalesce(first, 11)), 6)::BIGINT AS worst, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS success1, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 6) AS success5, round(avg(coalesce(n, 0) / least(relevant, 10)), 6) AS recall, round(avg(coalesce(dcg, 0) / ideal), 6) AS ndcg
     FROM ideal LEFT JOIN own USING (query_id)""",
-    ("postings",),
+    ("terms",),
 )
 def search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well the partial search finds the documents that hold a passage's first words as a phrase."""
-    lead = F.slice(X.tokens(F.col("text")), 1, 4)
-    typed = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(lead).alias("term_ix", "term"))
-    judged = S.phrase_hits(typed, postings(spark, sf_dir)).select("query_id", "doc_id").distinct().withColumn("grade", F.lit(2))
+    """How well a search for one sentence of a passage finds the documents that hold another sentence of it, word for word."""
+    held = materialise(_phrases(spark, sf_dir).select("query_id", "doc_id").distinct(), "eval-held")
+    item = F.floor(F.col("query_id") / PER_ITEM).alias("item")
+    typed = searches(spark, sf_dir).select("query_id", item).distinct()
+    pairs = typed.join(held.select(F.col("query_id").alias("other"), item, "doc_id"), "item").where("other <> query_id")
+    judged = pairs.select("query_id", "doc_id").distinct().withColumn("grade", F.lit(2))
     each = S.quality(search_partial(spark, sf_dir), judged)
     means = [F.round(F.avg(c), 6).alias(name) for c, name in (("rr", "mrr"), ("success1", "success1"), ("success5", "success5"), ("recall", "recall"), ("ndcg", "ndcg"))]
-    return each.agg(F.count("*").alias("searches"), *means)
+    worst = F.max(F.when(F.col("rr") > 0, F.round(1 / F.col("rr")).cast("long")).otherwise(11)).alias("worst")
+    return each.agg(F.count("*").alias("searches"), F.round(F.median("rr"), 6).alias("median_rr"), worst, *means)
 
 
 @query(
@@ -295,32 +379,68 @@ def find_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {searches_sql(6)}, hit AS (SELECT s.query_id, p.doc_id, p.col, s.term_ix FROM searches s JOIN postings p ON p.term = s.term)
+    f"""WITH {SEARCHES_SQL}, hit AS (SELECT s.query_id, p.doc_id, p.col, s.term_ix FROM searches s JOIN terms p ON p.term = s.term)
     SELECT query_id, doc_id, string_agg(DISTINCT col, ',' ORDER BY col) AS columns, count(DISTINCT term_ix) AS words FROM hit GROUP BY query_id, doc_id""",
-    ("postings",),
+    ("terms",),
 )
 def match_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a document is in a result: the columns that hold words of the search, and how many words."""
-    hits = searches(spark, sf_dir, 6).join(postings(spark, sf_dir), "term")
-    per = hits.groupBy("query_id", "doc_id").agg(F.array_join(F.sort_array(F.collect_set("col")), ",").alias("columns"), F.count_distinct("term_ix").alias("words"))
-    return per
+    typed = materialise(searches(spark, sf_dir), "search-typed")
+    hits = typed.join(stored_index(spark, sf_dir).postings(typed), "term")
+    return hits.groupBy("query_id", "doc_id").agg(F.array_join(F.sort_array(F.collect_set("col")), ",").alias("columns"), F.count_distinct("term_ix").alias("words"))
+
+
+#: Words of a snippet, from its first hit on, and words before that.
+SHOWN, BEFORE = 24, 4
 
 
 @query(
-    f"""WITH {searches_sql(6)}, {STATS_SQL}, {EXPANDED_SQL.format(level=0)}, {bm25_sql('scored', 'tf0')}, best AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), doc_id DESC) AS place FROM scored QUALIFY place <= 10),
-    lead AS (SELECT query_id, term FROM searches WHERE term_ix = 0)
-    SELECT b.query_id, b.place, b.doc_id, a.title, CASE WHEN instr(lower(a.body), l.term) > 0 THEN substr(a.body, greatest(1, instr(lower(a.body), l.term) - 55)::INT, 220) ELSE substr(a.body, 1, 220) END AS snippet
-    FROM best b JOIN archive a USING (doc_id) JOIN lead l USING (query_id)""",
-    ("archive", "postings"),
+    f"""WITH {SEARCHES_SQL}, {STATS_SQL}, {expanded_sql(S.LITERAL)}, {bm25_sql('scored', 'tf0')}, best AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), doc_id DESC) AS place FROM scored QUALIFY place <= 10),
+    spots AS (SELECT DISTINCT b.query_id, b.doc_id, t.pos FROM best b JOIN expanded e USING (query_id) JOIN terms t ON t.doc_id = b.doc_id AND t.term = e.word AND t.col = 'body'),
+    win AS (SELECT x.query_id, x.doc_id, x.pos, count(*) AS n FROM spots x JOIN spots y ON x.query_id = y.query_id AND x.doc_id = y.doc_id AND y.pos BETWEEN x.pos AND x.pos + {SHOWN - 1} GROUP BY ALL),
+    spot AS (SELECT query_id, doc_id, greatest(0, arg_min(pos, -n * 100000000 + pos) - {BEFORE}) AS first FROM win GROUP BY query_id, doc_id),
+    marks AS (SELECT query_id, doc_id, list(pos) AS marks FROM spots GROUP BY query_id, doc_id),
+    shown AS (SELECT b.query_id, b.place, b.doc_id, a.title, coalesce(s.first, 0) AS first, coalesce(m.marks, []) AS marks, regexp_extract_all(a.body, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS pieces, regexp_matches(a.body, '^[\\p{{L}}\\p{{N}}]')::INT AS lead
+        FROM best b JOIN archive a USING (doc_id) LEFT JOIN spot s USING (query_id, doc_id) LEFT JOIN marks m USING (query_id, doc_id)),
+    bounds AS (SELECT *, 2 * first + 2 - lead AS lo, least(len(pieces), 2 * (first + {SHOWN + BEFORE - 1}) + 2 - lead) AS hi FROM shown)
+    SELECT query_id, place, doc_id, title, CASE WHEN first > 0 THEN '…' ELSE '' END || coalesce(array_to_string(list_transform(range(lo, hi + 1), lambda i: CASE WHEN (i + lead) % 2 = 0 AND list_contains(marks, (i + lead) // 2 - 1) THEN '<mark>' || pieces[i] || '</mark>'
+        ELSE replace(replace(replace(pieces[i], '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END), ''), '') || CASE WHEN hi < len(pieces) THEN '…' ELSE '' END AS snippet FROM bounds""",
+    ("archive", "terms"),
 )
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result pages: ranks are worked out on narrow rows, titles and texts join only what is shown."""
-    best = search_bm25(spark, sf_dir).select("query_id", "doc_id", "place")
-    lead = searches(spark, sf_dir, 1).select("query_id", "term")
-    shown = best.join(archive(spark, sf_dir).select("doc_id", "title", "body"), "doc_id").join(lead, "query_id")
-    at = F.expr("instr(lower(body), term)")
-    text = F.when(at > 0, F.expr("substring(body, greatest(1, instr(lower(body), term) - 55), 220)")).otherwise(F.substring("body", 1, 220))
-    return shown.select("query_id", "place", "doc_id", "title", text.alias("snippet"))
+    """Result pages: the stretch of each text with the most words of the search, these marked, everything else escaped.
+
+    Ranks are worked out on narrow rows, and places of words come from the index; titles
+    and texts join only what is shown. A text is cut into words and what stands between
+    them, so that a word's number leads to it as it is written, whatever its folded form.
+    """
+    index = stored_index(spark, sf_dir)
+    typed = searches(spark, sf_dir)
+    words = materialise(S.expand(typed, index.words(), index.grams(), None, S.LITERAL), "search-words")
+    near = index.postings(words.select(F.col("word").alias("term")))
+    found = materialise(S.matches(words, near), "search-found")
+    scored = S.bm25(found, index.sizes(), S.LITERAL).withColumn("score", F.round("bm25", 6))
+    best = materialise(S.top(scored, 10, F.col("score"), F.col("doc_id").desc()).select("query_id", "doc_id", "place"), "search-best")
+    body = near.where("col = 'body'").select("doc_id", F.col("term").alias("word"), "places")
+    at = best.join(words.select("query_id", "word").distinct(), "query_id").join(body, ["doc_id", "word"]).select("query_id", "doc_id", F.explode("places").alias("pos")).distinct()
+    ahead = Window.partitionBy("query_id", "doc_id").orderBy("pos").rangeBetween(0, SHOWN - 1)
+    spot = at.withColumn("n", F.count("*").over(ahead)).groupBy("query_id", "doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("hit"), F.collect_list("pos").alias("marks"))
+    shown = best.join(spot, ["query_id", "doc_id"], "left").join(archive(spark, sf_dir).select("doc_id", "title", "body"), "doc_id")
+    first = F.greatest(F.lit(0), F.coalesce("hit", F.lit(0)) - BEFORE)
+    pieces = F.regexp_extract_all("body", F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"))
+    lead = F.col("body").rlike(r"^[\p{L}\p{N}]").cast("int")
+    cut = shown.select("query_id", "place", "doc_id", "title", first.alias("first"), "marks", pieces.alias("pieces"), lead.alias("lead"))
+    cut = cut.withColumn("lo", 2 * F.col("first") + 2 - F.col("lead")).withColumn("hi", F.least(F.size("pieces"), 2 * (F.col("first") + SHOWN + BEFORE - 1) + 2 - F.col("lead")))
+    plain = lambda p: F.replace(F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def piece(p: Column, k: Column) -> Column:
+        i = F.col("lo") + k + F.col("lead")
+        marked = (i % 2 == 0) & F.array_contains("marks", F.floor(i / 2).cast("int") - 1)
+        return F.when(F.coalesce(marked, F.lit(False)), F.concat(F.lit("<mark>"), p, F.lit("</mark>"))).otherwise(plain(p))
+
+    some = F.slice("pieces", F.col("lo"), F.greatest(F.lit(0), F.col("hi") - F.col("lo") + 1))
+    snippet = F.concat(F.when(F.col("first") > 0, "…").otherwise(""), F.array_join(F.transform(some, piece), ""), F.when(F.col("hi") < F.size("pieces"), "…").otherwise(""))
+    return cut.select("query_id", "place", "doc_id", "title", snippet.alias("snippet"))
 
 
 @query(
