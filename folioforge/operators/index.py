@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +26,13 @@ from folioforge.session import shared_dir
 #: Folders of postings by term, and the files of a folder, for words that are in most documents.
 BUCKETS, FILES = 64, 4
 GRAM = 4
+SCHEMAS = {
+    "postings": "doc_id {kind}, col string, term string, n long, places array<int>, bucket int",
+    "sizes": "doc_id {kind}, dl long",
+    "dead": "doc_id {kind}",
+    "words": "term string, docs long, stem string",
+    "grams": "word string, at int, gram string",
+}
 
 
 def bucket(term: Column, buckets: int) -> Column:
@@ -46,10 +53,15 @@ class Index:
     root: str
     segments: tuple[str, ...]
     buckets: int
+    #: The type of document ids.
+    kind: str
     spark: SparkSession
 
+    def stored(self, segment: str, what: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[what].format(kind=self.kind)).parquet(f"{segment}/{what}")
+
     def _read(self, what: str) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{s}/{what}").withColumn("age", F.lit(i)) for i, s in enumerate(self.segments)]
+        parts = [self.stored(s, what).withColumn("age", F.lit(i)) for i, s in enumerate(self.segments)]
         return reduce(DataFrame.unionByName, parts)
 
     def _live(self, df: DataFrame) -> DataFrame:
@@ -86,7 +98,7 @@ class Index:
     def grams(self) -> DataFrame:
         """``gram, at, word``: what stands inside the words, from their second letter on."""
         if len(self.segments) == 1:
-            return self.spark.read.parquet(f"{self.segments[0]}/grams")
+            return self.stored(self.segments[0], "grams")
         return self._read("grams").select("gram", "at", "word").distinct().join(self.words().select(F.col("term").alias("word")), "word", "left_semi")
 
 
@@ -102,7 +114,7 @@ def _write(index: Index, columns: DataFrame, dead: DataFrame, lost: DataFrame |
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(FILES))
     rows = postings_of(columns).withColumn("bucket", bucket(F.col("term"), index.buckets))
     rows.repartition(F.col("bucket"), spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
-    stored = index.spark.read.schema(rows.schema).parquet(f"{at}/postings")
+    stored = index.stored(at, "postings")
     stored.groupBy("doc_id").agg(F.sum("n").alias("dl")).write.parquet(f"{at}/sizes")
     dead.select("doc_id").write.parquet(f"{at}/dead")
     words = stored.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("docs"))
@@ -110,37 +122,36 @@ def _write(index: Index, columns: DataFrame, dead: DataFrame, lost: DataFrame |
         words = words.unionByName(lost.select("term", (-F.col("docs")).alias("docs"))).groupBy("term").agg(F.sum("docs").alias("docs"))
     letters = F.when(F.col("term").rlike(r"^\p{L}+$"), F.col("term"))
     stems.with_stem(words.withColumn("letters", letters), "letters").drop("letters").write.parquet(f"{at}/words")
-    grams_of(index.spark.read.parquet(f"{at}/words").where("docs > 0")).write.parquet(f"{at}/grams")
+    grams_of(index.stored(at, "words").where("docs > 0")).write.parquet(f"{at}/grams")
     return at
 
 
 def create(columns: DataFrame, buckets: int = BUCKETS) -> Index:
     """An index of ``columns(doc_id, col, text)``, in the shared folder. Null and empty texts have no words."""
     spark = columns.sparkSession
-    index = Index(f"{shared_dir(spark)}/folioforge/index-{uuid.uuid4().hex}", (), buckets, spark)
+    index = Index(f"{shared_dir(spark)}/folioforge/index-{uuid.uuid4().hex}", (), buckets, columns.schema["doc_id"].dataType.simpleString(), spark)
     none = columns.select("doc_id").limit(0)
-    return Index(index.root, (_write(index, columns, none, None),), buckets, spark)
+    return replace(index, segments=(_write(index, columns, none, None),))
 
 
 def update(index: Index, changed: DataFrame, removed: DataFrame) -> Index:
     """The index after ``changed(doc_id, col, text)``, all columns of documents that are new or different, and ``removed(doc_id)``."""
     dead = changed.select("doc_id").unionByName(removed.select("doc_id")).distinct()
     lost = index.postings().select("term", "doc_id").join(dead, "doc_id", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("docs"))
-    return Index(index.root, (*index.segments, _write(index, changed, dead, lost)), index.buckets, index.spark)
+    return replace(index, segments=(*index.segments, _write(index, changed, dead, lost)))
 
 
 def merge(index: Index) -> Index:
     """The same index in one segment, without what is dead."""
     at = f"{index.root}/segment-{uuid.uuid4().hex}"
-    spark = index.spark
     rows = index.postings().withColumn("bucket", bucket(F.col("term"), index.buckets))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(FILES))
     rows.repartition(F.col("bucket"), spread).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/postings")
     index.sizes().select("doc_id", "dl").write.parquet(f"{at}/sizes")
     index.words().write.parquet(f"{at}/words")
-    grams_of(spark.read.parquet(f"{at}/words")).write.parquet(f"{at}/grams")
+    grams_of(index.stored(at, "words")).write.parquet(f"{at}/grams")
     index._read("dead").select("doc_id").limit(0).write.parquet(f"{at}/dead")
-    return Index(index.root, (at,), index.buckets, spark)
+    return replace(index, segments=(at,))
 
 
 def exists(spark: SparkSession, paths: Iterable[str]) -> bool:

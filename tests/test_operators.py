@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
+from folioforge.functions import stems
+from folioforge.operators import index as I
 from folioforge.operators import search as S
 from folioforge.operators.components import connected_components
 from folioforge.operators.facets import facet_counts
 from folioforge.plans import search as plans
-from folioforge.plans.catalog import vocab
+from folioforge.plans.catalog import stored_index, vocab
 from folioforge.functions import text as X
 
 
@@ -39,26 +42,61 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def indexed(spark, rows):
+    return I.create(spark.createDataFrame(rows, "doc_id long, col string, text string"), buckets=4)
+
+
+def typed_of(spark, *words):
+    return spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "query_id long, term_ix int, term string")
+
+
 def test_phrase_and_near(spark):
-    words = [(1, "body", i, w) for i, w in enumerate("the red fox and the red hen".split())] + [(2, "body", i, w) for i, w in enumerate(("red " + "x " * 12 + "fox").split())]
-    postings = spark.createDataFrame(words, "doc_id long, col string, pos int, term string")
-    typed = spark.createDataFrame([(1, 0, "red"), (1, 1, "fox")], "query_id long, term_ix int, term string")
-    assert [tuple(r) for r in S.phrase_hits(typed, postings).collect()] == [(1, 1, "body", 1)]
-    assert [tuple(r) for r in S.near_hits(typed, postings).collect()] == [(1, 1)]
+    index = indexed(spark, [(1, "body", "The red fox and the red hen"), (2, "body", "red " + "x " * 12 + "fox"), (3, "title", "fox red fox red fox")])
+    typed = typed_of(spark, "red", "fox")
+    assert sorted(tuple(r) for r in S.phrase_hits(typed, index.postings(typed), index.words()).collect()) == [(1, 1, "body", 1), (1, 3, "title", 2)]
+    assert sorted(tuple(r) for r in S.near_hits(typed, index.postings(typed)).collect()) == [(1, 1), (1, 3)]
+    unknown = typed_of(spark, "red", "never")
+    assert S.phrase_hits(unknown, index.postings(unknown), index.words()).count() == 0
+    alone = typed_of(spark, "fox")
+    assert sorted(tuple(r) for r in S.phrase_hits(alone, index.postings(alone), index.words()).collect()) == [(1, 1, "body", 1), (1, 2, "body", 1), (1, 3, "title", 3)]
+
+
+def ranked_ids(spark, index, *words, level=S.FORMS, others=None):
+    typed = typed_of(spark, *words)
+    found = S.matches(S.expand(typed, index.words(), index.grams(), others, level), index.postings())
+    ranked = S.tiers(found, typed, S.near_hits(typed, index.postings(typed)), index.sizes())
+    return [(r["doc_id"], r["tier"]) for r in ranked.orderBy("rank", "doc_id").collect()]
 
 
-def test_title_beats_text_and_word_beats_compound(spark):
-    rows = [(1, "body", 0, "vertrag"), (1, "body", 1, "x"), (2, "title", 0, "vertrag"), (2, "body", 0, "y"), (3, "body", 0, "mietvertrag"), (3, "body", 1, "z")]
-    postings = spark.createDataFrame(rows, "doc_id long, col string, pos int, term string")
-    typed = spark.createDataFrame([(1, 0, "vertrag")], "query_id long, term_ix int, term string")
-    found = S.matches(S.expand(typed, S.vocabulary(postings), level=S.FORMS), postings)
-    ranked = S.tiers(found, typed, S.near_hits(typed, postings), S.lengths(postings))
-    assert [r["doc_id"] for r in ranked.orderBy("rank").collect()] == [2, 1, 3]
+def test_description_beats_text_and_word_beats_compound(spark):
+    index = indexed(spark, [(1, "body", "vertrag x"), (2, "title", "vertrag"), (2, "body", "y"), (3, "body", "mietvertrag z"), (4, "tags", "vertraege")])
+    assert ranked_ids(spark, index, "vertrag") == [(2, 0), (4, 1), (1, 3), (3, 4)]
+
+
+def test_forms_of_words(spark):
+    texts = ["Gärten am See", "ein Garten", "Gartenbau", "Kleingartenverein", "Kleingartens", "Gartenzwergmuseum hier", "Fahrt ins Grüne", "Obstgärten"]
+    index = indexed(spark, [(i, "body", t) for i, t in enumerate(texts)])
+    # By stem, as a beginning, as an end with an ending, with its plural; six letters may also stand inside.
+    assert {d for d, _ in ranked_ids(spark, index, "garten")} == {0, 1, 2, 3, 4, 5, 7}
+    assert ranked_ids(spark, index, "garten", level=S.LITERAL) and {d for d, _ in ranked_ids(spark, index, "garten", level=S.LITERAL)} == {1, 2, 5}
+    assert {d for d, t in ranked_ids(spark, index, "wiese", level=S.RELATED, others=spark.createDataFrame([("wiese", "fahrt")], "term string, other string")) if t == 5} == {6}
+    assert {d for d, t in ranked_ids(spark, index, "gatren", level=S.SIMILAR) if t == 6} == {1}
+
+
+def test_stems_equal_the_statement(spark, sf_dir):
+    words = vocab(spark, sf_dir).where("term rlike '^[a-z]+$'").select(F.col("term").alias("w"))
+    made = ["abenteuerlichkeiten", "bedeutungen", "befestigten", "ergebnisses", "gueltigkeit", "systeme", "systemen", "lieferanteln", "lehrerinnen", "quallen", "bauern", "yacht", "traeumerei", "einigung", "leidend", "koestlich", "fest", "haetten", "i", ""]
+    both = words.unionByName(spark.createDataFrame([(w,) for w in made], "w string"))
+    got = {r["w"]: r["stem"] for r in stems.with_stem(both, "w").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest($1) AS w", [list(got)])
+    assert got == dict(con.execute(f"WITH {stems.stem_sql('t', 'w')} SELECT word, stem FROM stems").fetchall())
+    assert got["befestigten"] == "befestigt" and got["bauern"] == "bau" and got["ergebnisses"] == "ergebnis" and got["systemen"] == "system"
 
 
 def test_similar_spellings_against_the_plain_function(spark, sf_dir):
     words = vocab(spark, sf_dir).select(F.col("term").alias("word"))
-    typed = plans.searches(spark, sf_dir, 6)
+    typed = plans.searches(spark, sf_dir).where("query_id % 7 = 0")
     got = {(r["term"], r["word"]): r["edits"] for r in S.similar_words(typed, words).collect()}
     every = [r["word"] for r in words.collect() if r["word"].isalpha()]
     want = {}
@@ -71,6 +109,46 @@ def test_similar_spellings_against_the_plain_function(spark, sf_dir):
     assert got == want
 
 
+def content(index):
+    rows = sorted(tuple(r) for r in index.postings().select("doc_id", "col", "term", "n", "places").collect())
+    words = sorted((r["term"], r["docs"], r["stem"]) for r in index.words().collect())
+    sizes = sorted((r["doc_id"], r["dl"], r["n_docs"], round(r["avg_dl"], 6)) for r in index.sizes().collect())
+    grams = sorted(tuple(r) for r in index.grams().select("gram", "at", "word").collect())
+    return rows, words, sizes, grams
+
+
+def test_index_upkeep_equals_a_new_index(spark):
+    rng = random.Random(8)
+    words = ["apfel", "birne", "kirsche", "apfelbaum", "kirschgarten", "2024", "x"]
+    text = lambda: " ".join(rng.choices(words, k=rng.randrange(0, 9)))
+    now = {(d, c): text() for d in range(30) for c in ("title", "body")}
+    frame = lambda rows: spark.createDataFrame([(d, c, t) for (d, c), t in rows.items()], "doc_id long, col string, text string")
+    index = I.create(frame(now), buckets=4)
+    for _ in range(3):
+        docs = rng.sample(range(36), 6)
+        changed = {(d, c): text() for d in docs[:4] for c in ("title", "body")}
+        now = {k: v for k, v in now.items() if k[0] not in docs} | changed
+        index = I.update(index, frame(changed), spark.createDataFrame([(d,) for d in docs[4:]], "doc_id long"))
+    new = I.create(frame(now), buckets=4)
+    want = content(new)
+    assert content(index) == want
+    assert content(I.merge(index)) == want
+    some = spark.createDataFrame([("birne",), ("never",)], "term string")
+    assert sorted(tuple(r) for r in index.postings(some).select("doc_id", "col", "n").collect()) == sorted((d, c, n) for d, c, t, n, _ in want[0] if t == "birne")
+
+
+def test_a_search_reads_only_its_buckets(spark, sf_dir):
+    index = stored_index(spark, sf_dir)
+    one = spark.createDataFrame([("license",)], "term string")
+    plan = index.postings(one)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_empty_index(spark):
+    index = indexed(spark, [])
+    assert index.words().count() == 0 and index.postings(typed_of(spark, "a")).count() == 0 and index.sizes().count() == 0
+
+
 def test_facets_ignore_nulls_and_own_group(spark):
     docs = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), (None, "x")], "s string, t string")
     groups = {"s": F.col("s") == "a", "t": F.col("t") == "x"}
