@@ -14,7 +14,8 @@ from folioforge.functions import text as X
 from folioforge.operators import index as I
 from folioforge.operators import search as S
 from folioforge.operators.facets import facet_counts
-from folioforge.plans.catalog import FOLD, archive, columns, postings, query, stored_index, tagged, vocab
+from folioforge.operators.similar import most_similar
+from folioforge.plans.catalog import FOLD, archive, columns, query, stored_index, tagged, vocab
 from folioforge.session import materialise, table
 
 TOKENS = f"regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+')"
@@ -358,7 +359,7 @@ def search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def telling_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve terms that tell most about each document: frequent in it, rare elsewhere."""
-    tf = materialise(postings(spark, sf_dir).where("col = 'body'").groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "index-counts")
+    tf = stored_index(spark, sf_dir).postings().where("col = 'body'").select("doc_id", "term", F.col("n").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = tf.agg(F.count_distinct("doc_id").alias("n"))
     rare = df.join(F.broadcast(n)).where("df >= 2 and df <= n / 2")
@@ -455,15 +456,9 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five documents most like each, by the terms that tell most; same sender and type count more."""
     t = materialise(telling_terms(spark, sf_dir), "telling-terms")
-    other = t.select(F.col("doc_id").alias("other"), "term", F.col("weight").alias("w"))
-    scored = t.join(other, "term").where("doc_id <> other").groupBy("doc_id", "other").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
-    a = archive(spark, sf_dir)
-    own = a.select("doc_id", F.col("correspondent").alias("c1"), F.col("document_type").alias("t1"))
-    far = a.select(F.col("doc_id").alias("other"), F.col("correspondent").alias("c2"), F.col("document_type").alias("t2"))
-    boost = F.when(F.col("c1") == F.col("c2"), 1.6).otherwise(1.0) * F.when(F.col("t1") == F.col("t2"), 1.2).otherwise(1.0)
-    ranked = scored.join(own, "doc_id").join(far, "other").withColumn("score", F.round(F.col("score") * boost, 5))
-    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other")
-    return ranked.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("doc_id", "other", "score")
+    kinds = archive(spark, sf_dir).select("doc_id", F.struct("correspondent", "document_type").alias("kind"))
+    same = [F.when(F.col(f"kind_a.{c}") == F.col(f"kind_b.{c}"), w).otherwise(1.0) for c, w in (("correspondent", 1.6), ("document_type", 1.2))]
+    return most_similar(t, kinds, same[0] * same[1], 1.6 * 1.2)
 
 
 # --- facets ----------------------------------------------------------------------------------
