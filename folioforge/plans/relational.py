@@ -1,12 +1,17 @@
 """Filters, joins, aggregates, windows, sorts and set operations of the archive.
 
-These are statements that the planner handles best as they are: each is one
+Nearly all are statements that the planner handles best as they are: each is one
 declarative query, written in the SQL that Spark and DuckDB share.
 """
 
 from __future__ import annotations
 
-from folioforge.plans.catalog import portable
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioforge.operators.lineage import chains
+from folioforge.plans.catalog import archive, portable, query
+from folioforge.session import table
 
 # --- filters -------------------------------------------------------------------------------
 
@@ -57,10 +62,20 @@ portable(
     "neighbours",
     "WITH n AS (SELECT seq, correspondent, lag(seq, 1) OVER w AS before, lead(seq, 1) OVER w AS after FROM {archive} WINDOW w AS (PARTITION BY correspondent ORDER BY seq)) SELECT seq, before, after, least(coalesce(seq - before, 1000000), coalesce(after - seq, 1000000)) AS gap FROM n",
 )
-portable(
-    "lineage",
-    "WITH r AS (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM {conversations}) SELECT conv_id, count(*) AS parts, CAST(max(turn) AS BIGINT) AS depth FROM r WHERE place = turn GROUP BY conv_id",
-)
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT conv_id * 10000 + turn AS node, conv_id * 10000 + turn - 1 AS parent, turn FROM conversations),
+    up(node, root, depth) AS (SELECT node, node, 0 FROM n WHERE parent NOT IN (SELECT node FROM n) UNION ALL SELECT n.node, u.root, u.depth + 1 FROM up u JOIN n ON n.parent = u.node)
+    SELECT node, root, depth::BIGINT AS depth FROM up"""
+)
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each turn's chain of predecessors begins, and how long it is."""
+    c = table(spark, sf_dir, "conversations")
+    node = F.col("conv_id") * 10_000 + F.col("turn")
+    return chains(c.select(node.alias("node"), (node - 1).alias("parent")))
+
+
 portable("term_lookup", "SELECT a.doc_id, n.n_nationkey FROM {archive} a JOIN {nation} n ON n.n_nationkey = CAST(substr(a.correspondent, 4) AS INT)")
 portable("field_owners", "SELECT f.doc_id, f.value_text, c.c_name FROM {fields} f JOIN {customer} c ON f.key = 'number' AND CAST(f.value_text AS BIGINT) = c.c_custkey")
 
@@ -128,10 +143,24 @@ portable(
     "reversed_stack",
     "WITH r AS (SELECT doc_id, correspondent, seq, row_number() OVER (PARTITION BY correspondent ORDER BY seq) AS up, row_number() OVER (PARTITION BY correspondent ORDER BY seq DESC) AS down FROM {archive}) SELECT a.doc_id, b.seq AS new_seq FROM r a JOIN r b ON a.correspondent = b.correspondent AND a.up = b.down",
 )
-portable(
-    "next_to_review",
-    "SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next FROM {archive} WHERE quality = 0 WINDOW w AS (PARTITION BY correspondent ORDER BY received_at DESC, seq DESC)",
-)
+
+
+@query("SELECT doc_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next FROM archive WHERE quality = 0 WINDOW w AS (ORDER BY received_at DESC, seq DESC)", ("archive",))
+def next_to_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document to review after each, newest first, the first after the last.
+
+    Neighbours are found within a day; only the days themselves, with their first
+    documents, stand in one order.
+    """
+    a = archive(spark, sf_dir).where("quality = 0").select("doc_id", "received_at", "seq")
+    inside = a.withColumn("after", F.lead("doc_id").over(Window.partitionBy("received_at").orderBy(F.col("seq").desc())))
+    days = a.groupBy("received_at").agg(F.max_by("doc_id", "seq").alias("first"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("received_at").desc())
+    # One row a day.
+    turned = days.select("received_at", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("begin"))
+    return inside.join(turned, "received_at").select("doc_id", F.coalesce("after", "begin").alias("next"))
+
+
 portable("latest_run", "SELECT doc_id, status, id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, status ORDER BY created_at DESC, id DESC) AS rn FROM {jobs}) r WHERE rn = 1")
 portable("rate_window", "SELECT event_id AS id, user_id AS doc_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM {events}")
 portable("stack_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM {conversations}")

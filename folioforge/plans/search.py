@@ -260,7 +260,7 @@ def search_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def search_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches with a stray letter in their second word, all levels at once; recognition errors have no SQL, so a test compares tiers with plain code."""
+    """Searches with a stray letter in their second word, all levels at once; recognition errors have no SQL; tests hold the words against the plain function and tiers on made documents."""
     typed = searches(spark, sf_dir).withColumn("term", F.when(F.col("term_ix") == 1, F.concat("term", F.lit("x"))).otherwise(F.col("term")))
     typed = materialise(typed, "search-typed")
     index = stored_index(spark, sf_dir)

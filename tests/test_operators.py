@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import stems
@@ -10,6 +11,7 @@ from folioforge.operators import index as I
 from folioforge.operators import search as S
 from folioforge.operators.components import connected_components
 from folioforge.operators.facets import facet_counts
+from folioforge.operators.lineage import chains
 from folioforge.plans import search as plans
 from folioforge.plans.catalog import stored_index, vocab
 from folioforge.functions import text as X
@@ -42,6 +44,27 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_chains_of_any_length(spark):
+    rng = random.Random(6)
+    parent = {i: i - 1 for i in range(1, 70)} | {100: None, 101: 100, 102: 100, 103: 102, 200: 999} | {0: None}
+    rows = list(parent.items())
+    rng.shuffle(rows)
+    got = {r["node"]: (r["root"], r["depth"]) for r in chains(spark.createDataFrame([*rows, (None, 3)], "node long, parent long")).collect()}
+
+    def walk(n, depth=0):
+        up = parent[n]
+        return walk(up, depth + 1) if up in parent else (n, depth)
+
+    assert got == {n: walk(n) for n in parent}
+    assert chains(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
+def test_a_circle_of_links_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr("folioforge.operators.lineage.ROUNDS", 4)
+    with pytest.raises(ValueError, match="circle"):
+        chains(spark.createDataFrame([(1, 2), (2, 1)], "node long, parent long"))
+
+
 def indexed(spark, rows):
     return I.create(spark.createDataFrame(rows, "doc_id long, col string, text string"), buckets=4)
 
