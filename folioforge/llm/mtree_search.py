@@ -2,24 +2,25 @@
 
 With M the largest norm, a vector x becomes the point (x, sqrt(M^2 - |x|^2)) and a
 query q the point (q, 0); the nearest points then have the largest inner products,
-so a metric tree gives exact answers. The tree has four levels: a bounded sample
-of routing objects with covering radii; nodes of ``NODE_PAGES`` pages; pages of at
-most ``PAGE`` vectors (all the vectors, in the order of their routing object and
-their distance from it, cut into pages by Spark); and the entries of a page. Nodes
-and pages store a centre, a covering radius and the distance from their routing
+so a metric tree gives exact answers. The tree has four levels: routing objects, as
+far apart as a bounded sample allows, with covering radii; nodes of ``NODE_PAGES``
+pages; pages of at most ``PAGE`` vectors; and the entries of a page. All vectors are
+ordered by their three nearest routing objects and the distance from the first, so
+that neighbours in this order lie in one small cell, and cut into pages by Spark.
+Nodes and pages store a centre, a covering radius and the distance from their routing
 object; an entry stores its distance from the page's centre.
 
-A query first gets the k-th best score of its own page. It goes to the routing
-objects, and below them to the nodes, whose bounds beat that score: a list of
-(query, node), with no vectors but the nodes' centres. It searches its best node
-first, and then those others that the score found there still admits. Pages travel
-only to the queries that ask for them. In a node, a query opens pages in the order
-of their bounds until none can hold a better entry; stored distances are tried
-before a distance is computed.
+A query first gets the k-th best score of its own page. It searches the best node of
+the routing object whose bound is best, and with the score found there asks all
+routing objects and the nodes below them: a list of (query, node), with no vectors but
+the nodes' centres. Pages travel only to the queries that ask for them. In a node, a
+query opens pages in the order of their bounds until none can hold a better entry;
+stored distances are tried before a distance is computed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,11 @@ from folioforge.llm.vectors import finite_rows
 from folioforge.session import materialise
 
 SCALE, TOP, EVERY = 1024, 10, 100
-ROUTES, PAGE, NODE_PAGES = 64, 256, 32
+PAGE, NODE_PAGES = 256, 32
+#: Routing objects: the square root of the number of vectors, within these; and vectors in the sample for each.
+ROUTES_LEAST, ROUTES_MOST, SAMPLED = 64, 1_024, 4
 #: Queries that meet the nodes of a routing object at once, and that search a node at once.
-ASKING, SEARCHING = 16_384, 2_048
+ASKING, SEARCHING = 2_048, 2_048
 #: Sums below this are exact in double precision; sums from this on might not fit a score.
 EXACT, TOO_LARGE = float(2**52), float(2**62)
 
@@ -81,24 +84,38 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def far_apart(rows: np.ndarray, want: int, top2: float) -> np.ndarray:
+    """At most ``want`` of the rows, each the farthest from those before it."""
+    points = lifted(rows, top2)
+    chosen, away = [0], _distances(points, points[:1])[:, 0]
+    while len(chosen) < want and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, _distances(points, points[chosen[-1:]])[:, 0])
+        away[chosen] = 0
+    return rows[chosen]
+
+
 def _routed(points: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarray]) -> DataFrame:
-    """Adds ``route`` and ``away``: the nearest routing object of the same dimension and its distance."""
+    """Adds ``route``, ``second`` and ``third``, the nearest routing objects of the same dimension, and ``away``, the distance from the first."""
     sent = points.sparkSession.sparkContext.broadcast((tops, routes))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top, objects = sent.value
         for batch in batches:
-            out = batch.assign(route=0, away=0.0)
+            out = batch.assign(route=0, second=0, third=0, away=0.0)
             for dim, part in batch.groupby("dim"):
                 if dim in objects:
                     own = lifted(np.stack([np.frombuffer(v, np.int64) for v in part["vec"]]), top[dim])
                     far = _distances(own, lifted(objects[dim], top[dim]))
-                    out.loc[part.index, "route"] = far.argmin(axis=1)
                     out.loc[part.index, "away"] = far.min(axis=1)
+                    for name in ("route", "second", "third")[: far.shape[1]]:
+                        near = far.argmin(axis=1)
+                        out.loc[part.index, name] = near
+                        far[np.arange(len(far)), near] = np.inf
             yield out
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.mapInPandas(route, f"{kinds}, route int, away double")
+    return points.mapInPandas(route, f"{kinds}, route int, second int, third int, away double")
 
 
 def make_page(ids: np.ndarray, rows: np.ndarray, parent: np.ndarray | None, top2: float) -> dict:
@@ -111,11 +128,15 @@ def make_page(ids: np.ndarray, rows: np.ndarray, parent: np.ndarray | None, top2
     return {"n": len(ids), "centre": rows[centre].tobytes(), "radius": float(away.max()), "up": up, "ids": ids[order].tobytes(), "vecs": rows[order].tobytes(), "away": away[order].tobytes()}
 
 
-PAGE_COLUMNS = "node long, dim int, route int, n int, centre binary, radius double, up double, ids binary, vecs binary, away binary, seeds array<struct<id:long,floor:long,vec:binary>>"
+PAGE_COLUMNS = "node long, dim int, route int, n int, centre binary, radius double, up double, ids binary, vecs binary, away binary, seeds array<struct<id:long,floor:long,vec:binary>>, node_centre binary, cover double, node_up double"
 
 
 def _pages(routed: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarray], every: int, k: int) -> DataFrame:
-    """Pages from rows sorted by routing object and distance; ``seeds`` are a page's own queries with a score that their k-th best reaches."""
+    """Pages from rows sorted by routing objects and distance; ``seeds`` are a page's own queries with a score that their k-th best reaches.
+
+    The first page of a node also holds the node: its centre (the mean, as a point), its
+    covering radius and its distance from the routing object. A node is held until it is full.
+    """
     sent = routed.sparkSession.sparkContext.broadcast((tops, routes))
 
     def page(node: int, dim: int, route: int, ids: list[int], vecs: list[bytes]) -> dict:
@@ -129,23 +150,33 @@ def _pages(routed: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarr
         parent = objects[dim][route] if dim in objects else None
         return {"node": node, "dim": dim, "route": route, **make_page(own, rows, parent, top[dim]), "seeds": seeds}
 
+    def whole(held: list[dict]) -> pd.DataFrame:
+        if held:
+            top, objects = sent.value
+            dim, route = held[0]["dim"], held[0]["route"]
+            points = [lifted(np.frombuffer(p["vecs"], np.int64).reshape(-1, dim), top[dim]) for p in held]
+            centre = sum(p.sum(axis=0) for p in points)[None] / sum(map(len, points))
+            held[0]["node_centre"] = centre.tobytes()
+            held[0]["cover"] = max(float(_distances(p, centre).max()) for p in points)
+            held[0]["node_up"] = float(_distances(centre, lifted(objects[dim][route][None], top[dim]))[0, 0]) if dim in objects else 0.0
+        return pd.DataFrame(held).reindex(columns=names)
+
+    names = [c.split()[0] for c in PAGE_COLUMNS.replace(",floor:long,vec:binary", "").split(", ")]
+
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PAGE_COLUMNS.replace(",floor:long,vec:binary", "").split(", ")]
-        at, ids, vecs, made, node = None, [], [], 0, TaskContext.get().partitionId() << 32
+        at, ids, vecs, held, node = None, [], [], [], TaskContext.get().partitionId() << 32
         for batch in batches:
-            out = []
             for dim, route, vec_id, vec in batch.itertuples(index=False, name=None):
                 if (dim, route) != at or len(ids) == PAGE:
                     if ids:
-                        out.append(page(node, *at, ids, vecs))
-                        made += 1
-                    if (dim, route) != at or made == NODE_PAGES:
-                        made, node = 0, node + 1
+                        held.append(page(node, *at, ids, vecs))
+                    if held and ((dim, route) != at or len(held) == NODE_PAGES):
+                        yield whole(held)
+                        held, node = [], node + 1
                     at, ids, vecs = (dim, route), [], []
                 ids.append(vec_id)
                 vecs.append(vec)
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame([page(node, *at, ids, vecs)] if ids else [], columns=names)
+        yield whole(held + ([page(node, *at, ids, vecs)] if ids else []))
 
     return routed.select("dim", "route", "vec_id", "vec").mapInPandas(pages, PAGE_COLUMNS)
 
@@ -192,25 +223,10 @@ def search(pages: list[dict], query: int, vec: np.ndarray, floor: float, routes:
     return best
 
 
-def _nodes(pages: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarray]) -> DataFrame:
-    """``node, dim, route, centre, cover, up``: for NODE_PAGES pages each, the page centre with the smallest covering radius."""
-    sent = pages.sparkSession.sparkContext.broadcast((tops, routes))
-
-    def node(own: pd.DataFrame) -> pd.DataFrame:
-        top, objects = sent.value
-        dim, route = int(own["dim"].iloc[0]), int(own["route"].iloc[0])
-        points = lifted(np.stack([np.frombuffer(c, np.int64) for c in own["centre"]]), top[dim])
-        covers = (_distances(points, points) + own["radius"].to_numpy()[None, :]).max(axis=1)
-        best = int(covers.argmin())
-        up = float(_distances(points[best : best + 1], lifted(objects[dim][route][None], top[dim]))[0, 0]) if dim in objects else 0.0
-        return pd.DataFrame({"node": own["node"].iloc[:1], "dim": dim, "route": route, "centre": [own["centre"].iloc[best]], "cover": float(covers[best]), "up": up})
-
-    return pages.select("node", "dim", "route", "centre", "radius").groupBy("node").applyInPandas(node, "node long, dim int, route int, centre binary, cover double, up double")
-
-
 def _reach(q2: np.ndarray, top2: float, distance: np.ndarray) -> np.ndarray:
     """The largest inner product that a point at least so far from the query may have."""
-    return (q2 + top2 - np.maximum(distance, 0) ** 2) / 2 + 1e-9 * (q2 + top2) + 1.0
+    # Distances near zero are off by up to the root of a double's precision.
+    return (q2 + top2 - np.maximum(distance, 0) ** 2) / 2 + 1e-7 * (q2 + top2) + 1.0
 
 
 def _below(score: Column | str) -> Column:
@@ -219,8 +235,8 @@ def _below(score: Column | str) -> Column:
     return value.cast("double") - F.abs(value.cast("double")) * 2.0**-50
 
 
-def _admitted(queries: DataFrame, nodes: DataFrame, n_queries: int, tops: dict[int, float], routes: dict[int, np.ndarray]) -> DataFrame:
-    """``key, node, reach``: the nodes that may hold an entry as good as a query's ``floor``."""
+def _admitted(queries: DataFrame, nodes: DataFrame, n_queries: int, tops: dict[int, float], routes: dict[int, np.ndarray], best: bool = False) -> DataFrame:
+    """``key, node, floor``: the nodes that may hold an entry as good as a query's ``floor``; or only the best one of its best routing object."""
     spark = queries.sparkSession
     radii = {(r["dim"], r["route"]): r["radius"] for r in nodes.groupBy("dim", "route").agg(F.max(F.col("up") + F.col("cover")).alias("radius")).collect()}
     sent = spark.sparkContext.broadcast((tops, routes, radii))
@@ -235,7 +251,9 @@ def _admitted(queries: DataFrame, nodes: DataFrame, n_queries: int, tops: dict[i
                 away = np.zeros((len(part), len(own)))
                 if dim in objects:
                     away = _distances(np.hstack([vec, np.zeros((len(vec), 1))]), lifted(objects[dim][own], top[dim])) - np.array([radius[dim, r] for r in own])
-                rows, cols = np.nonzero(_reach(q2, top[dim], away) >= floor)
+                reach = _reach(q2, top[dim], away)
+                good = np.arange(len(own)) == reach.argmax(axis=1)[:, None] if best else reach >= floor
+                rows, cols = np.nonzero(good)
                 yield pd.DataFrame({"dim": dim, "route": own[cols], "key": part["key"].to_numpy()[rows], "floor": floor[rows, 0], "vec": part["vec"].to_numpy()[rows]})
 
     asked = queries.select("dim", "key", "vec", "floor").mapInPandas(ask, "dim int, route int, key long, floor double, vec binary")
@@ -245,23 +263,24 @@ def _admitted(queries: DataFrame, nodes: DataFrame, n_queries: int, tops: dict[i
 
     def compare(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         top, objects, _ = sent.value
-        names, out = ["key", "node", "reach"], []
+        names, out = ["key", "node", "floor"], []
         if not len(own) or not len(found):
             return pd.DataFrame(out, columns=names)
         dim = int(found["dim"].iloc[0])
-        centres = lifted(np.stack([np.frombuffer(c, np.int64) for c in found["centre"]]), top[dim])
+        centres = np.stack([np.frombuffer(c, np.float64) for c in found["centre"]])
         node, cover, key = found["node"].to_numpy(), found["cover"].to_numpy(), own["key"].to_numpy()
         for at in range(0, len(own), 256):
             part = own.iloc[at : at + 256]
             vec = np.stack([np.frombuffer(v, np.int64) for v in part["vec"]]).astype(np.float64)
             q2 = (vec * vec).sum(axis=1)[:, None]
             reach = _reach(q2, top[dim], _distances(np.hstack([vec, np.zeros((len(vec), 1))]), centres) - cover)
-            rows, cols = np.nonzero(reach >= part["floor"].to_numpy()[:, None])
-            out.append(pd.DataFrame({"key": key[at + rows], "node": node[cols], "reach": reach[rows, cols]}))
+            floor = part["floor"].to_numpy()
+            rows, cols = np.nonzero(np.arange(len(node)) == reach.argmax(axis=1)[:, None] if best else reach >= floor[:, None])
+            out.append(pd.DataFrame({"key": key[at + rows], "node": node[cols], "floor": floor[rows]}))
         return pd.concat(out)
 
     by = ["dim", "route", "block"]
-    return asked.groupBy(*by).cogroup(offered.groupBy(*by)).applyInPandas(compare, "key long, node long, reach double")
+    return asked.groupBy(*by).cogroup(offered.groupBy(*by)).applyInPandas(compare, "key long, node long, floor double")
 
 
 def _searched(wanted: DataFrame, queries: DataFrame, pages: DataFrame, tops: dict[int, float], routes: dict[int, np.ndarray], k: int) -> DataFrame:
@@ -271,7 +290,7 @@ def _searched(wanted: DataFrame, queries: DataFrame, pages: DataFrame, tops: dic
     demand = materialise(demand, "mtree-demand")
     left = wanted.join(demand.hint("merge"), "node").withColumn("block", F.pmod("key", F.col("blocks")).cast("int")).drop("blocks")
     left = left.join(queries.select("key", "id", "vec").hint("merge"), "key")
-    right = pages.drop("seeds").join(demand.hint("merge"), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = pages.drop("seeds", "node_centre", "cover", "node_up").join(demand.hint("merge"), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def meet(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         top, objects = sent.value
@@ -307,27 +326,28 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY) -> DataFrame:
     spark = vectors.sparkSession
     points = materialise(_points(vectors), "mtree-points")
     tops = {r["dim"]: float(np.nextafter(r["top"], np.inf)) for r in points.groupBy("dim").agg(F.max("norm2").alias("top")).collect()}
-    sample = points.select("dim", "vec").orderBy(F.xxhash64("vec"), "vec").limit(ROUTES).collect()
+    want = min(ROUTES_MOST, max(ROUTES_LEAST, math.isqrt(points.count())))
+    sample = points.select("dim", "vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLED * want).collect()
     routes: dict[int, np.ndarray] = {}
     for dim in tops:
         own = [np.frombuffer(r["vec"], np.int64) for r in sample if r["dim"] == dim]
         if own:
-            routes[dim] = np.unique(np.stack(own), axis=0)
+            routes[dim] = far_apart(np.stack(own), want, tops[dim])
     routed = materialise(_routed(points, tops, routes), "mtree-routed")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = routed.repartitionByRange(parts, "dim", "route", "away", "vec_id").sortWithinPartitions("dim", "route", "away", "vec_id")
+    order = ["dim", "route", "second", "third", "away", "vec_id"]
+    ordered = routed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     pages = materialise(_pages(ordered, tops, routes, every, k), "mtree-pages")
     queries = pages.select("dim", F.inline("seeds")).dropDuplicates(["id", "vec"]).withColumn("key", F.xxhash64("id", "vec"))
     queries = materialise(queries.withColumn("floor", _below("floor")), "mtree-queries")
-    nodes = materialise(_nodes(pages, tops, routes), "mtree-nodes")
-    admitted = materialise(_admitted(queries, nodes, queries.count(), tops, routes), "mtree-admitted")
-    best = materialise(admitted.groupBy("key").agg(F.max_by("node", "reach").alias("node")), "mtree-best")
-    floors = queries.select("key", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    first = materialise(_searched(best.join(floors.hint("merge"), "key"), queries, pages, tops, routes, k), "mtree-first")
+    nodes = pages.where("node_centre is not null").select("node", "dim", "route", F.col("node_centre").alias("centre"), "cover", F.col("node_up").alias("up"))
+    nodes, n = materialise(nodes, "mtree-nodes"), queries.count()
+    best = materialise(_admitted(queries, nodes, n, tops, routes, best=True), "mtree-best")
+    first = materialise(_searched(best, queries, pages, tops, routes, k), "mtree-first")
     # A query's best node is one group, so at most k scores.
     found = first.groupBy("key").agg(F.sort_array(F.collect_list("score"), False).alias("scores"))
-    risen = floors.join(found.hint("merge"), "key", "left").select("key", F.greatest("floor", _below(F.get("scores", F.lit(k - 1)))).alias("floor"))
-    rest = admitted.join(best.select("key", F.col("node").alias("done")).hint("merge"), "key").where("node <> done").join(risen.hint("merge"), "key").where("reach >= floor")
+    risen = queries.join(found.hint("merge"), "key", "left").withColumn("floor", F.greatest("floor", _below(F.get("scores", F.lit(k - 1))))).drop("scores")
+    rest = _admitted(materialise(risen, "mtree-risen"), nodes, n, tops, routes).join(best.select("key", F.col("node").alias("done")).hint("merge"), "key").where("node <> done")
     rest = materialise(rest.select("key", "node", "floor"), "mtree-rest")
     hits = first.unionByName(_searched(rest, queries, pages, tops, routes, k))
     order = Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")

@@ -7,6 +7,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -337,6 +338,33 @@ def test_top_k_prunes_and_stays_exact():
     assert best.ids.tolist() == order and best.scores.tolist() == score[order].tolist()
 
 
+def test_top_k_searches_few_nodes_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(100, 32))
+    rows = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), 200, axis=0) + 0.4 * rng.normal(size=(20_000, 32)) / np.sqrt(32)
+    rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    ids = rng.permutation(20_000)
+    monkeypatch.setattr(mtree_search, "PAGE", 32)
+    monkeypatch.setattr(mtree_search, "NODE_PAGES", 4)
+    asked, nodes, real = [], [], mtree_search._searched
+
+    def counted(wanted, queries, pages, *rest):
+        asked.append(wanted.count())
+        nodes.append(pages.select("node").distinct().count())
+        return real(wanted, queries, pages, *rest)
+
+    monkeypatch.setattr(mtree_search, "_searched", counted)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": rows.tolist()}), "vec_id long, embedding array<double>")
+    got = mtree_search.top_k(frame).select("query_id", "rank", "vec_id", "score").collect()
+    ints, want = np.floor(1024 * rows), []
+    for i in np.flatnonzero(ids % 100 == 0):
+        score = ints @ ints[i]
+        score[i] = -np.inf
+        want += [(int(ids[i]), n + 1, int(ids[j]), int(score[j])) for n, j in enumerate(np.lexsort((ids, -score))[:10])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(asked) <= 0.1 * 200 * nodes[0], (asked, nodes)
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(5)).collect()
