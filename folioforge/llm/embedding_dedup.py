@@ -11,8 +11,11 @@ links can be counted where they are found and no pair is emitted.
 The number of pivots follows the square root of the number of vectors up to 8,192
 (reached at 67 million vectors), where there are up to 33 million lists; every
 vector is indexed. A long list (many near copies) is cut into tiles, and each pair
-of tiles is one small product. Lists and tiles are planned on ids alone; vectors
-are shuffled once, to the products.
+of tiles is one small product. Lists and tiles are planned on ids and sketches of
+``SKETCH`` bits (signs of fixed random projections): only a vector that has a partner
+in its tile whose sketch is near enough travels to the products, in its table's own
+width. A linked pair's sketches differ in more bits than admitted with a probability
+below 1e-9 (``SIGMAS`` standard deviations over the expected number).
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from folioforge.llm.ngram_join import Forest, node_of
 from folioforge.llm.vectors import finite_rows
@@ -40,28 +44,51 @@ SAMPLED, APART = 4, 0.5
 #: Vectors in a tile: at least, at most; tiles of a list before they grow beyond the least.
 TILE, TILE_MOST, TILES = 512, 8192, 4
 ROWS_AT_ONCE = 512
+SKETCH, SIGMAS = 128, 7
+
+
+def _unit(row: np.ndarray) -> np.ndarray:
+    row = row.astype(np.float64)
+    row = row / np.abs(row).max()  # squares then neither overflow nor vanish
+    return row / np.sqrt(row @ row)
+
+
+def _width(vectors: DataFrame) -> str:
+    """The number type in which vectors travel: that of their table, if it is a floating one."""
+    kind = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    return "<f4" if isinstance(kind, FloatType) else "<f8"
 
 
 def _prepared(vectors: DataFrame) -> DataFrame:
-    """``vec_id, sig, unit``: signature and unit vector (float64), null for vectors that take no part."""
-    kind = vectors.schema["vec_id"].dataType.simpleString()
+    """``vec_id, sig, vec``: signature of the direction and the vector's bytes, null for vectors that take no part."""
+    kind, width = vectors.schema["vec_id"].dataType.simpleString(), _width(vectors)
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, rows = finite_rows(batch.column("embedding").to_pandas())
-            sig, unit = [None] * len(batch), [None] * len(batch)
+            sig, vec = [None] * len(batch), [None] * len(batch)
             for at, row in zip(np.flatnonzero(good), rows, strict=True):
-                top = np.abs(row).max()
-                if top > 0:
-                    row = row / top  # squares then neither overflow nor vanish
-                    unit[at] = (row / np.sqrt(row @ row)).tobytes()
-                    sig[at] = hashlib.blake2b(unit[at], digest_size=16).digest()
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sig, pa.binary()), pa.array(unit, pa.binary())], ["vec_id", "sig", "unit"])
+                if row.any():
+                    vec[at] = row.astype(width).tobytes()
+                    sig[at] = hashlib.blake2b((_unit(row) + 0.0).tobytes(), digest_size=16).digest()
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(sig, pa.binary()), pa.array(vec, pa.binary())], ["vec_id", "sig", "vec"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(prepare, f"vec_id {kind}, sig binary, vec binary")
 
-    return vectors.select("vec_id", "embedding").mapInArrow(prepare, f"vec_id {kind}, sig binary, unit binary")
 
+def sketches(units: np.ndarray) -> np.ndarray:
+    """Signs of projections that depend on the dimension alone, eight to a byte."""
+    planes = np.random.default_rng(units.shape[1]).normal(size=(units.shape[1], SKETCH))
+    return np.packbits(units @ planes > 0, axis=1)
 
-def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
+
+def most_apart(cosine: float) -> float:
+    """In how many bits the sketches of a linked pair may differ."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return SKETCH * p + SIGMAS * math.sqrt(SKETCH * p * (1 - p)) + 1
+
+
+def _pivots(classes: DataFrame, width: str) -> dict[int, np.ndarray]:
     """By dimension: at most PIVOTS_MOST vectors of a sample, by hash, of SAMPLED times as many.
 
     Pivots lie apart. In a large group of near copies a plain sample would put many
@@ -69,11 +96,11 @@ def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     """
     total = classes.count()
     want = min(PIVOTS_MOST, max(PIVOTS_LEAST, math.isqrt(total)))
-    rows = classes.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(SAMPLED * want).collect()
+    rows = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLED * want).collect()
     out: dict[int, np.ndarray] = {}
     held: dict[int, int] = {}
     for row in rows:
-        unit = np.frombuffer(row["unit"], np.float64)
+        unit = _unit(np.frombuffer(row["vec"], width))
         kept = out.setdefault(len(unit), np.empty((want, len(unit))))
         n = held.get(len(unit), 0)
         if n < want and (not n or (kept[:n] @ unit).max() < APART):
@@ -81,25 +108,67 @@ def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     return {dim: kept[: held[dim]] for dim, kept in out.items()}
 
 
-def _listed(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """``node, size, unit, prefix, lists``: the nearest pivots in order, and the lists ``p * PIVOTS_MOST + q`` that hold the vector.
+def _listed(classes: DataFrame, pivots: dict[int, np.ndarray], width: str) -> DataFrame:
+    """``node, size, vec, sketch, prefix, lists``: the nearest pivots in order, and the lists ``p * PIVOTS_MOST + q`` that hold the vector.
 
     Vectors of a dimension that no pivot has go to a list of their own dimension.
     """
     sent = classes.sparkSession.sparkContext.broadcast(pivots)
 
+    def keys(dim: int, near: list[int]) -> list[int]:
+        if len(near) < SHARED:
+            return [-dim]
+        return [dim * PIVOTS_MOST**SHARED + sum(p * PIVOTS_MOST**i for i, p in enumerate(reversed(ps))) for ps in itertools.combinations(sorted(near), SHARED)]
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            prefixes, lists = [], []
-            for unit in batch["unit"]:
-                unit = np.frombuffer(unit, np.float64)
-                own = sent.value.get(len(unit), np.empty((0, len(unit))))
-                near = np.argsort(-(own @ unit), kind="stable")[:PREFIX]
-                prefixes.append(near.tolist())
-                lists.append([-len(unit)] if len(near) < SHARED else [len(unit) * PIVOTS_MOST**SHARED + sum(p * PIVOTS_MOST**i for i, p in enumerate(reversed(ps))) for ps in itertools.combinations(sorted(near.tolist()), SHARED)])
-            yield pd.DataFrame({"node": batch["node"], "size": batch["size"], "unit": batch["unit"], "prefix": prefixes, "lists": lists})
+            for length, part in batch.groupby(batch["vec"].str.len()):
+                units = np.stack([_unit(np.frombuffer(v, width)) for v in part["vec"]])
+                dim = units.shape[1]
+                near = np.argsort(-(units @ sent.value.get(dim, np.empty((0, dim))).T), axis=1, kind="stable")[:, :PREFIX].tolist()
+                bits = [s.tobytes() for s in sketches(units)]
+                yield pd.DataFrame({"node": part["node"], "size": part["size"], "vec": part["vec"], "sketch": bits, "prefix": near, "lists": [keys(dim, n) for n in near]})
+
+    return classes.select("node", "size", "vec").mapInPandas(describe, "node long, size long, vec binary, sketch binary, prefix array<int>, lists array<long>")
+
+
+def partnered(bits: np.ndarray, tile: np.ndarray, apart: float) -> np.ndarray:
+    """Which entries of a tile or pair of tiles have another whose sketch is near enough."""
+    signs = np.where(np.unpackbits(bits, axis=1), np.float32(1), np.float32(-1))
+    across, some = len(np.unique(tile)) > 1, np.zeros(len(signs), bool)
+    for at in range(0, len(signs), ROWS_AT_ONCE):
+        stop = min(len(signs), at + ROWS_AT_ONCE)
+        near = (SKETCH - signs[at:stop] @ signs.T) / 2 <= apart
+        near[np.arange(stop - at), np.arange(at, stop)] = False
+        if across:
+            near &= tile[at:stop, None] != tile[None, :]
+        some[at:stop] = near.any(axis=1)
+    return some
+
+
+def _possible(tiled: DataFrame, cosine: float) -> DataFrame:
+    """``list, a, b, tile, node``: the visits of ``tiled`` whose sketch has a partner there."""
+    names, apart = ["list", "a", "b", "tile", "node"], most_apart(cosine)
+
+    def left(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        some = partnered(np.stack([np.frombuffer(r[5], np.uint8) for r in rows]), np.array([r[3] for r in rows]), apart)
+        return [rows[i][:5] for i in np.flatnonzero(some)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if rows and row[:3] != rows[0][:3]:
+                    out += left(rows)
+                    rows = []
+                rows.append(row)
+            yield pd.DataFrame(out, columns=names, dtype="int64")
+        yield pd.DataFrame(left(rows), columns=names, dtype="int64")
 
-    return classes.select("node", "size", "unit").mapInPandas(describe, "node long, size long, unit binary, prefix array<int>, lists array<long>")
+    return tiled.select(*names, "sketch").mapInPandas(run, "list long, a int, b int, tile int, node long")
 
 
 def list_links(list_id: int, reps: np.ndarray, sizes: np.ndarray, units: np.ndarray, prefixes: np.ndarray, tile: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -139,14 +208,14 @@ def _sparse(near: np.ndarray, forest: Forest, at: int) -> Iterator[tuple[int, in
             yield i, int(hit[0])
 
 
-def _verified(tiled: DataFrame, cosine: float) -> DataFrame:
+def _verified(tiled: DataFrame, cosine: float, width: str) -> DataFrame:
     """``node, links, other``: link counts (``other`` is the node itself), and edges ``node, other`` (``links`` is 0)."""
 
     def flush(key: tuple, rows: list[tuple]) -> tuple[list, list]:
         if len(rows) < 2:
             return [], []
         reps, sizes = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        units = np.stack([np.frombuffer(r[2], np.float64) for r in rows])
+        units = np.stack([_unit(np.frombuffer(r[2], width)) for r in rows])
         prefixes = np.stack([np.asarray(r[3], np.int64) for r in rows])
         counts, edges = list_links(key[0], reps, sizes, units, prefixes, np.array([r[4] for r in rows]), cosine)
         some = np.flatnonzero(counts)
@@ -161,16 +230,16 @@ def _verified(tiled: DataFrame, cosine: float) -> DataFrame:
 
         for batch in batches:
             counts, edges = [], []
-            for list_id, a, b, tile, rep, size, unit, prefix in batch.itertuples(index=False, name=None):
+            for list_id, a, b, tile, rep, size, vec, prefix in batch.itertuples(index=False, name=None):
                 if (list_id, a, b) != key:
                     more = flush(key, rows)
                     counts, edges = counts + more[0], edges + more[1]
                     key, rows = (list_id, a, b), []
-                rows.append((rep, size, unit, prefix, tile))
+                rows.append((rep, size, vec, prefix, tile))
             yield out(counts, edges)
         yield out(*flush(key, rows))
 
-    return tiled.select("list", "a", "b", "tile", "node", "size", "unit", "prefix").mapInPandas(run, "node long, links long, other long")
+    return tiled.select("list", "a", "b", "tile", "node", "size", "vec", "prefix").mapInPandas(run, "node long, links long, other long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -183,22 +252,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     a null ``vec_id``, whose component is null. Repeated rows link with each other.
     Vectors of unlike dimensions do not link. Other columns are ignored.
     """
+    width = _width(vectors)
     prepared = materialise(_prepared(vectors), "vec-prepared")
     valid = prepared.where("sig is not null and vec_id is not null")
-    classes = valid.groupBy("sig").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("size"), F.min("unit").alias("unit"))
+    classes = valid.groupBy("sig").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("size"), F.min("vec").alias("vec"))
     classes = materialise(classes.withColumn("node", node_of("sig")), "vec-classes")
-    listed = materialise(_listed(classes, _pivots(classes)), "vec-listed")
-    entries = listed.select("node", F.explode("lists").alias("list"))
+    listed = materialise(_listed(classes, _pivots(classes, width), width), "vec-listed")
+    entries = listed.select("node", "sketch", F.explode("lists").alias("list"))
     lengths = entries.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
     tiles = F.least(F.ceil(F.col("length") / TILE), F.greatest(F.lit(TILES), F.ceil(F.col("length") / TILE_MOST)))
     lengths = materialise(lengths.select("list", tiles.cast("int").alias("tiles")), "vec-lengths")
     entries = entries.join(lengths.hint("merge"), "list").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # The same pair stands in tile pairs (a, a) once and (a, b) once, never in both.
     to = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.col("list").alias("list"), F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b"), F.col("tile").alias("tile")))
-    visits = materialise(entries.groupBy("node").agg(F.flatten(F.collect_list(to)).alias("visits")), "vec-visits")
-    rows = listed.drop("lists").join(visits.hint("merge"), "node").select(F.explode("visits").alias("v"), "node", "size", "unit", "prefix").select("v.*", "node", "size", "unit", "prefix")
-    tiled = rows.repartition("list", "a", "b").sortWithinPartitions("list", "a", "b", "node")
-    found = materialise(_verified(tiled, cosine), "vec-links")
+    place = ["list", "a", "b"]
+    sketched = entries.select("node", "sketch", F.inline(to)).repartition(*place).sortWithinPartitions(*place, "node")
+    possible = materialise(_possible(sketched, cosine), "vec-possible")
+    rows = possible.join(listed.select("node", "size", "vec", "prefix").hint("merge"), "node")
+    tiled = rows.repartition(*place).sortWithinPartitions(*place, "node")
+    found = materialise(_verified(tiled, cosine, width), "vec-links")
     counts = found.where("other = node").groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other <> node").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     parts = materialise(parts, "vec-parts")

@@ -300,6 +300,20 @@ def test_embedding_recall(spark):
     assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
 
 
+@pytest.mark.parametrize("dim", [8, 64, 768])
+def test_sketches_keep_every_linked_pair(dim):
+    rng = np.random.default_rng(dim)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 4000, dim)))
+    b = b - (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    apart = np.unpackbits(embedding_dedup.sketches(a) ^ embedding_dedup.sketches(b), axis=1).sum(axis=1)
+    assert (apart <= embedding_dedup.most_apart(0.95)).all()
+    both = np.concatenate([embedding_dedup.sketches(a[:300]), embedding_dedup.sketches(b[:300])])
+    assert embedding_dedup.partnered(both, np.zeros(600, int), embedding_dedup.most_apart(0.95)).all()
+    if dim == 768:
+        assert embedding_dedup.partnered(embedding_dedup.sketches(a[:300]), np.zeros(300, int), embedding_dedup.most_apart(0.95)).mean() < 0.05
+
+
 def test_top_k_against_brute_force(spark, sf_dir, monkeypatch):
     frame = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = frame.toPandas()
