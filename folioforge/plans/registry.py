@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import catalog, duplicates, extraction, relational, rules, search, streams, vectors  # noqa: F401
+from folioforge.plans import catalog, duplicates, extraction, names, relational, rules, search, streams, vectors  # noqa: F401
 
 
 def entry(spark: SparkSession) -> DataFrame:
