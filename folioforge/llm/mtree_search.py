@@ -296,16 +296,18 @@ def _searched(wanted: DataFrame, queries: DataFrame, pages: DataFrame, tops: dic
         top, objects = sent.value
         out = []
         if len(own) and len(found):
-            dim = int(found["dim"].iloc[0])
+            # All pages of a node have one routing object.
+            dim, route = int(found["dim"].iloc[0]), int(found["route"].iloc[0])
+            parent = objects[dim][[route]] if dim in objects else None
             held = [
                 {
-                    "route": p.route, "up": p.up, "radius": p.radius, "ids": np.frombuffer(p.ids, np.int64), "away": np.frombuffer(p.away, np.float64),
+                    "route": 0, "up": p.up, "radius": p.radius, "ids": np.frombuffer(p.ids, np.int64), "away": np.frombuffer(p.away, np.float64),
                     "vecs": np.frombuffer(p.vecs, np.int64).reshape(p.n, dim), "point": lifted(np.frombuffer(p.centre, np.int64)[None], top[dim]),
                 }
                 for p in found.itertuples()
             ]
             for q in own.itertuples():
-                best = search(held, q.id, np.frombuffer(q.vec, np.int64), q.floor, objects.get(dim), top[dim], k)
+                best = search(held, q.id, np.frombuffer(q.vec, np.int64), q.floor, parent, top[dim], k)
                 out += [(q.key, int(i), int(s)) for i, s in zip(best.ids, best.scores, strict=True)]
         return pd.DataFrame(out, columns=["key", "vec_id", "score"])
 
