@@ -178,3 +178,9 @@ def test_facets_ignore_nulls_and_own_group(spark):
     values = {"s": F.array("s"), "t": F.array("t")}
     got = {(r["facet"], r["value"]): r["n"] for r in facet_counts(docs, groups, values).collect()}
     assert got == {("s", "a"): 1, ("s", "b"): 1, ("t", "x"): 1}
+
+
+def test_close_letters_sends_nothing_through_the_driver(spark, sf_dir):
+    from folioforge.plans import registry
+
+    assert "Broadcast" not in registry.queries()["close_letters"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
