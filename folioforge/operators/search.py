@@ -30,6 +30,21 @@ ENDINGS = ("en", "es", "e", "n", "s", "er", "ern")
 STEM_WORD, COMPOUND_WORD, INNER_PART, BEFORE_INNER, AFTER_INNER = 4, 5, 6, 3, 4
 
 
+#: A table of searches, of their words or of what these stand for is sent to all tasks up to so many rows.
+SENT = 400_000
+
+
+def sent(df: DataFrame, label: str) -> DataFrame:
+    """A table about searches, stored; it goes to where the documents are, if it has at most :data:`SENT` rows."""
+    df = materialise(df, label)
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def with_sizes(found: DataFrame, sized: DataFrame) -> DataFrame:
+    """Matches with the sizes of their documents, if they are without; both sides grow with the documents."""
+    return found if "dl" in found.columns else found.join(sized.hint("merge"), "doc_id")
+
+
 def may_start(term: Column) -> Column:
     """Whether a typed word also stands for words that it begins; digits and short words are exact."""
     return (F.length(term) >= 3) & ~term.rlike("[0-9]")
@@ -104,22 +119,32 @@ def similar_words(typed: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.withColumn("edits", X.spelling_edits("term", "word")).where("edits <= most")
 
 
-def matches(expanded: DataFrame, postings: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Per search, document and term: ``level`` (the best), ``meta_level`` and ``title_level`` (the best in those columns), and the weighted frequency of the words at each level (``tf0`` to ``tf3``)."""
+def matches(expanded: DataFrame, postings: DataFrame, weights: dict[str, float] | None = None, sized: DataFrame | None = None) -> DataFrame:
+    """Per search, document and term: ``level`` (the best), ``meta_level`` and ``title_level`` (the best in those columns), and the weighted frequency of the words at each level (``tf0`` to ``tf3``).
+
+    Postings are dealt by document once, a document's columns put together, and the
+    words sought are sent to them; so the many rows per search are summed where they
+    arise. With ``sized``, each row has the sizes of its document as well.
+    """
     weight = F.coalesce(*[F.when(F.col("col") == c, F.lit(w)) for c, w in (weights or WEIGHTS).items()], F.lit(0.0))
-    hits = postings.select("doc_id", "col", F.col("term").alias("word"), "n").join(expanded, "word")
-    tf = [F.sum(F.when(F.col("level") <= lv, weight * F.col("n")).otherwise(0.0)).alias(f"tf{lv}") for lv in range(4)]
-    best = [F.min("level").alias("level"), F.min(F.when(F.col("col").isin(*META), F.col("level"))).alias("meta_level"), F.min(F.when(F.col("col") == "title", F.col("level"))).alias("title_level")]
-    return hits.groupBy("query_id", "doc_id", "term_ix").agg(*best, *tf)
+    rows = postings.select("doc_id", "col", F.col("term").alias("word"), "n").repartition("doc_id")
+    each = rows.groupBy("doc_id", "word").agg(F.sum(weight * F.col("n")).alias("tf"), F.max(F.col("col").isin(*META)).alias("meta"), F.max(F.col("col") == "title").alias("titled"))
+    keys = ["query_id", "doc_id", "term_ix"]
+    if sized is not None:
+        each, keys = each.hint("merge").join(sized, "doc_id"), [*keys, "n_docs", "avg_dl", "dl"]
+    hits = each.join(sent(expanded, "search-sought"), "word")
+    tf = [F.sum(F.when(F.col("level") <= lv, F.col("tf")).otherwise(0.0)).alias(f"tf{lv}") for lv in range(4)]
+    best = [F.min("level").alias("level"), F.min(F.when(F.col("meta"), F.col("level"))).alias("meta_level"), F.min(F.when(F.col("titled"), F.col("level"))).alias("title_level")]
+    return hits.groupBy(*keys).agg(*best, *tf)
 
 
 def bm25(found: DataFrame, sized: DataFrame, level: int) -> DataFrame:
     """Adds ``bm25``, lower is better: Okapi over the words up to ``level``, one term for all that a typed word stands for."""
     tf = F.col(f"tf{level}")
-    df = found.where(tf > 0).groupBy("query_id", "term_ix").agg(F.count("*").alias("df"))
+    df = sent(found.where(tf > 0).groupBy("query_id", "term_ix").agg(F.count("*").alias("df")), "search-df")
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
     norm = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = found.where(tf > 0).join(df, ["query_id", "term_ix"]).join(sized, "doc_id")
+    scored = with_sizes(found.where(tf > 0).join(df, ["query_id", "term_ix"]), sized)
     return scored.groupBy("query_id", "doc_id").agg((-F.sum(idf * norm)).alias("bm25"))
 
 
@@ -139,13 +164,15 @@ def phrase_hits(searches: DataFrame, postings: DataFrame, words: DataFrame) -> D
     known = searches.join(words.select("term", "docs"), "term", "left")
     size = known.groupBy("query_id").agg(F.count("*").alias("size"), F.min(F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "term_ix", "term")).alias("rarest"))
     size = size.where("rarest.docs > 0")
-    anchors = size.select("query_id", "size", F.col("rarest.term").alias("term"), F.col("rarest.term_ix").alias("ix"))
-    starts = anchors.join(postings.select("doc_id", "col", "term", "places"), "term").select("query_id", "size", "ix", "doc_id", "col", F.explode("places").alias("start")).withColumn("start", F.col("start") - F.col("ix"))
-    others = searches.select("query_id", "term_ix", "term")
-    asked = starts.join(others, "query_id").where("term_ix <> ix").select("query_id", "size", "doc_id", "col", "start", "term_ix", "term")
-    held = asked.join(postings.select("doc_id", "col", "term", "places"), ["doc_id", "col", "term"]).where(F.expr("array_contains(places, start + term_ix)"))
+    anchors = sent(size.select("query_id", "size", F.col("rarest.term").alias("term"), F.col("rarest.term_ix").alias("ix")), "search-anchors")
+    postings = postings.select("doc_id", "col", "term", "places")
+    starts = postings.join(anchors, "term").select("query_id", "size", "ix", "doc_id", "col", F.transform("places", lambda p: p - F.col("ix")).alias("starts"))
+    others = sent(searches.select("query_id", "term_ix", "term"), "search-others")
+    asked = starts.where("size > 1").join(others, "query_id").where("term_ix <> ix").select("query_id", "size", "doc_id", "col", "starts", "term_ix", "term")
+    # Starts and places of a column meet as two lists.
+    held = asked.hint("merge").join(postings, ["doc_id", "col", "term"]).select("query_id", "size", "doc_id", "col", F.explode(F.array_intersect("starts", F.transform("places", lambda p: p - F.col("term_ix")))).alias("start"))
     whole = held.groupBy("query_id", "size", "doc_id", "col", "start").agg(F.count("*").alias("votes")).where("votes = size - 1")
-    alone = starts.where("size = 1").select("query_id", "doc_id", "col", "start")
+    alone = starts.where("size = 1").select("query_id", "doc_id", "col", F.explode("starts").alias("start"))
     return whole.select("query_id", "doc_id", "col", "start").unionByName(alone).groupBy("query_id", "doc_id", "col").agg(F.count("*").alias("hits"))
 
 
@@ -155,8 +182,14 @@ def near_hits(searches: DataFrame, postings: DataFrame, distance: int = NEAR) ->
     Searches of two or more words. Places count only in columns that hold all words;
     from each, the span to the nearest earlier place of every other word decides.
     """
-    size = searches.groupBy("query_id").agg(F.count("*").alias("size")).where("size > 1")
-    hits = searches.join(size, "query_id").join(postings.select("doc_id", "col", "term", "places"), "term")
+    postings = postings.select("doc_id", "col", "term", "places")
+    held = postings.groupBy("term").agg(F.count("*").alias("held"))
+    known = sent(searches.join(held, "term", "left").select("query_id", "term_ix", "term", F.coalesce("held", F.lit(0)).alias("held")), "search-known")
+    # Only columns with the rarest word of a search are asked for its other words.
+    size = known.groupBy("query_id").agg(F.count("*").alias("size"), F.min(F.struct("held", "term")).alias("rarest")).where("size > 1 and rarest.held > 0")
+    anchors = sent(size.select("query_id", "size", F.col("rarest.term").alias("term")), "search-anchors")
+    asked = postings.select("doc_id", "col", "term").join(anchors, "term").drop("term").join(known.drop("held"), "query_id")
+    hits = asked.hint("merge").join(postings, ["doc_id", "col", "term"])
     held = hits.groupBy("query_id", "size", "doc_id", "col").agg(F.count("*").alias("got"), F.collect_list(F.struct("term_ix", "places")).alias("each")).where("got = size")
     places = held.select("query_id", "size", "doc_id", "col", F.explode("each").alias("e")).select("query_id", "size", "doc_id", "col", "e.term_ix", F.explode("e.places").alias("pos"))
     reach = Window.partitionBy("query_id", "doc_id", "col").orderBy("pos").rangeBetween(-(distance + 1), 0)
@@ -167,7 +200,7 @@ def near_hits(searches: DataFrame, postings: DataFrame, distance: int = NEAR) ->
 def bm25_levels(found: DataFrame, sized: DataFrame) -> DataFrame:
     """``query_id, doc_id, bm25s``: the sums of :func:`bm25` over the words up to each level, from one aggregate."""
     df = found.groupBy("query_id", "term_ix").agg(*[F.sum((F.col(f"tf{lv}") > 0).cast("long")).alias(f"df{lv}") for lv in range(4)])
-    scored = found.join(df, ["query_id", "term_ix"]).join(sized, "doc_id")
+    scored = with_sizes(found.join(sent(df, "search-df"), ["query_id", "term_ix"]), sized)
 
     def part(lv: int) -> Column:
         tf, n = F.col(f"tf{lv}"), F.col(f"df{lv}")
@@ -183,7 +216,7 @@ def tier_of(found: DataFrame, searches: DataFrame) -> DataFrame:
     size = searches.groupBy("query_id").agg(F.count("*").alias("size"))
     own = [F.count("meta_level").alias("described"), F.max("meta_level").alias("meta_level"), F.count("title_level").alias("titled")]
     per = found.groupBy("query_id", "doc_id").agg(F.count("*").alias("got"), F.max("level").alias("level"), *own)
-    whole = per.join(size, "query_id").where("got = size").withColumn("in_title", F.col("titled") == F.col("size"))
+    whole = per.join(sent(size, "search-size"), "query_id").where("got = size").withColumn("in_title", F.col("titled") == F.col("size"))
     in_meta = (F.col("described") == F.col("size")) & (F.col("meta_level") <= RELATED)
     tier = F.when(in_meta, F.col("meta_level")).when(F.col("level") <= RELATED, F.col("level") + 3).otherwise(6)
     return whole.select("query_id", "doc_id", "in_title", tier.alias("tier"))
@@ -217,15 +250,20 @@ def coverage(found: DataFrame, sized: DataFrame) -> DataFrame:
     Each word weighs by its rarity; a word found only through related words or similar
     spellings counts half.
     """
-    counts = found.groupBy("query_id", "term_ix").agg(F.count("*").alias("weak"), F.sum((F.col("level") <= FORMS).cast("long")).alias("strong"))
+    tf = F.col(f"tf{FORMS}")
+    counts = found.groupBy("query_id", "term_ix").agg(F.count("*").alias("weak"), F.count_if(F.col("level") <= FORMS).alias("strong"), F.count_if(tf > 0).alias("df"))
     n = sized.select("n_docs").limit(1)
     counts = counts.join(F.broadcast(n))
     counts = counts.withColumn("idf_strong", F.ln(1 + F.col("n_docs") / F.greatest(F.lit(1), F.col("strong")))).withColumn("idf_weak", F.ln(1 + F.col("n_docs") / F.col("weak")))
-    whole = counts.groupBy("query_id").agg(F.sum("idf_strong").alias("whole"))
+    counts = sent(counts.drop("n_docs"), "search-counts")
+    whole = sent(counts.groupBy("query_id").agg(F.sum("idf_strong").alias("whole")), "search-whole-idf")
     got = F.sum(F.when(F.col("level") <= FORMS, F.col("idf_strong")).otherwise(WEAK * F.col("idf_weak")))
-    per = found.join(counts, ["query_id", "term_ix"]).groupBy("query_id", "doc_id").agg(got.alias("got")).join(whole, "query_id")
-    per = per.withColumn("coverage", F.bround(F.round(F.col("got") / F.col("whole"), 9), 1))
-    scored = per.join(bm25(found, sized, FORMS), ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    # As in bm25, but of the same pass.
+    idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(IDF_FLOOR))
+    norm = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    rows = with_sizes(found.join(counts, ["query_id", "term_ix"]), sized)
+    per = rows.groupBy("query_id", "doc_id").agg(got.alias("got"), F.coalesce(-F.sum(F.when(tf > 0, idf * norm)), F.lit(0.0)).alias("bm25")).join(whole, "query_id")
+    scored = per.withColumn("coverage", F.bround(F.round(F.col("got") / F.col("whole"), 9), 1))
     return scored.select("query_id", "doc_id", "coverage", "bm25", ((1 - F.col("coverage")) * TIER_STEP * 100 + F.col("bm25")).alias("rank"))
 
 

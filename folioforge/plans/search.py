@@ -176,7 +176,7 @@ def stem_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _found(typed: DataFrame, index: I.Index, level: int, others: DataFrame | None = None) -> DataFrame:
     """Matches, made once; the words found are few and read their own buckets of postings."""
     words = materialise(S.expand(typed, index.words(), index.grams(), others, level), "search-words")
-    return materialise(S.matches(words, index.postings(words.select(F.col("word").alias("term")))), "search-found")
+    return materialise(S.matches(words, index.postings(words.select(F.col("word").alias("term"))), sized=index.sizes()), "search-found")
 
 
 @query(
@@ -386,9 +386,14 @@ def find_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a document is in a result: the columns that hold words of the search, and how many words."""
-    typed = materialise(searches(spark, sf_dir), "search-typed")
-    hits = typed.join(stored_index(spark, sf_dir).postings(typed), "term")
-    return hits.groupBy("query_id", "doc_id").agg(F.array_join(F.sort_array(F.collect_set("col")), ",").alias("columns"), F.count_distinct("term_ix").alias("words"))
+    typed = S.sent(searches(spark, sf_dir), "search-typed")
+    # A bit for each column; a word of a document is one row, and meets the searches where the document's words lie.
+    names = sorted(S.WEIGHTS)
+    bit = F.coalesce(*[F.when(F.col("col") == c, F.lit(1 << i)) for i, c in enumerate(names)])
+    rows = stored_index(spark, sf_dir).postings(typed).repartition("doc_id").groupBy("doc_id", "term").agg(F.bit_or(bit).alias("cols"))
+    hits = rows.join(typed, "term").groupBy("query_id", "doc_id").agg(F.bit_or("cols").alias("cols"), F.count("*").alias("words"))
+    shown = F.array_join(F.array_compact(F.array(*[F.when(F.col("cols").bitwiseAND(F.lit(1 << i)) != 0, c) for i, c in enumerate(names)])), ",")
+    return hits.select("query_id", "doc_id", shown.alias("columns"), "words")
 
 
 #: Words of a snippet, from its first hit on, and words before that.
@@ -419,7 +424,7 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = searches(spark, sf_dir)
     words = materialise(S.expand(typed, index.words(), index.grams(), None, S.LITERAL), "search-words")
     near = index.postings(words.select(F.col("word").alias("term")))
-    found = materialise(S.matches(words, near), "search-found")
+    found = materialise(S.matches(words, near, sized=index.sizes()), "search-found")
     scored = S.bm25(found, index.sizes(), S.LITERAL).withColumn("score", F.round("bm25", 6))
     best = materialise(S.top(scored, 10, F.col("score"), F.col("doc_id").desc()).select("query_id", "doc_id", "place"), "search-best")
     body = near.where("col = 'body'").select("doc_id", F.col("term").alias("word"), "places")

@@ -184,3 +184,13 @@ def test_close_letters_sends_nothing_through_the_driver(spark, sf_dir):
     from folioforge.plans import registry
 
     assert "Broadcast" not in registry.queries()["close_letters"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matches_are_summed_where_a_document_lies(spark):
+    docs = spark.createDataFrame([(1, "title", "rote blume"), (1, "body", "blume am haus haus"), (2, "body", "haus")], "doc_id long, col string, text string")
+    index = I.create(docs, 2)
+    sought = spark.createDataFrame([(7, 0, "blume", 0), (7, 1, "haus", 0), (7, 1, "blume", 2)], "query_id long, term_ix int, word string, level int")
+    found = S.matches(sought, index.postings(), sized=index.sizes())
+    assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["doc_id"], r["term_ix"], r["level"], r["title_level"], r["tf0"], r["tf2"], r["dl"], r["n_docs"]) for r in found.collect())
+    assert got == [(1, 0, 0, 0, 11.0, 11.0, 6, 2), (1, 1, 0, 2, 2.0, 13.0, 6, 2), (2, 1, 0, None, 1.0, 1.0, 1, 2)]
