@@ -422,6 +422,16 @@ def _texts_at_once(texts: pa.StringArray) -> Iterator[tuple[int, pa.StringArray]
             yield a, texts.slice(a, b - a)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; before each, and at the end, Arrow gives back what earlier ones (or another stage in this worker) have left in its pool."""
+    pool = pa.default_memory_pool()
+    pool.release_unused()
+    for batch in batches:
+        yield batch
+        del batch
+        pool.release_unused()
+
+
 def frequent_words(docs: DataFrame, share: float = LEXICON_SHARE) -> DataFrame:
     """``word, n``: the tokenizer's words that make up at least ``share`` of the corpus, by a lossy count over all rows.
 
@@ -446,7 +456,7 @@ def frequent_words(docs: DataFrame, share: float = LEXICON_SHARE) -> DataFrame:
 
         held: list[pa.Table] = []
         rows = 0
-        for batch in batches:
+        for batch in released(batches):
             for _, texts in _texts_at_once(batch.column("text")):
                 word, n = words_of(texts.fill_null(""), kinds)[0].value_counts().flatten()
                 held.append(pa.table({"word": word, "n": n}))
@@ -508,10 +518,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, share: float = LEXICON_SHA
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, source.value if name not in _codecs else None, kinds.value)
-        for batch in batches:
+        for batch in released(batches):
             for at, texts in _texts_at_once(batch.column("text")):
                 columns = [batch.column("doc_id").slice(at, len(texts)), *codec.code(texts)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+                del columns, texts
         codec.forget()  # a worker may do other work next
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary, decoded string")

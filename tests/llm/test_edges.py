@@ -198,3 +198,20 @@ def test_texts_under_one_id_stay_apart(spark, sf_dir):
     assert got == [(1, 97, 1), (2, 97, 1), (2, 97, 2), (2, 98, 2), (3, 97, 2)]
     kept = sorted(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
     assert kept == sorted([rows[0], rows[1], rows[2]])
+
+
+def test_bpe_gives_memory_back_after_each_batch(monkeypatch):
+    import pyarrow as pa
+
+    from folioforge.llm import bpe
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+
+    pool = Pool()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    seen = [(b, pool.released) for b in bpe.released(iter("xyz"))]
+    assert seen == [("x", 1), ("y", 2), ("z", 3)] and pool.released == 4
