@@ -194,3 +194,67 @@ def test_matches_are_summed_where_a_document_lies(spark):
     assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted((r["doc_id"], r["term_ix"], r["level"], r["title_level"], r["tf0"], r["tf2"], r["dl"], r["n_docs"]) for r in found.collect())
     assert got == [(1, 0, 0, 0, 11.0, 11.0, 6, 2), (1, 1, 0, 2, 2.0, 13.0, 6, 2), (2, 1, 0, None, 1.0, 1.0, 1, 2)]
+
+
+def test_postings_are_grouped_where_texts_lie(spark, monkeypatch):
+    """A document's columns cut over several steps, and a column that comes in two rows, against plain counting."""
+    from folioforge.functions import words as W
+
+    monkeypatch.setattr(W, "TOGETHER", 5)
+    rows = [(i, c, t) for i in range(9) for c, t in (("title", f"alpha beta w{i}"), ("body", f"beta gamma beta {'delta ' * i} w{i}"), ("notes", "" if i % 2 else None))]
+    for more in ([], [(3, "body", "beta omega"), (3, "body", "beta")]):
+        made = I.create(spark.createDataFrame(rows + more, "doc_id long, col string, text string").repartition(3), buckets=4)
+        want = {}
+        for i, c, t in rows + more:
+            for pos, w in enumerate((t or "").split()):
+                want.setdefault((i, c, w), []).append(pos)
+        got = {(r.doc_id, r.col, r.term): (r.n, sorted(r.places)) for r in made.postings().collect()}
+        assert made.postings().count() == len(got)
+        assert got == {k: (len(v), sorted(v)) for k, v in want.items()}
+        docs = {}
+        for i, _, w in want:
+            docs.setdefault(w, set()).add(i)
+        assert {r.term: r.docs for r in made.words().collect()} == {w: len(d) for w, d in docs.items()}
+        assert {r.doc_id: r.dl for r in made.sizes().collect()} == {i: sum(len(v) for k, v in want.items() if k[0] == i) for i in range(9)}
+
+
+def test_no_row_per_word_is_shuffled_for_the_index(spark):
+    """What is dealt to the buckets is packed: fewer rows than postings by far (before: one each, after one per word)."""
+    texts = spark.createDataFrame([(i, "body", " ".join(f"w{j}" for j in range(200))) for i in range(200)], "doc_id long, col string, text string").coalesce(1)
+    packed = I._packed(texts, 8)
+    assert packed.count() <= 8 * I.FILES
+    assert I._unpacked(packed).count() == 200 * 200
+
+
+def test_telling_words_with_few_sent(spark, monkeypatch):
+    """Words beyond the frequent ones meet their counts in a join; against plain Python."""
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from folioforge.functions import words as W
+
+    draw = random.Random(5)
+    docs = {i: [f"w{int(draw.paretovariate(0.6)) % 300}" for _ in range(draw.randrange(0, 60))] for i in range(60)}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, words array<string>")
+    totals = W.word_totals(table)
+    df = {}
+    for t in docs.values():
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    assert {r.term: (r.docs, r.cnt) for r in totals.collect()} == {w: (n, sum(t.count(w) for t in docs.values())) for w, n in df.items()}
+    n = sum(1 for t in docs.values() if t)
+    want = set()
+    for i, t in docs.items():
+        each = sorted((-round(math.sqrt(t.count(w)) * math.log(n / df[w]), 9), w) for w in set(t) if 2 <= df[w] <= n / 2)
+        want |= {(i, w) for _, w in each[:4]}
+    for sent in (7, 1 << 18):
+        monkeypatch.setattr(W, "FREQUENT", sent)
+        monkeypatch.setattr(W, "TOGETHER", 100)
+        rows = W.telling_candidates(table, totals, n, n / 2, 4).collect()
+        got = {(r.doc_id, r.term) for r in rows}
+        assert len(rows) == len(got) and want <= got
+        assert all(r.df == df[r.term] and r.tf == docs[r.doc_id].count(r.term) and 2 <= r.df <= n / 2 for r in rows)
+        weight = F.round(F.sqrt("tf") * F.ln(F.lit(n) / F.col("df")), 9)
+        assert all(r.w >= 0 for r in W.telling_candidates(table, totals, n, n / 2, 4).select(weight.alias("w")).collect())
