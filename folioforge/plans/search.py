@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import stems
 from folioforge.functions import text as X
+from folioforge.functions.words import telling_candidates, word_totals
 from folioforge.operators import index as I
 from folioforge.operators import search as S
 from folioforge.operators.facets import facet_counts
 from folioforge.operators.similar import most_similar
-from folioforge.plans.catalog import FOLD, archive, columns, query, stored_index, tagged, vocab
+from folioforge.plans.catalog import FOLD, archive, bodies, columns, query, stored_index, tagged, vocab
 from folioforge.session import materialise, table
 
 TOKENS = f"regexp_extract_all({FOLD.format('text')}, '[\\p{{L}}\\p{{N}}]+')"
@@ -359,11 +360,11 @@ def search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def telling_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve terms that tell most about each document: frequent in it, rare elsewhere."""
-    tf = stored_index(spark, sf_dir).postings().where("col = 'body'").select("doc_id", "term", F.col("n").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = tf.agg(F.count_distinct("doc_id").alias("n"))
-    rare = df.join(F.broadcast(n)).where("df >= 2 and df <= n / 2")
-    w = tf.join(rare, "term").withColumn("weight", F.round(F.sqrt("tf") * F.ln(F.col("n") / F.col("df")), 9))
+    docs = bodies(spark, sf_dir)
+    totals = materialise(word_totals(docs), "vocabulary")
+    n = docs.where("size(words) > 0").count()
+    w = telling_candidates(docs, totals, n, n / 2, 12)
+    w = w.withColumn("weight", F.round(F.sqrt("tf") * F.ln(F.lit(n) / F.col("df")), 9))
     best = w.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("weight").desc(), "term"))).where("rn <= 12")
     return best.select("doc_id", "term", "weight")
 
