@@ -80,6 +80,32 @@ def test_values_after_cues(spark, text, number, amount):
     assert one(spark, text, lambda c: X.amount_after(c, "amount due")) == amount
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("Amount due due 5", "5"),
+        ("invoice number: invoice number 7", "7"),
+        ("amount\n due:; EUR 9.", "9"),
+        ("xamount 5", None),
+        ("amount due EUR", None),
+        ("form 7 8", "7"),
+        ("form A 8", None),
+        ("due date 4", "4"),
+        ("amount due date 6", "6"),
+        (" due 3", "3"),
+        ("tota\u017f 3", None),
+    ],
+)
+def test_cues_that_overlap(spark, text, value):
+    assert one(spark, text, lambda c: X.field_after(c, "due", "amount due", "due date", "invoice number", "form", "form 7", "totas")) == value
+
+
+def test_only_words_after_a_cue_are_looked_at(spark):
+    """Before, every word of a text went through the cue's comparison."""
+    plan = spark.range(1).select(X.amount_after(F.lit("a b").substr(F.lit(1), F.col("id").cast("int") + 9), "amount due"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "transform(split(substr" not in plan
+
+
 @pytest.mark.parametrize(
     ("subject", "forwarded", "bare"),
     [("RE: fwd :Plan: Mai", True, "Plan: Mai"), ("Plan", False, "Plan"), ("Aw:re: Re", False, "Re"), ("Fw:", True, ""), ("Note: Re: x", False, "Note: Re: x"), ("", False, "")],
