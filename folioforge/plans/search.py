@@ -137,11 +137,16 @@ def similar_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest indexed word for words with a stray letter: first letter and length first, edit distance last."""
     typed = searches(spark, sf_dir).where(F.length("term") >= 5).withColumn("term", F.concat("term", F.lit("x")))
-    left = typed.withColumn("k", F.substring("term", 1, 1)).withColumn("n", F.explode(F.sequence(F.length("term") - 2, F.length("term") + 2)))
-    right = vocab(spark, sf_dir).select(F.col("term").alias("word"), "docs").withColumn("k", F.substring("word", 1, 1)).withColumn("n", F.length("word"))
+    return closest_words(typed, vocab(spark, sf_dir))
+
+
+def closest_words(typed: DataFrame, words: DataFrame) -> DataFrame:
+    """``query_id, term_ix, term, word``; a term that many searches have meets ``words(term, docs)`` once."""
+    left = typed.select("term").distinct().withColumn("k", F.substring("term", 1, 1)).withColumn("n", F.explode(F.sequence(F.length("term") - 2, F.length("term") + 2)))
+    right = words.select(F.col("term").alias("word"), "docs").withColumn("k", F.substring("word", 1, 1)).withColumn("n", F.length("word"))
     near = left.join(right, ["k", "n"]).withColumn("d", F.levenshtein("term", "word", 2)).where("d >= 0")
-    best = near.groupBy("query_id", "term_ix", "term").agg(F.min(F.struct("d", -F.col("docs"), "word")).alias("b"))
-    return best.select("query_id", "term_ix", "term", "b.word")
+    best = near.groupBy("term").agg(F.min(F.struct("d", -F.col("docs"), "word")).alias("b"))
+    return typed.join(best, "term").select("query_id", "term_ix", "term", "b.word")
 
 
 @query(

@@ -258,3 +258,13 @@ def test_telling_words_with_few_sent(spark, monkeypatch):
         assert all(r.df == df[r.term] and r.tf == docs[r.doc_id].count(r.term) and 2 <= r.df <= n / 2 for r in rows)
         weight = F.round(F.sqrt("tf") * F.ln(F.lit(n) / F.col("df")), 9)
         assert all(r.w >= 0 for r in W.telling_candidates(table, totals, n, n / 2, 4).select(weight.alias("w")).collect())
+
+
+def test_a_term_of_many_searches_meets_the_words_once(spark):
+    typed = spark.createDataFrame([(q, 0, "hausx") for q in range(30)] + [(1, 1, "baumx")], "query_id long, term_ix int, term string")
+    words = spark.createDataFrame([("haus", 5), ("hausy", 9), ("maus", 99), ("hau", 9), ("baum", 1)], "term string, docs long")
+    found = plans.closest_words(typed, words)
+    assert sorted(tuple(r) for r in found.collect()) == sorted([(q, 0, "hausx", "hausy") for q in range(30)] + [(1, 1, "baumx", "baum")])
+    # Terms are made distinct below the edit distance.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [term" in plan[plan.index("levenshtein") :]
