@@ -34,6 +34,8 @@ BUCKETS, FILES = 64, 4
 #: Rows of packed postings that are taken apart together.
 PACKED = 1_000
 GRAM = 4
+#: Ids of dead documents are sent to all tasks up to so many.
+FEW = 400_000
 SCHEMAS = {
     "postings": "doc_id {kind}, col string, term string, n long, places array<int>, bucket int",
     "sizes": "doc_id {kind}, dl long",
@@ -152,7 +154,9 @@ class Index:
         """Rows of documents that no later segment has replaced."""
         if len(self.segments) == 1:
             return df.drop("age")
-        gone = self._read("dead").groupBy("doc_id").agg(F.max("age").alias("until"))
+        # Few documents are dead: their ids go to the rows, not the rows to them.
+        gone = materialise(self._read("dead").groupBy("doc_id").agg(F.max("age").alias("until")), "index-gone")
+        gone = F.broadcast(gone) if gone.count() <= FEW else gone
         held = df.join(gone.withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left")
         return held.where("until is null or age >= until").drop("gone", "until", "age")
 
@@ -168,9 +172,28 @@ class Index:
             rows = rows.where(F.col("bucket").isin(numbers))
         return self._live(rows.join(wanted, "term", "left_semi")).drop("bucket")
 
+    def coded(self, codes: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        """``doc_id, col, n, places`` and the columns of ``codes(term, ...)``: the postings of its words, from their buckets; those of ``but(term)`` are dropped first."""
+        # At most as many rows as there are buckets.
+        numbers = [r[0] for r in codes.select(bucket(F.col("term"), self.buckets).alias("b")).distinct().collect()]
+        rows = self._read("postings")
+        if len(numbers) < self.buckets:
+            rows = rows.where(F.col("bucket").isin(numbers))
+        if but is not None:
+            rows = rows.join(but.select("term"), "term", "left_anti")
+        return self._live(rows.join(codes, "term")).drop("bucket", "term")
+
+    def of_documents(self, docs: DataFrame) -> DataFrame:
+        """All postings of ``docs(doc_id)``."""
+        return self._live(self._read("postings").join(docs, "doc_id", "left_semi")).drop("bucket")
+
+    def lengths(self) -> DataFrame:
+        """``doc_id, dl``: how many words each document has."""
+        return self._live(self._read("sizes"))
+
     def sizes(self) -> DataFrame:
         """``doc_id, dl``, and the corpus figures ``n_docs, avg_dl`` in each row."""
-        per = self._live(self._read("sizes"))
+        per = self.lengths()
         total = per.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
         return per.join(F.broadcast(total))  # one row
 

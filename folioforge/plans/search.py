@@ -13,6 +13,7 @@ from folioforge.functions import stems
 from folioforge.functions import text as X
 from folioforge.functions.words import telling_candidates, word_totals
 from folioforge.operators import index as I
+from folioforge.operators import ranking as R
 from folioforge.operators import search as S
 from folioforge.operators.facets import facet_counts
 from folioforge.operators.similar import most_similar
@@ -179,10 +180,9 @@ def stem_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- search ----------------------------------------------------------------------------------
 
 
-def _found(typed: DataFrame, index: I.Index, level: int, others: DataFrame | None = None) -> DataFrame:
-    """Matches, made once; the words found are few and read their own buckets of postings."""
-    words = materialise(S.expand(typed, index.words(), index.grams(), others, level), "search-words")
-    return materialise(S.matches(words, index.postings(words.select(F.col("word").alias("term"))), sized=index.sizes()), "search-found")
+def _found(typed: DataFrame, index: I.Index, level: int, others: DataFrame | None = None, **more: bool | DataFrame) -> list[R.Found]:
+    """What the searches find, made once; the words found are few and read their own buckets of postings."""
+    return R.find(typed, index, level, others, **more)
 
 
 @query(
@@ -195,7 +195,11 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(typed: DataFrame, index: I.Index) -> DataFrame:
-    scored = S.bm25(_found(typed, index, S.LITERAL), index.sizes(), S.LITERAL).withColumn("score", F.round("bm25", 6))
+    return _best_ten(_found(typed, index, S.LITERAL))
+
+
+def _best_ten(found: list[R.Found]) -> DataFrame:
+    scored = R.best(found, lambda part: part.bm25(10)).withColumn("score", F.round("rank", 6))
     return S.top(scored, 10, F.col("score"), F.col("doc_id").desc()).select("query_id", "doc_id", "score", "place")
 
 
@@ -229,14 +233,12 @@ TIERS_SQL = f"""WITH {SEARCHES_SQL}, {STATS_SQL}, {SYNONYMS_SQL}, {expanded_sql(
         FROM tier t LEFT JOIN b0 USING (query_id, doc_id) LEFT JOIN b1 USING (query_id, doc_id) LEFT JOIN b2 USING (query_id, doc_id) LEFT JOIN near n USING (query_id, doc_id) JOIN archive a ON a.doc_id = t.doc_id)"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str, typed: DataFrame, found: DataFrame, index: I.Index) -> DataFrame:
-    """Documents that have all words of a search, with tier and rank; the year that a search names is 2023 or 2024, by its passage."""
-    near = S.near_hits(typed, index.postings(typed))
-    dates = archive(spark, sf_dir).select("doc_id", "received_at", F.substring("document_date", 1, 4).alias("year"))
-    whole = materialise(S.tier_of(found, typed).select("query_id", "doc_id").join(dates, "doc_id"), "search-dates")
-    named = (2023 + F.floor(F.col("query_id") / PER_ITEM) % 2).cast("string")
-    ranked = S.tiers(found, typed, near, index.sizes(), whole.where(F.col("year") == named)).withColumn("rank", F.round("rank", 6))
-    return ranked.join(whole.select("query_id", "doc_id", "received_at"), ["query_id", "doc_id"])
+def _dated(spark: SparkSession, sf_dir: str, typed: DataFrame) -> dict[str, DataFrame | bool]:
+    """What tiers ask of documents and searches: dates, words near each other, and the year that a search names, 2023 or 2024, by its passage."""
+    day = F.translate("received_at", "-", "").cast("long")
+    dates = archive(spark, sf_dir).select("doc_id", day.alias("received"), F.substring("document_date", 1, 4).cast("long").alias("year"))
+    named = (2023 + F.floor(F.col("query_id") / PER_ITEM) % 2).cast("long")
+    return {"near": True, "dates": dates, "years": typed.select("query_id").distinct().withColumn("year", named)}
 
 
 @query(
@@ -247,8 +249,9 @@ def search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches whose words must all occur: the description before the text, words as typed before their forms and other words, then BM25 with its boosts; the newest first among equals."""
     index = stored_index(spark, sf_dir)
     typed = materialise(searches(spark, sf_dir), "search-typed")
-    ranked = _ranked(spark, sf_dir, typed, _found(typed, index, S.RELATED, synonyms(spark, sf_dir)), index)
-    return S.top(ranked, 20, F.col("rank"), F.col("received_at").desc(), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
+    found = _found(typed, index, S.RELATED, synonyms(spark, sf_dir), **_dated(spark, sf_dir, typed))
+    ranked = R.best(found, lambda part: part.tiers(20)).withColumn("rank", F.round("rank", 6))
+    return S.top(ranked, 20, F.col("rank"), F.col("when").desc(), F.col("doc_id").desc()).select("query_id", "doc_id", F.col("tier").cast("int").alias("tier"), "rank")
 
 
 @query(
@@ -261,7 +264,7 @@ def search_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each tier of a search has, with the words that a table of synonyms gives."""
     typed = materialise(searches(spark, sf_dir), "search-typed")
     found = _found(typed, stored_index(spark, sf_dir), S.RELATED, synonyms(spark, sf_dir))
-    return S.tier_of(found, typed).groupBy("query_id", "tier").agg(F.count("*").alias("n"))
+    return R.best(found, lambda part: part.tier_counts())
 
 
 @query()
@@ -270,9 +273,9 @@ def search_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = searches(spark, sf_dir).withColumn("term", F.when(F.col("term_ix") == 1, F.concat("term", F.lit("x"))).otherwise(F.col("term")))
     typed = materialise(typed, "search-typed")
     index = stored_index(spark, sf_dir)
-    found = _found(typed, index, S.SIMILAR)
-    ranked = S.tiers(found, typed, S.near_hits(typed, index.postings(typed)), index.sizes()).withColumn("rank", F.round("rank", 6))
-    return S.top(ranked, 20, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "tier", "rank")
+    found = _found(typed, index, S.SIMILAR, near=True)
+    ranked = R.best(found, lambda part: part.tiers(20)).withColumn("rank", F.round("rank", 6))
+    return S.top(ranked, 20, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", F.col("tier").cast("int").alias("tier"), "rank")
 
 
 COVERAGE_SQL = f"""{bm25_sql("strongly", "tf1")},
@@ -291,7 +294,7 @@ def search_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches ranked by how much of them a document covers; other words for a word count half."""
     index = stored_index(spark, sf_dir)
     found = _found(searches(spark, sf_dir), index, S.RELATED, synonyms(spark, sf_dir))
-    ranked = S.coverage(found, index.sizes()).withColumn("rank", F.round("rank", 6))
+    ranked = R.best(found, lambda part: part.coverage(10)).withColumn("rank", F.round("rank", 6))
     return S.top(ranked, 10, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "coverage", "rank", "place")
 
 
@@ -304,10 +307,12 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search: all words where any document has them all, else partial matches; decided for each search by itself."""
     index = stored_index(spark, sf_dir)
     typed = materialise(searches(spark, sf_dir), "search-typed")
-    found = _found(typed, index, S.RELATED, synonyms(spark, sf_dir))
-    whole = materialise(_ranked(spark, sf_dir, typed, found, index).select("query_id", "doc_id", F.lit(False).alias("partial"), "rank"), "search-whole")
-    rest = found.join(whole.select("query_id").distinct(), "query_id", "left_anti")
-    part = S.coverage(rest, index.sizes()).select("query_id", "doc_id", F.lit(True).alias("partial"), F.round("rank", 6).alias("rank"))
+    found = _found(typed, index, S.RELATED, synonyms(spark, sf_dir), **_dated(spark, sf_dir, typed))
+    columns_ = ["query_id", "doc_id", F.round("rank", 6).alias("rank")]
+    # The ten best of a task are enough, as equal ranks go by the document alone here.
+    whole = materialise(R.best(found, lambda part: part.tiers(10, dated=False)).select(*columns_, F.lit(False).alias("partial")), "search-whole")
+    rest = R.best(found, lambda part: part.coverage(10)).select(*columns_, F.lit(True).alias("partial"))
+    part = rest.join(S.sent(whole.select("query_id").distinct(), "search-answered"), "query_id", "left_anti")
     return S.top(whole.unionByName(part), 10, F.col("rank"), F.col("doc_id").desc()).select("query_id", "doc_id", "partial", "rank", "place")
 
 
@@ -346,7 +351,7 @@ def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def search_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a search for one sentence of a passage finds the documents that hold another sentence of it, word for word."""
-    held = materialise(_phrases(spark, sf_dir).select("query_id", "doc_id").distinct(), "eval-held")
+    held = materialise(R.standing(phrases(spark, sf_dir), stored_index(spark, sf_dir)).distinct(), "eval-held")
     item = F.floor(F.col("query_id") / PER_ITEM).alias("item")
     typed = searches(spark, sf_dir).select("query_id", item).distinct()
     pairs = typed.join(held.select(F.col("query_id").alias("other"), item, "doc_id"), "item").where("other <> query_id")
@@ -428,16 +433,17 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     index = stored_index(spark, sf_dir)
     typed = searches(spark, sf_dir)
-    words = materialise(S.expand(typed, index.words(), index.grams(), None, S.LITERAL), "search-words")
-    near = index.postings(words.select(F.col("word").alias("term")))
-    found = materialise(S.matches(words, near, sized=index.sizes()), "search-found")
-    scored = S.bm25(found, index.sizes(), S.LITERAL).withColumn("score", F.round("bm25", 6))
-    best = materialise(S.top(scored, 10, F.col("score"), F.col("doc_id").desc()).select("query_id", "doc_id", "place"), "search-best")
-    body = near.where("col = 'body'").select("doc_id", F.col("term").alias("word"), "places")
-    at = best.join(words.select("query_id", "word").distinct(), "query_id").join(body, ["doc_id", "word"]).select("query_id", "doc_id", F.explode("places").alias("pos")).distinct()
+    found = _found(typed, index, S.LITERAL)
+    best = materialise(_best_ten(found).select("query_id", "doc_id", "place"), "search-best")
+    # The documents shown are as few as the searches: their ids go to the postings and to the texts.
+    docs = S.sent(best.select("doc_id").distinct(), "search-shown")
+    body = materialise(index.of_documents(docs).where("col = 'body'").select("doc_id", F.col("term").alias("word"), "places"), "search-bodies")
+    wanted = R.best(found, lambda part: best.join(part.typed, "query_id").join(part.words.terms, "term").select("query_id", "doc_id", "term"))
+    held = R.best(found, lambda part: body.join(part.words.each, "word").join(part.words.terms, "t").select("doc_id", "term", "places"))
+    at = wanted.join(held.distinct(), ["doc_id", "term"]).select("query_id", "doc_id", F.explode("places").alias("pos")).distinct()
     ahead = Window.partitionBy("query_id", "doc_id").orderBy("pos").rangeBetween(0, SHOWN - 1)
     spot = at.withColumn("n", F.count("*").over(ahead)).groupBy("query_id", "doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "pos"))["pos"].alias("hit"), F.collect_list("pos").alias("marks"))
-    shown = best.join(spot, ["query_id", "doc_id"], "left").join(archive(spark, sf_dir).select("doc_id", "title", "body"), "doc_id")
+    shown = best.join(spot, ["query_id", "doc_id"], "left").join(archive(spark, sf_dir, docs).select("doc_id", "title", "body"), "doc_id")
     first = F.greatest(F.lit(0), F.coalesce("hit", F.lit(0)) - BEFORE)
     pieces = F.regexp_extract_all("body", F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"))
     lead = F.col("body").rlike(r"^[\p{L}\p{N}]").cast("int")
