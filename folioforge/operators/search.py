@@ -113,9 +113,11 @@ def similar_words(typed: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs within the allowed edits, with ``edits``. The built-in distance, with room for swaps and recognition errors, decides who reaches the exact one."""
     most = X.allowed_edits(F.col("term"))
     left = typed.where((most > 0) & F.col("term").rlike(r"^\p{L}+$")).withColumn("most", most)
-    left = left.withColumn("k", F.substring("term", 1, 2)).withColumn("n", F.explode(F.sequence(F.length("term") - 2 * most, F.length("term") + 2 * most)))
+    # An edit changes the length by one at most, and is two plain ones at most: a swap, or two letters for one.
+    left = left.withColumn("k", F.substring("term", 1, 2)).withColumn("n", F.explode(F.sequence(F.length("term") - most, F.length("term") + most)))
     right = words.where(F.col("word").rlike(r"^\p{L}+$")).withColumn("k", F.substring("word", 1, 2)).withColumn("n", F.length("word"))
-    pairs = left.join(right, ["k", "n"]).where("term <> word").where(F.levenshtein("term", "word", 6) >= 0).where(F.levenshtein("term", "word") <= 3 * F.col("most"))
+    plain = F.when(F.col("most") == 1, F.levenshtein("term", "word", 2)).otherwise(F.levenshtein("term", "word", 4))
+    pairs = left.join(right, ["k", "n"]).where("term <> word").where(plain >= 0)
     return pairs.withColumn("edits", X.spelling_edits("term", "word")).where("edits <= most")
 
 

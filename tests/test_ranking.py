@@ -77,6 +77,15 @@ def test_rows_of_searches_do_not_leave_tasks(spark, made):
     assert "Exchange" not in each._jdf.queryExecution().executedPlan().toString()
 
 
+def test_few_pairs_of_words_reach_the_exact_distance(spark, monkeypatch):
+    """Three plain edits are no single one, nor are lengths two apart; before, such pairs were compared in Python."""
+    typed = spark.createDataFrame([(1, 0, "garten")], "query_id long, term_ix int, term string")
+    words = spark.createDataFrame([("gartxyz",), ("gartenen",), ("gatren",), ("garen",), ("gartem",), ("gartern",)], "word string")
+    assert {r.word: r.edits for r in S.similar_words(typed, words).collect()} == {"gatren": 1, "garen": 1, "gartem": 1, "gartern": 1}
+    monkeypatch.setattr(S.X, "spelling_edits", lambda a, b: F.lit(0))
+    assert {r.word for r in S.similar_words(typed, words).collect()} == {"gatren", "garen", "gartem", "gartern"}
+
+
 def test_rounding_is_the_engines():
     values = [0.0000005, 1.0000005, -2.3456785, 12345.6789125, 60000.0000015, -0.0000014999]
     want = [float(Decimal(repr(v)).quantize(Decimal("1e-6"), ROUND_HALF_UP).scaleb(6)) for v in values]
