@@ -58,8 +58,8 @@ def beginning(terms: DataFrame, words: DataFrame, rank: int) -> DataFrame:
     """
     starts = F.explode(F.sequence(F.lit(1), F.length("word")))
     keys = words.withColumn("n", starts).select("word", F.expr("substring(word, 1, n)").alias("term"), (F.col("n") == F.length("word")).alias("whole"))
-    # The typed words are the smaller side; each word's beginnings are filtered by them.
-    found = keys.join(terms.select("query_id", "term_ix", "term"), "term").where(F.col("whole") | may_start(F.col("term")))
+    # The typed words go to the beginnings, which are many more.
+    found = keys.join(sent(terms.select("query_id", "term_ix", "term"), "search-begins"), "term").where(F.col("whole") | may_start(F.col("term")))
     return found.select("query_id", "term_ix", "word", F.lit(rank).alias("level"))
 
 
@@ -79,7 +79,7 @@ def compounds(forms: DataFrame, grams: DataFrame) -> DataFrame:
 
     A form is met at its first four letters, wherever they stand inside a word.
     """
-    met = forms.withColumn("gram", F.left("form", F.lit(GRAM))).join(grams, "gram")
+    met = grams.join(sent(forms.withColumn("gram", F.left("form", F.lit(GRAM))), "search-forms"), "gram")
     met = met.where(F.expr("substring(word, at + 1, length(form)) = form")).withColumn("rest", F.expr("substring(word, at + 1 + length(form))"))
     last = F.col("rest").isin("", *ENDINGS)
     inner = (F.length("form") >= INNER_PART) & (F.col("at") >= BEFORE_INNER) & (F.length("rest") >= AFTER_INNER)

@@ -86,6 +86,20 @@ def test_few_pairs_of_words_reach_the_exact_distance(spark, monkeypatch):
     assert {r.word for r in S.similar_words(typed, words).collect()} == {"gatren", "garen", "gartem", "gartern"}
 
 
+def test_words_and_pieces_are_not_shuffled_to_what_is_typed(spark, made, monkeypatch):
+    """Beginnings and inner pieces of all words stay where they are; before, they were dealt by their letters, here as no table is sent by itself."""
+    index, typed, _ = made
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = index.stored(index.segments[0], "words").select(F.col("term").alias("word"))
+        for df in (S.beginning(typed, words, 0), S.compounds(typed.select("query_id", "term_ix", F.col("term").alias("form")), index.grams())):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(term" not in plan and "hashpartitioning(gram" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_rounding_is_the_engines():
     values = [0.0000005, 1.0000005, -2.3456785, 12345.6789125, 60000.0000015, -0.0000014999]
     want = [float(Decimal(repr(v)).quantize(Decimal("1e-6"), ROUND_HALF_UP).scaleb(6)) for v in values]
